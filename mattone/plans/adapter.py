@@ -39,63 +39,53 @@ def phrase(k: Column) -> Column:
     return out
 
 
-def _days_before(moment: Column, n: Column) -> Column:
-    return moment - F.make_dt_interval(n.cast("int"))
+_LISTING = [
+    "o_orderkey AS k", "o_custkey AS cust", "concat('L', o_orderkey) AS id", "CAST(o_orderkey AS STRING) AS listing_key",
+    "concat('S', o_custkey % 7) AS source_id", "concat('https://s', o_custkey % 7, '.example/annunci/', o_orderkey) AS url",
+    "concat('Annuncio ', o_orderkey) AS title",
+    "CASE WHEN o_orderkey % 13 <> 0 THEN element_at(array({phrases}), CAST(o_orderkey % 11 AS INT) + 1) END AS description",
+    "r_name AS city", "concat('Z', o_custkey % 3) AS zone",
+    "CASE WHEN o_orderkey % 9 <> 0 THEN concat('Via ', o_orderkey % 40) END AS address",
+    "CASE WHEN c_mktsegment IN ('BUILDING', 'HOUSEHOLD') THEN 'residential' WHEN c_mktsegment = 'MACHINERY' THEN 'logistics' "
+    "WHEN c_mktsegment = 'AUTOMOBILE' THEN 'commercial' ELSE 'office' END AS property_type",
+    "CASE o_orderpriority WHEN '1-URGENT' THEN 'to_renovate' WHEN '2-HIGH' THEN 'renovated' WHEN '3-MEDIUM' THEN 'new' "
+    "WHEN '4-NOT SPECIFIED' THEN 'good' ELSE 'unknown' END AS condition",
+    "CASE WHEN o_orderkey % 17 <> 0 THEN o_totalprice END AS price",
+    "CASE WHEN o_orderkey % 23 <> 0 THEN CAST(40 + (o_orderkey * 37) % 400 AS DOUBLE) END AS surface",
+    "CASE WHEN o_orderkey % 5 <= 2 THEN 'commercial' WHEN o_orderkey % 5 = 3 THEN 'net' ELSE 'unknown' END AS area_basis",
+    "CASE WHEN o_orderkey % 19 = 0 THEN 'USD' WHEN o_orderkey % 29 = 0 THEN 'XXX' ELSE 'EUR' END AS currency",
+    "CASE WHEN o_orderkey % 8 = 0 THEN 'rent' WHEN o_orderkey % 31 = 0 THEN 'unknown' ELSE 'sale' END AS transaction_type",
+    "CASE WHEN o_orderstatus IN ('O', 'P') THEN 'listed' WHEN o_orderkey % 4 = 0 THEN 'sold' WHEN o_orderkey % 4 = 1 THEN 'withdrawn' "
+    "ELSE 'unknown' END AS availability",
+    "o_orderkey % 37 = 0 AS is_auction", "o_orderkey % 10 = 0 AS starred",
+    "element_at(array('new', 'reviewing', 'shortlisted', 'due_diligence', 'negotiation', 'acquired', 'discarded'), "
+    "CAST(o_orderkey % 7 AS INT) + 1) AS review_status",
+    "CAST(o_orderkey % 6 + 1 AS DOUBLE) AS rooms", "CAST(o_orderkey % 3 + 1 AS DOUBLE) AS bathrooms",
+    "CASE WHEN o_orderkey % 21 <> 0 THEN 36 + (o_orderkey * 7919 % 1200) / 100.0D END AS latitude",
+    "CASE WHEN o_orderkey % 21 <> 0 THEN 6 + (o_orderkey * 104729 % 1330) / 100.0D END AS longitude",
+    "TIMESTAMP_NTZ '{as_of}' - make_dt_interval(CAST(o_orderkey % 200 AS INT)) AS last_seen",
+    "TIMESTAMP_NTZ '{as_of}' - make_dt_interval(CAST(o_orderkey % 200 + o_orderkey % 300 AS INT)) AS first_seen",
+    "CASE WHEN o_orderkey % 14 <> 0 THEN TIMESTAMP_NTZ '{as_of}' - make_dt_interval(0, CAST(o_orderkey % 72 AS INT)) END AS last_detail_at",
+    "CASE WHEN o_orderkey % 5 < 2 THEN date_format(TIMESTAMP_NTZ '{as_of}' - make_dt_interval(CAST(o_orderkey % 200 + o_orderkey % 300 "
+    "+ o_orderkey % 30 AS INT)), 'yyyy-MM-dd') WHEN o_orderkey % 5 = 2 THEN '2099-01-01' END AS published_at",
+    "CASE WHEN o_orderkey % 6 <> 0 THEN concat('+3902', lpad(CAST(o_custkey % 50 AS STRING), 6, '0')) END AS telephone",
+    "CASE WHEN o_orderkey % 4 <> 0 THEN concat('agente', o_custkey % 80, '@casa.example') END AS email",
+    "CASE WHEN o_orderkey % 12 <> 0 THEN concat('Agente ', o_custkey % 80) END AS contact_name",
+    "CASE WHEN o_orderkey % 12 = 5 THEN named_struct('incomplete', o_orderkey % 24 = 5, 'price_drop', o_orderkey % 36 = 5, "
+    "'old_price', o_totalprice * 1.25D, 'portal', 'casa.it', 'source_url', concat('https://www.casa.it/immobili/', o_orderkey, '/'), "
+    "'seen_at', TIMESTAMP_NTZ '{as_of}' - make_dt_interval(CAST(o_orderkey % 200 + o_orderkey % 10 AS INT))) END AS portal_card",
+]
 
 
 def listings(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with their customer and region, as listings."""
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
-    region = table(spark, folder, "region").select("r_regionkey", "r_name")
-    k, cust = F.col("o_orderkey"), F.col("o_custkey")
-    segment, priority = F.col("c_mktsegment"), F.col("o_orderpriority")
-    last_seen = _days_before(stamp(AS_OF), k % 200)
-    # One select per step keeps each derived column computed once.
-    base = (orders.join(customer, cust == F.col("c_custkey"))
-            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-            .select(
-                k.alias("k"), cust.alias("cust"),
-                F.concat(F.lit("L"), k).alias("id"), k.cast("string").alias("listing_key"),
-                F.concat(F.lit("S"), cust % 7).alias("source_id"),
-                F.concat(F.lit("https://s"), cust % 7, F.lit(".example/annunci/"), k).alias("url"),
-                F.concat(F.lit("Annuncio "), k).alias("title"),
-                F.when(k % 13 != 0, phrase(k)).alias("description"),
-                F.col("r_name").alias("city"), F.concat(F.lit("Z"), cust % 3).alias("zone"),
-                F.when(k % 9 != 0, F.concat(F.lit("Via "), k % 40)).alias("address"),
-                F.when(segment.isin("BUILDING", "HOUSEHOLD"), "residential").when(segment == "MACHINERY", "logistics")
-                .when(segment == "AUTOMOBILE", "commercial").otherwise("office").alias("property_type"),
-                F.when(priority == "1-URGENT", "to_renovate").when(priority == "2-HIGH", "renovated")
-                .when(priority == "3-MEDIUM", "new").when(priority == "4-NOT SPECIFIED", "good")
-                .otherwise("unknown").alias("condition"),
-                F.when(k % 17 != 0, F.col("o_totalprice")).alias("price"),
-                F.when(k % 23 != 0, (40 + (k * 37) % 400).cast("double")).alias("surface"),
-                F.when(k % 5 <= 2, "commercial").when(k % 5 == 3, "net").otherwise("unknown").alias("area_basis"),
-                F.when(k % 19 == 0, "USD").when(k % 29 == 0, "XXX").otherwise("EUR").alias("currency"),
-                F.when(k % 8 == 0, "rent").when(k % 31 == 0, "unknown").otherwise("sale").alias("transaction_type"),
-                F.when(F.col("o_orderstatus").isin("O", "P"), "listed").when(k % 4 == 0, "sold")
-                .when(k % 4 == 1, "withdrawn").otherwise("unknown").alias("availability"),
-                (k % 37 == 0).alias("is_auction"), (k % 10 == 0).alias("starred"),
-                F.element_at(F.array(*[F.lit(s) for s in ("new", "reviewing", "shortlisted", "due_diligence", "negotiation",
-                                                          "acquired", "discarded")]), (k % 7 + 1).cast("int")).alias("review_status"),
-                (k % 6 + 1).cast("double").alias("rooms"), (k % 3 + 1).cast("double").alias("bathrooms"),
-                F.when(k % 21 != 0, 36 + (k * 7919 % 1200) / F.lit(100.0)).alias("latitude"),
-                F.when(k % 21 != 0, 6 + (k * 104729 % 1330) / F.lit(100.0)).alias("longitude"),
-                last_seen.alias("last_seen"), _days_before(last_seen, k % 300).alias("first_seen"),
-                F.when(k % 14 != 0, stamp(AS_OF) - F.make_dt_interval(F.lit(0), (k % 72).cast("int"))).alias("last_detail_at"),
-                F.when(k % 5 < 2, F.date_format(_days_before(last_seen, k % 300 + k % 30), "yyyy-MM-dd"))
-                .when(k % 5 == 2, "2099-01-01").alias("published_at"),
-                F.when(k % 6 != 0, F.concat(F.lit("+3902"), F.lpad((cust % 50).cast("string"), 6, "0"))).alias("telephone"),
-                F.when(k % 4 != 0, F.concat(F.lit("agente"), cust % 80, F.lit("@casa.example"))).alias("email"),
-                F.when(k % 12 != 0, F.concat(F.lit("Agente "), cust % 80)).alias("contact_name"),
-                F.when(k % 12 == 5, F.struct(
-                    (k % 24 == 5).alias("incomplete"), (k % 36 == 5).alias("price_drop"),
-                    (F.col("o_totalprice") * 1.25).alias("old_price"), F.lit("casa.it").alias("portal"),
-                    F.concat(F.lit("https://www.casa.it/immobili/"), k, F.lit("/")).alias("source_url"),
-                    _days_before(last_seen, k % 10).alias("seen_at"))).alias("portal_card")))
-    return base
+    phrases = ", ".join("'" + p.replace("'", "\\'") + "'" for p in PHRASES)
+    orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
+    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
+    return (orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
+            .join(nation, customer["c_nationkey"] == nation["n_nationkey"])
+            .join(region, nation["n_regionkey"] == region["r_regionkey"])
+            .selectExpr(*[e.format(phrases=phrases, as_of=AS_OF) if "{" in e else e for e in _LISTING]))
 
 
 def observations(spark: SparkSession, folder: str) -> DataFrame:
@@ -230,3 +220,42 @@ def listing_texts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(
         d.alias("doc_id"), F.concat(F.lit("L"), d).alias("id"), F.concat(F.lit("Annuncio "), d).alias("title"),
         F.concat(F.col("text"), F.lit(". "), phrase(d)).alias("description"))
+
+
+def reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """Team decisions on duplicate candidates: a third confirmed, a third rejected, the rest open."""
+    from ..operators.clusters import duplicate_candidates
+    number = lambda c: F.substring(c, 2, 20).cast("bigint")
+    turn = (number(F.col("a")) + number(F.col("b"))) % 3
+    return (duplicate_candidates(listings(spark, folder)).select("a", "b", F.when(turn == 0, "same_asset").when(turn == 1, "distinct").alias("decision"))
+            .where("decision is not null"))
+
+
+def zones(spark: SparkSession, folder: str) -> DataFrame:
+    """One square zone per nation with a hole, on a grid over the area of the listings."""
+    n = F.col("n_nationkey")
+    west, south = 6 + (n % 5) * 2.66, 36 + F.floor(n / 5) * 2.4
+
+    def box(w, s, width, height):
+        point = lambda x, y: F.array(x, y)
+        return F.array(point(w, s), point(w + width, s), point(w + width, s + height), point(w, s + height))
+
+    return table(spark, folder, "nation").select(
+        F.concat(F.lit("B"), n).alias("zone_code"), F.col("n_name").alias("name"),
+        F.array(box(west, south, F.lit(2.0), F.lit(1.9)), box(west + 0.5, south + 0.5, F.lit(0.4), F.lit(0.4))).alias("rings"))
+
+
+def zone_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """Official rows per zone and use, in two conditions and an old or a current period."""
+    n = F.col("n_nationkey")
+    usage = F.explode(F.array(*[F.lit(u) for u in "RCTP"])).alias("usage")
+    rows = table(spark, folder, "nation").select("n_nationkey", usage).select(
+        "n_nationkey", "usage", F.explode(F.array(F.lit(0), F.lit(1))).alias("position"))
+    p = F.col("position")
+    kinds = F.create_map(*[F.lit(x) for x in ("R", "Abitazioni civili", "C", "Negozi", "T", "Uffici", "P", "Capannoni")])
+    low = (900 + 40 * n + 100 * p).cast("double")
+    return rows.select(F.concat(F.lit("B"), n).alias("zone_code"), "usage",
+                       F.when((F.col("usage") == "R") & (p == 1), "Box").otherwise(kinds[F.col("usage")]).alias("type"),
+                       F.when(p == 0, "Normale").otherwise("Ottimo").alias("condition"), low.alias("min_sqm"), (low * 1.5).alias("max_sqm"),
+                       F.when(p == 0, "gross").otherwise("net").alias("area_basis"),
+                       F.when(n % 6 == 5, "1999-S1").otherwise("2001-S1").alias("period"), p.alias("position"))
