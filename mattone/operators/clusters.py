@@ -61,12 +61,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Alternating star contraction: each round links neighbours to the smallest of them, first
     the larger ones, then the smaller ones, until the edge set stops changing. Minima are
     pre-aggregated, so a node with very many edges costs no more than its rows. Each round
-    ends in a checkpoint; the driver sees two numbers per round.
+    ends in a written table; the driver sees two numbers per round.
     """
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    links = cut_lineage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     nodes = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
-    links = cut_lineage(links)
 
     def fingerprint(df):
         row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -77,7 +76,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(smallest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u")
         small = (small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -96,7 +95,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 def asset_clusters(reviews: DataFrame) -> DataFrame:
     """Listing and smallest listing of its asset, from pairs confirmed as the same asset."""
     same = reviews.where(F.col("decision") == "same_asset")
-    return connected_components(same).select(F.col("node").alias("id"), "root")
+    return cut_lineage(connected_components(same).select(F.col("node").alias("id"), "root"))
 
 
 def cluster_contradictions(reviews: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import value_bucket
+from ..session import cut_lineage
 
 _QUARTILES = {"q1_raw": 0.25, "median_raw": 0.5, "q3_raw": 0.75}
 _CENTS = 100  # surfaces are compared on a grid of 0.01 m²
@@ -59,7 +60,7 @@ def band_ranks(points: DataFrame, elements: DataFrame, value: str, bucket: Colum
     """Per point: number of elements in its band and a map from needed rank to value."""
     valued = elements.withColumn("_b", bucket)
     coarse = valued.groupBy(*keys, "_b", "comp_surface").agg(F.count(F.lit(1)).alias("c"))
-    histogram = band_histogram(points, coarse, keys, "_b")
+    histogram = cut_lineage(band_histogram(points, coarse, keys, "_b"))
     at = [*keys, "surface"]
     ordered = Window.partitionBy(*at).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     histogram = (histogram.withColumn("_base", F.sum("c").over(ordered) - F.col("c"))
@@ -67,6 +68,7 @@ def band_ranks(points: DataFrame, elements: DataFrame, value: str, bucket: Colum
     targets = (histogram.withColumn("rank", F.explode(_ranks(F.col("n"))))
                .where((F.col("rank") >= F.col("_base")) & (F.col("rank") < F.col("_base") + F.col("c")))
                .select(*at, "_b", "_base", "n", "rank"))
+    targets = cut_lineage(targets)
     inner_keys = [*keys, "_b"]
     inner_points = (targets.select(*at, "_b").distinct()
                     .withColumn("lo", F.col("surface") * 0.7).withColumn("hi", F.col("surface") * 1.3))
@@ -101,14 +103,14 @@ def crowded_stats(subjects: DataFrame, pool: DataFrame, same_condition: bool) ->
     """The same statistics as the row-by-row path, for groups too dense to be paired."""
     keys = ["seg", "comp_condition"]
     groups = pool.select(*keys).distinct()
-    points = _points(subjects, groups, same_condition)
+    points = cut_lineage(_points(subjects, groups, same_condition))
     at = [*keys, "surface"]
     prices = band_ranks(points, pool, "comp_sqm", value_bucket(F.col("comp_sqm")), keys).withColumnRenamed("v", "prices")
     seen = pool.withColumn("_t", F.unix_micros(F.col("comp_seen").cast("timestamp")))
     moments = (band_ranks(points, seen, "_t", F.floor(F.col("_t") / 86_400_000_000), keys)
                .withColumnRenamed("v", "moments").drop("n"))
     origins = pool.groupBy(*keys, "comp_origin", "comp_surface").agg(F.count(F.lit(1)).alias("c"))
-    by_origin = band_histogram(points, origins, keys, "comp_origin")
+    by_origin = cut_lineage(band_histogram(points, origins, keys, "comp_origin"))
     origin_count = by_origin.groupBy(*at).agg(F.count(F.lit(1)).alias("origins"))
     answers = prices.join(moments, at).join(origin_count, at)
     asked = subjects.join(groups, "seg")

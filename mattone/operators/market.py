@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.expr import all_of, days, half_up, inactive, known, labels, newest_per, present, price_sqm, size_band, stamp, text_key
 from ..functions.quantiles import group_quantiles
+from ..session import cut_lineage
 from .clusters import latest_per_cluster, with_root
 
 
@@ -94,10 +95,14 @@ def _with_domain(pool: DataFrame, sources: DataFrame) -> DataFrame:
             .withColumn("comp_origin", F.coalesce(F.when(F.col("domain") != "", F.col("domain")), "comp_source")).drop("domain"))
 
 
-def _split_by_density(pool: DataFrame, dense: int) -> tuple[DataFrame, DataFrame]:
+def _split_by_density(pool: DataFrame, dense: int) -> tuple[DataFrame, DataFrame | None]:
+    """The pool in small groups and in crowded ones; None when no group is crowded."""
     sizes = pool.groupBy("seg", "comp_condition").agg((F.count(F.lit(1)) > dense).alias("crowded"))
-    tagged = pool.join(sizes, ["seg", "comp_condition"])
-    return tagged.where("not crowded").drop("crowded"), tagged.where("crowded").drop("crowded")
+    crowded_groups = sizes.where("crowded").drop("crowded")
+    keys = ["seg", "comp_condition"]
+    if crowded_groups.limit(1).count() == 0:
+        return pool, None
+    return pool.join(crowded_groups, keys, "left_anti"), cut_lineage(pool.join(crowded_groups, keys, "left_semi"))
 
 
 def _meets(subjects: DataFrame, pool: DataFrame, same_condition: bool) -> DataFrame:
@@ -129,10 +134,12 @@ def market_references(listings: DataFrame, clusters: DataFrame, conflicts: DataF
     from .density import crowded_stats
     conditions = None if same_condition else rules.REFERENCE_CONDITIONS
     subjects = with_root(reference_subjects(listings, same_condition), clusters)
-    pool = _with_domain(reference_pool(listings, clusters, conflicts, as_of, conditions), sources)
+    pool = cut_lineage(_with_domain(reference_pool(listings, clusters, conflicts, as_of, conditions), sources))
     sparse, crowded = _split_by_density(pool, dense)
     asking = subjects.where("refusal is null").select("id", "seg", "root", "surface", "condition")
-    stats = _sparse_stats(asking, sparse, same_condition).unionByName(crowded_stats(asking, crowded, same_condition))
+    stats = _sparse_stats(asking, sparse, same_condition)
+    if crowded is not None:
+        stats = stats.unionByName(crowded_stats(cut_lineage(asking), crowded, same_condition))
     keep = subjects.select("id", "condition", "price", "surface", "refusal")
     if same_condition:
         groups = keep.withColumn("key", F.col("condition"))
@@ -164,11 +171,12 @@ def market_comparables(listings: DataFrame, clusters: DataFrame, conflicts: Data
     from .density import crowded_newest
     subjects = with_root(reference_subjects(listings), clusters).where("refusal is null").select(
         "id", "seg", "root", "surface", "condition")
-    pool = _with_domain(reference_pool(listings, clusters, conflicts, as_of, rules.REFERENCE_CONDITIONS), sources)
+    pool = cut_lineage(_with_domain(reference_pool(listings, clusters, conflicts, as_of, rules.REFERENCE_CONDITIONS), sources))
     sparse, crowded = _split_by_density(pool, dense)
     columns = ["id", "comp_condition", "comp_id", "comp_sqm", "comp_surface", "comp_price", "comp_source", "comp_seen"]
     near = _meets(subjects, sparse, False).select(*columns)
-    near = near.unionByName(crowded_newest(subjects, crowded, shown + 1).select(*columns))
+    if crowded is not None:
+        near = near.unionByName(crowded_newest(subjects, crowded, shown + 1).select(*columns))
     w = Window.partitionBy("id", "comp_condition").orderBy(F.desc("comp_seen"), F.asc("comp_id"))
     return near.withColumn("position", F.row_number().over(w)).where(F.col("position") <= shown)
 

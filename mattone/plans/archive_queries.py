@@ -326,9 +326,6 @@ def _(a: Archive):
     return catalog.due_for_refresh(a.listings, a.sources, AS_OF).select("id")
 
 
-_QUEUE = None
-
-
 # --- History --------------------------------------------------------------------------------------
 
 _LAG = "OVER (PARTITION BY property_id ORDER BY observed_at, observation_id)"
@@ -423,7 +420,7 @@ def _(a: Archive):
 
 
 @query("duplicate_offers", ["listings", "offers"], """SELECT l.id, o.offer_id, o.listings AS offer_listings FROM listings l JOIN offers o
-  ON lower(l.city) = o.city_key AND lower(replace(l.address, ' ', '')) = o.address_key AND l.property_type = o.property_type AND l.source_id = o.source_id AND l.surface = o.surface""")
+  ON lower(replace(l.city, ' ', '')) = o.city_key AND lower(replace(l.address, ' ', '')) = o.address_key AND l.property_type = o.property_type AND l.source_id = o.source_id AND l.surface = o.surface""")
 def _(a: Archive):
     return clusters.duplicate_offers(a.listings).select("id", "offer_id", "offer_listings")
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,15 +32,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for cut lineages: the cluster's ``spark.checkpoint.dir``.
+
+    Only a session without one, as in tests, gets a temporary folder of its own.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="mattone-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return _LOCAL[app]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a session without
-    one, as in tests, gets a temporary folder.
+    The plan is computed once, survives lost executors, and what follows knows the real size.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="mattone-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp")))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
