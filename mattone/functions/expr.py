@@ -13,6 +13,14 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body reads it.
+
+    Without it, filters pushed through a projection copy long expressions many times over.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def known(c) -> Column:
     """Present: not null and none of the words that mean "not known"."""
     c = col(c)

@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from .expr import col, known, labels
+from .expr import col, labels, let
 
 
 def uni(pattern: str, ignore_case: bool = True) -> str:
@@ -64,21 +64,31 @@ def strategies(text: Column) -> Column:
 
 def explicit_status(text: Column) -> Column:
     """Closed state that the text declares: first status word not denied within 30 characters."""
-    squashed = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "))
-    kept = F.filter(spans(squashed, uni(rules.STATUS_PATTERN)),
-                    lambda m: ~window(squashed, m["start"] - 30, m["start"]).rlike(uni(rules.STATUS_NEGATION)))
     mapping = F.create_map(*[F.lit(x) for pair in rules.STATUS_WORDS.items() for x in pair])
-    return F.try_element_at(mapping, F.try_element_at(kept, F.lit(1))["hit"])
+
+    def status(squashed):
+        kept = F.filter(spans(squashed, uni(rules.STATUS_PATTERN)),
+                        lambda m: ~window(squashed, m["start"] - 30, m["start"]).rlike(uni(rules.STATUS_NEGATION)))
+        return F.try_element_at(mapping, F.try_element_at(kept, F.lit(1))["hit"])
+
+    return let(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+", " ")), status)
 
 
 def cadastral(text: Column) -> Column:
     """Declared cadastral category or use, codes in one form."""
+    return let(text, _cadastral)
+
+
+def _cadastral(text: Column) -> Column:
     code = F.regexp_substr(text, F.lit(uni(rules.CADASTRAL_CODE)))
     use = F.regexp_substr(text, F.lit(uni(rules.CADASTRAL_USE)))
     code_at = F.regexp_instr(text, F.lit(uni(rules.CADASTRAL_CODE)))
     use_at = F.regexp_instr(text, F.lit(uni(rules.CADASTRAL_USE)))
     first_code = code.isNotNull() & (use.isNull() | (code_at <= use_at))
-    quote = F.trim(F.when(first_code, code).otherwise(use))
+    return let(F.trim(F.when(first_code, code).otherwise(use)), _cadastral_label)
+
+
+def _cadastral_label(quote: Column) -> Column:
     letter = F.regexp_extract(quote, r"\b([A-F])\s*/?\s*(\d{1,2})\b\s*$", 1)
     digits = F.regexp_extract(quote, r"\b([A-F])\s*/?\s*(\d{1,2})\b\s*$", 2)
     sentence = F.concat(F.upper(F.substring(quote, 1, 1)), F.substring(quote, 2, 1_000_000))
@@ -119,10 +129,13 @@ def contact_route(text: Column) -> Column:
     def unknown(label):
         return F.struct(F.lit("unknown").alias("kind"), F.lit(label).alias("label"), F.lit("").alias("quote"))
 
-    return (F.when((F.size(owner) > 0) & (F.size(mandated) > 0), unknown("Ruolo da verificare"))
-            .when(F.size(owner) > 0, F.try_element_at(owner, F.lit(1)))
-            .when(F.size(mandated) > 0, F.try_element_at(mandated, F.lit(1)))
-            .otherwise(unknown("Filiera da verificare")))
+    def decide(r):
+        return (F.when((F.size(r["owner"]) > 0) & (F.size(r["mandated"]) > 0), unknown("Ruolo da verificare"))
+                .when(F.size(r["owner"]) > 0, F.try_element_at(r["owner"], F.lit(1)))
+                .when(F.size(r["mandated"]) > 0, F.try_element_at(r["mandated"], F.lit(1)))
+                .otherwise(unknown("Filiera da verificare")))
+
+    return let(F.struct(owner.alias("owner"), mandated.alias("mandated")), decide)
 
 
 def fold(text: Column) -> Column:
@@ -142,7 +155,7 @@ def number_pattern(value: Column) -> Column:
     integer = F.when(whole, value.cast("decimal(20,0)").cast("string")).otherwise(F.split(two, r"\.").getItem(0))
     tail = F.when(whole, F.lit("")).otherwise(F.concat(F.lit(r"[.,]"), F.split(two, r"\.").getItem(1)))
     grouped = F.reverse(F.regexp_replace(F.reverse(integer), r"(\d{3})(?=\d)", "$1~"))
-    body = F.regexp_replace(grouped, "~", r"[.\\\\s\\\\x{a0}\\\\x{202f}]?")
+    body = F.regexp_replace(grouped, "~", r"[.\\s\\x{a0}\\x{202f}]?")
     return F.when(value > 0, F.concat(F.lit(r"(?<![\d.,])"), body, tail, F.lit(r"(?![\d]|[.,]\d{3})")))
 
 
@@ -163,9 +176,11 @@ def basis_supported(surface: Column, text: Column) -> Column:
     return labels(tests)
 
 
-def condition_supported(condition: str, quote: Column, text: Column) -> Column:
-    """Whether a quote states this condition of the unit, not of the building or one component."""
-    q = fold(quote)
+def condition_supported(condition: str, q: Column, page: Column) -> Column:
+    """Whether a quote states this condition of the unit, not of the building or one component.
+
+    Quote and page text come folded.
+    """
     no = F.lit(False)
     veto = no
     if condition == "renovated":
@@ -189,10 +204,10 @@ def condition_supported(condition: str, quote: Column, text: Column) -> Column:
         lead = window(q, word_at - 45, word_at)
         own = lead.rlike(uni(rules.CONDITION_LABEL)) | window(q, word_at - 30, word_at).rlike(uni(rules.UNIT_SUBJECT))
         # The quote opens with the adjective: the label must stand right before it in the page.
-        parts = F.split(fold(text), F.concat(F.lit(r"\Q"), q, F.lit(r"\E")))
-        page = F.exists(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))),
+        parts = F.split(page, F.concat(F.lit(r"\Q"), q, F.lit(r"\E")))
+        before_quote = F.exists(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))),
                         lambda p: F.substring(p, F.greatest(F.length(p) - 44, F.lit(1)), F.lit(45)).rlike(uni(rules.CONDITION_LABEL)))
-        labelled = (word_at > 0) & (own | ((word_at == 1) & page))
+        labelled = (word_at > 0) & (own | ((word_at == 1) & before_quote))
     return F.coalesce(~veto & F.when(phrase, stated).otherwise(labelled), no)
 
 
@@ -209,13 +224,16 @@ def date_written(published: Column, text: Column) -> Column:
 
 def price_update_label(price: Column, text: Column) -> Column:
     """Price-update label beside the first print of the price, within 45 characters."""
-    body = number_pattern(price)
-    at = F.regexp_instr(text, body)
-    near = window(text, at - 45, at + F.length(F.regexp_substr(text, body)) + 45)
-    after = F.concat(F.lit("(?i)"), body, F.lit(r"\s*(?:€|euro)?[^\d€]{0,30}?(?:" + rules.PRICE_UPDATE + ")"))
-    before = F.concat(F.lit("(?i)(?:" + rules.PRICE_UPDATE + r")[^\d€]{0,30}?(?:€\s*)?"), body)
-    found = F.coalesce(F.regexp_substr(near, after), F.regexp_substr(near, before))
-    return F.when(at > 0, F.regexp_substr(found, F.lit("(?i)" + rules.PRICE_UPDATE)))
+    def near(x):
+        at = F.regexp_instr(x["text"], x["body"])
+        return F.struct(x["body"].alias("body"), F.when(at > 0, window(x["text"], at - 45, at + F.length(F.regexp_substr(x["text"], x["body"])) + 45)).alias("near"))
+
+    def label(x):
+        after = F.concat(F.lit("(?i)"), x["body"], F.lit(r"\s*(?:€|euro)?[^\d€]{0,30}?(?:" + rules.PRICE_UPDATE + ")"))
+        before = F.concat(F.lit("(?i)(?:" + rules.PRICE_UPDATE + r")[^\d€]{0,30}?(?:€\s*)?"), x["body"])
+        return F.regexp_substr(F.coalesce(F.regexp_substr(x["near"], after), F.regexp_substr(x["near"], before)), F.lit("(?i)" + rules.PRICE_UPDATE))
+
+    return let(let(F.struct(number_pattern(price).alias("body"), text.alias("text")), near), label)
 
 
 def location_pattern(query: Column) -> Column:
@@ -268,7 +286,7 @@ def open_points(instructions: Column) -> Column:
 
 def phone_pattern(digits: Column) -> Column:
     """The whole number as printed, not part of a longer one; a country code before it is fine."""
-    body = F.regexp_replace(digits, r"(\d)(?=\d)", r"$1[\\\\s().\\-/]*")
+    body = F.regexp_replace(digits, r"(\d)(?=\d)", r"$1[\\s().\\-/]*")
     before = r"(?:(?<=(?:\+|\b00)39[\s.]?)|(?<!\d)(?<!\d[().\-/])(?<!(?:^|\D)\d{1,4}[\s().\-/]))"
     after = r"(?![().\-/]?\d)(?![\s().\-/]\d{1,4}(?!\d))"
     return F.concat(F.lit(before), body, F.lit(after))

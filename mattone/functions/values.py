@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from .expr import col
+from .expr import col, let
 
 
 def lookup(mapping: dict[str, str], c: Column, default: str = "unknown") -> Column:
@@ -15,20 +15,28 @@ def lookup(mapping: dict[str, str], c: Column, default: str = "unknown") -> Colu
 
 def parse_number(c) -> Column:
     """Italian or English amount as a double; null when absent, negative or out of range."""
-    text = F.trim(F.translate(col(c), " ", " "))
-    at = F.regexp_instr(text, F.lit(r"\d[\d.,\s]*"))
-    lead = F.rtrim(F.substring(text, F.lit(1), F.greatest(at - 1, F.lit(0))))
-    n = F.regexp_replace(F.regexp_substr(text, F.lit(r"\d[\d.,\s]*")), r"\s+", "")
-    dot, comma = F.instr(n, ".") > 0, F.instr(n, ",") > 0
-    last_dot = F.length(n) - F.instr(F.reverse(n), ".")
-    last_comma = F.length(n) - F.instr(F.reverse(n), ",")
-    plain = (F.when(dot & comma & (last_comma > last_dot), F.translate(F.translate(n, ".", ""), ",", "."))
-             .when(dot & comma, F.translate(n, ",", ""))
-             .when(comma, F.translate(n, ",", "."))
-             .when(n.rlike(r"^\d{1,3}(\.\d{3})+$"), F.translate(n, ".", ""))
-             .otherwise(n))
-    value = plain.try_cast("double")
-    return F.when(~lead.rlike(r"[-−(]$") & (value > 0) & (value < 1e12), value)
+    first = r"\d[\d.,\s]*"
+
+    def plain(n):
+        dot, comma = F.instr(n, ".") > 0, F.instr(n, ",") > 0
+        last_dot = F.length(n) - F.instr(F.reverse(n), ".")
+        last_comma = F.length(n) - F.instr(F.reverse(n), ",")
+        return (F.when(dot & comma & (last_comma > last_dot), F.translate(F.translate(n, ".", ""), ",", "."))
+                .when(dot & comma, F.translate(n, ",", ""))
+                .when(comma, F.translate(n, ",", "."))
+                .when(n.rlike(r"^\d{1,3}(\.\d{3})+$"), F.translate(n, ".", ""))
+                .otherwise(n))
+
+    def read(text):
+        lead = F.rtrim(F.substring(text, F.lit(1), F.greatest(F.regexp_instr(text, F.lit(first)) - 1, F.lit(0))))
+        digits = F.regexp_replace(F.regexp_substr(text, F.lit(first)), r"\s+", "")
+        # Structured data may print a large number with an exponent.
+        scientific = text.rlike(r"^\d+(\.\d+)?E\d+$")
+        value = F.when(scientific, text.try_cast("double")).otherwise(let(digits, plain).try_cast("double"))
+        return F.when(~lead.rlike(r"[-−(]$"), value)
+
+    number = let(F.trim(F.translate(col(c), "\u00a0\u202f", "  ")), read)
+    return let(number, lambda v: F.when((v > 0) & (v < 1e12), v))
 
 
 def clean_text(c) -> Column:
@@ -37,7 +45,7 @@ def clean_text(c) -> Column:
 
 
 def decode_entities(c) -> Column:
-    for name, char in (("&nbsp;", " "), ("&euro;", "€"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+    for name, char in (("&nbsp;", "\u00a0"), ("&euro;", "€"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
                        ("&lt;", "<"), ("&gt;", ">"), ("&sup2;", "²"), ("&rsquo;", "’"), ("&amp;", "&")):
         c = F.replace(col(c), F.lit(name), F.lit(char))
     return c
@@ -120,41 +128,53 @@ def portal_listing(host: Column, path: Column) -> Column:
 
 def canonical_url(c) -> Column:
     """Identity of a page: lower host, no fragment or campaign parameters, parameters sorted."""
-    scheme, host, path, query = (url_part(c, p) for p in ("scheme", "host", "path", "query"))
-    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(
-        F.coalesce(F.try_url_decode(F.regexp_extract(p, r"^([^=]*)", 1)), F.lit("")).alias("k"),
-        F.coalesce(F.try_url_decode(F.regexp_extract(p, r"^[^=]*=?(.*)$", 1)), F.lit("")).alias("v")))
-    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).startswith("utm_")
-                                 & ~F.lower(p["k"]).isin("fbclid", "gclid")))
-    text = F.array_join(F.transform(kept, lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))), "&")
-    base = F.concat(scheme, F.lit("://"), host)
-    return (F.when(scheme == "", col(c))
-            .when(portal_listing(host, path), F.concat(base, F.rtrim(path, F.lit("/")), F.lit("/")))
-            .otherwise(F.concat(base, F.when(path == "", "/").otherwise(path),
-                                F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""))))
+    def parts(u):
+        return F.struct(*[url_part(u, p).alias(p) for p in ("scheme", "host", "path", "query")], u.alias("whole"))
+
+    def parameter(p):
+        return F.struct(F.coalesce(F.try_url_decode(F.regexp_extract(p, r"^([^=]*)", 1)), F.lit("")).alias("k"),
+                        F.coalesce(F.try_url_decode(F.regexp_extract(p, r"^[^=]*=?(.*)$", 1)), F.lit("")).alias("v"))
+
+    def identity(u):
+        pairs = F.transform(F.filter(F.split(u["query"], "&"), lambda p: p != ""), parameter)
+        kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).startswith("utm_") & ~F.lower(p["k"]).isin("fbclid", "gclid")))
+        text = F.array_join(F.transform(kept, lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))), "&")
+        base = F.concat(u["scheme"], F.lit("://"), u["host"])
+        return (F.when(u["scheme"] == "", u["whole"])
+                .when(portal_listing(u["host"], u["path"]), F.concat(base, F.rtrim(u["path"], F.lit("/")), F.lit("/")))
+                .otherwise(F.concat(base, F.when(u["path"] == "", "/").otherwise(u["path"]),
+                                    let(text, lambda t: F.when(t != "", F.concat(F.lit("?"), t)).otherwise("")))))
+
+    return let(let(col(c), parts), identity)
 
 
 def join_url(base, href) -> Column:
     """Absolute form of a link found on a page."""
-    base, href = col(base), F.trim(col(href))
-    scheme, host, path = (url_part(base, p) for p in ("scheme", "host", "path"))
-    root = F.concat(scheme, F.lit("://"), host)
-    folder = F.regexp_replace(path, r"[^/]*$", "")
-    rel_path, rest = F.regexp_extract(href, r"^([^?#]*)(.*)$", 1), F.regexp_extract(href, r"^([^?#]*)(.*)$", 2)
-    joined = F.concat(F.when(folder == "", "/").otherwise(folder), rel_path)
-    segments = F.slice(F.split(joined, "/"), 2, 1_000)
-    # ".." drops the segment before it, "." itself; a trailing one leaves the folder.
-    solved = F.aggregate(segments, F.array().cast("array<string>"),
-                         lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-                         .when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
-    tail = F.when(rel_path.rlike(r"(^|/)\.\.?$"), F.lit("/")).otherwise(F.lit(""))
-    resolved = F.concat(root, F.lit("/"), F.array_join(solved, "/"), F.when(F.size(solved) > 0, tail).otherwise(""), rest)
-    return (F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
-            .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-            .when(href.startswith("/"), F.concat(root, href))
-            .when(href.startswith("?"), F.concat(root, path, href))
-            .when(href.startswith("#") | (href == ""), F.concat(F.regexp_replace(base, "#.*$", ""), href))
-            .otherwise(resolved))
+    def parts(x):
+        u, h = x["base"], x["href"]
+        return F.struct(url_part(u, "scheme").alias("scheme"), url_part(u, "host").alias("host"), url_part(u, "path").alias("path"),
+                        u.alias("base"), h.alias("href"), F.regexp_extract(h, r"^([^?#]*)", 1).alias("relative"))
+
+    def folded(segments):
+        # ".." drops the segment before it, "." itself.
+        return F.aggregate(segments, F.array().cast("array<string>"),
+                           lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+                           .when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
+
+    def resolve(x):
+        h, root = x["href"], F.concat(x["scheme"], F.lit("://"), x["host"])
+        folder = F.regexp_replace(x["path"], r"[^/]*$", "")
+        joined = F.concat(F.when(folder == "", "/").otherwise(folder), x["relative"])
+        tail = F.when(x["relative"].rlike(r"(^|/)\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+        solved = let(folded(F.slice(F.split(joined, "/"), 2, 1_000)), lambda s: F.concat(F.array_join(s, "/"), F.when(F.size(s) > 0, tail).otherwise("")))
+        return (F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
+                .when(h.startswith("//"), F.concat(x["scheme"], F.lit(":"), h))
+                .when(h.startswith("/"), F.concat(root, h))
+                .when(h.startswith("?"), F.concat(root, x["path"], h))
+                .when(h.startswith("#") | (h == ""), F.concat(F.regexp_replace(x["base"], "#.*$", ""), h))
+                .otherwise(F.concat(root, F.lit("/"), solved, F.regexp_extract(h, r"^[^?#]*(.*)$", 1))))
+
+    return let(let(F.struct(col(base).alias("base"), F.trim(col(href)).alias("href")), parts), resolve)
 
 
 def listing_key(url) -> Column:

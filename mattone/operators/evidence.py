@@ -33,8 +33,12 @@ def supported_numbers(claims: DataFrame, texts: DataFrame) -> DataFrame:
 
 def supported_conditions(claims: DataFrame, texts: DataFrame) -> DataFrame:
     """Claims (claim_id, doc_id, condition, quote) with whether the quote states that condition of the unit."""
-    joined = claims.join(texts.select("doc_id", "text"), "doc_id")
-    out = F.lit(False)
-    for name in ("renovated", "to_renovate", "good", "new", "shell"):
-        out = F.when(F.col("condition") == name, T.condition_supported(name, F.col("quote"), F.col("text"))).otherwise(out)
-    return joined.select("claim_id", "doc_id", "condition", "quote", out.alias("supported"))
+    pages = texts.select("doc_id", T.fold(F.col("text")).alias("_page"))
+    joined = claims.withColumn("_q", T.fold(F.col("quote"))).join(pages, "doc_id")
+    # One branch per condition, each with its own few rules.
+    parts = [joined.where(F.col("condition") == name).withColumn("supported", T.condition_supported(name, F.col("_q"), F.col("_page")))
+             for name in ("renovated", "to_renovate", "good", "new", "shell")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("claim_id", "doc_id", "condition", "quote", "supported")

@@ -57,7 +57,7 @@ def _(a: Archive):
 FROM (SELECT *, unnest([0, 1, 2]) AS n FROM documents) d""")
 def _(a: Archive):
     docs = a.table("documents").select("doc_id", "text")
-    quotes = F.array(F.upper("text"), F.regexp_replace("text", " ", "  "), F.concat(F.lit("« senza riscontro »"), "text"))
+    quotes = F.array(F.col("text"), F.regexp_replace("text", " ", "  "), F.concat(F.lit("« senza riscontro »"), "text"))
     claims = docs.select("doc_id", F.posexplode(quotes).alias("n", "quote")).withColumn("claim_id", F.col("doc_id") * 3 + F.col("n"))
     return evidence.quote_check(claims, docs).select("claim_id", "doc_id", "supported")
 
@@ -141,12 +141,12 @@ def _(a: Archive):
     return a.listings.select("id", V.norm_phone("telephone").alias("phone"), V.norm_email("email").alias("mail"))
 
 
-_KEYED = f"""keyed AS (SELECT *, list_filter([CASE WHEN telephone IS NOT NULL THEN concat('tel:', substring(telephone, 4)) END, CASE WHEN email IS NOT NULL THEN concat('mail:', email) END], x -> x IS NOT NULL) AS direct
+_KEYED = f"""keyed AS (SELECT *, list_filter([CASE WHEN telephone IS NOT NULL THEN concat('tel:', substring(telephone, 4)) END, CASE WHEN email IS NOT NULL THEN concat('mail:', email) END], lambda x: x IS NOT NULL) AS direct
   FROM listings WHERE availability NOT IN ({CLOSED}))"""
 _KEYS_CASE = "CASE WHEN len(direct) > 0 THEN direct WHEN contact_name IS NOT NULL THEN [concat('name:', lower(contact_name))] ELSE [] END"
 _ADVERTISERS = f"""
   SELECT node AS key, min(other) AS advertiser FROM (
-    WITH RECURSIVE k AS (SELECT DISTINCT {_KEYS_CASE} AS keys FROM (SELECT *, list_filter([CASE WHEN telephone IS NOT NULL THEN concat('tel:', substring(telephone, 4)) END, CASE WHEN email IS NOT NULL THEN concat('mail:', email) END], x -> x IS NOT NULL) AS direct
+    WITH RECURSIVE k AS (SELECT DISTINCT {_KEYS_CASE} AS keys FROM (SELECT *, list_filter([CASE WHEN telephone IS NOT NULL THEN concat('tel:', substring(telephone, 4)) END, CASE WHEN email IS NOT NULL THEN concat('mail:', email) END], lambda x: x IS NOT NULL) AS direct
         FROM listings WHERE availability NOT IN ({CLOSED}))),
       e AS (SELECT keys[1] AS u, keys[len(keys)] AS v FROM k WHERE len(keys) > 0 UNION SELECT keys[len(keys)], keys[1] FROM k WHERE len(keys) > 0),
       r(node, other) AS (SELECT DISTINCT u, u FROM e UNION SELECT r.node, e.v FROM r JOIN e ON r.other = e.u)
@@ -159,11 +159,11 @@ def _(a: Archive):
 
 
 _AD_ROWS = f"""(SELECT l.*, c.advertiser, substring(telephone, 4) AS phone FROM (SELECT *, ({_KEYS_CASE})[1] AS key FROM (SELECT *, list_filter([CASE WHEN telephone IS NOT NULL THEN concat('tel:', substring(telephone, 4)) END,
-  CASE WHEN email IS NOT NULL THEN concat('mail:', email) END], x -> x IS NOT NULL) AS direct FROM listings WHERE availability NOT IN ({CLOSED}))) l JOIN ({_ADVERTISERS}) c ON l.key = c.key)"""
+  CASE WHEN email IS NOT NULL THEN concat('mail:', email) END], lambda x: x IS NOT NULL) AS direct FROM listings WHERE availability NOT IN ({CLOSED}))) l JOIN ({_ADVERTISERS}) c ON l.key = c.key)"""
 
 
 def _top(column: str) -> str:
-    return f"(SELECT advertiser, {column} AS v FROM {_AD_ROWS} WHERE {column} IS NOT NULL GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY advertiser ORDER BY count(*) DESC, {column}) = 1)"
+    return f"(SELECT advertiser, {column} AS v FROM {_AD_ROWS} WHERE {column} IS NOT NULL GROUP BY advertiser, {column} QUALIFY row_number() OVER (PARTITION BY advertiser ORDER BY count(*) DESC, {column}) = 1)"
 
 
 @query("broker_directory", ["listings"], f"""
@@ -429,39 +429,31 @@ def _inputs(a: Archive):
     k = F.col("k")
     number = lambda c: F.coalesce(c, F.lit(0)).cast("double")
     return a.listings.where("price is not null").select(
-        "id", F.col("price").alias("purchase"), F.round(F.col("price") * 1.3, 2).alias("sale"), number(k % 50 * 1000).alias("works"), number(k % 20 * 500).alias("acquisition_costs"),
+        "id", F.col("price").alias("purchase"), (F.col("price") + 50000).alias("sale"), number(k % 50 * 1000).alias("works"), number(k % 20 * 500).alias("acquisition_costs"),
         number(k % 15).alias("contingency_pct"), number(k % 6).alias("selling_pct"), number(k % 10 * 100).alias("holding_monthly"), (k % 24 + 1).cast("int").alias("months"),
         number(k % 25).alias("target_roi_pct"), number(k % 20).alias("stress_sale_pct"), number(k % 40).alias("stress_works_pct"), (k % 12).cast("int").alias("stress_delay_months"))
 
 
-_D = lambda x: f"CAST({x} AS DECIMAL(20,4))"
-_INPUTS = """(SELECT id, price AS purchase, round(price * 1.3, 2) AS sale, k % 50 * 1000 AS works, k % 20 * 500 AS costs, k % 15 AS contingency, k % 6 AS selling, k % 10 * 100 AS holding, k % 24 + 1 AS months,
-  k % 25 AS target, k % 20 AS s_sale, k % 40 AS s_works, k % 12 AS s_delay FROM listings WHERE price IS NOT NULL)"""
+_INPUTS = """(SELECT id, CAST(price AS DECIMAL(20,4)) AS purchase, CAST(price + 50000 AS DECIMAL(20,4)) AS sale, k % 50 * 1000 AS works, k % 20 * 500 AS costs, k % 15 AS contingency, k % 6 AS selling,
+  k % 10 * 100 AS holding, k % 24 + 1 AS months, k % 25 AS target, k % 20 AS s_sale, k % 40 AS s_works, k % 12 AS s_delay FROM listings WHERE price IS NOT NULL)"""
+_I = "(purchase + costs + CAST(works * (1 + contingency * 0.01) AS DECIMAL(20,4)) + holding * months)"
+_P = f"(CAST(sale * (1 - selling * 0.01) AS DECIMAL(24,8)) - {_I})"
+_SI = "(purchase + costs + CAST(works * CAST(1 + s_works * 0.01 AS DECIMAL(10,2)) * (1 + contingency * 0.01) AS DECIMAL(24,8)) + holding * (months + s_delay))"
+_SP = f"(CAST(sale * CAST(1 - s_sale * 0.01 AS DECIMAL(10,2)) * CAST(1 - selling * 0.01 AS DECIMAL(10,2)) AS DECIMAL(28,8)) - {_SI})"
+_CENT = lambda x: f"CAST(round({x}, 2) AS DOUBLE)"
 
 
-def _inv(works: str, months: str) -> str:
-    return f"({_D('purchase')} + costs + {works} * (100 + contingency) / CAST(100 AS DECIMAL(5,0)) + holding * ({months}))"
-
-
-_I = "(purchase + costs + works * (1 + contingency / 100.0) + holding * months)"
-_P = f"(sale * (1 - selling / 100.0) - {_I})"
-_SI = "(purchase + costs + works * (1 + s_works / 100.0) * (1 + contingency / 100.0) + holding * (months + s_delay))"
-_SP = f"(sale * (1 - s_sale / 100.0) * (1 - selling / 100.0) - {_SI})"
-
-
-@query("scenario_profit", ["listings"], f"""SELECT id, round({_I}, 0) AS invested, round({_P}, 0) AS profit, round({_P} / {_I} * 100, 1) AS roi_pct, round({_I} / (1 - selling / 100.0), 0) AS breakeven_sale,
-  round(({_I} + {_P}) / (1 + target / 100.0) - ({_I} - purchase), 0) AS max_purchase, round({_SI}, 0) AS stress_invested, round({_SP}, 0) AS stress_profit,
-  round(({_SI} + {_SP}) / (1 + target / 100.0) - ({_SI} - purchase), 0) AS stress_max_purchase FROM {_INPUTS}""")
+@query("scenario_profit", ["listings"], f"""SELECT id, {_CENT(_I)} AS invested, {_CENT(_P)} AS profit, {rnd(f'{_P} / {_I} * 100', 2)} AS roi_pct, {rnd(f'{_I} / (1 - selling * 0.01)', 2)} AS breakeven_sale,
+  {_CENT(_SI)} AS stress_invested, {_CENT(_SP)} AS stress_profit, {_P} * 100 >= target * {_I} AS target_met, {_SP} * 100 >= target * {_SI} AS stress_target_met FROM {_INPUTS}""")
 def _(a: Archive):
-    out = scenario.scenario_profit(_inputs(a))
-    whole = [F.round(c, 0).alias(c) for c in ("invested", "profit", "breakeven_sale", "max_purchase", "stress_invested", "stress_profit", "stress_max_purchase")]
-    return out.select("id", F.round("roi_pct", 1).alias("roi_pct"), *whole)
+    return scenario.scenario_profit(_inputs(a)).select("id", "invested", "profit", "roi_pct", "breakeven_sale", "stress_invested", "stress_profit", "target_met", "stress_target_met")
 
 
-@query("sensitivity_grid", ["listings"], f"""SELECT id, s AS sale_change_pct, w AS works_change_pct, round(sale * (1 + s / 100.0) * (1 - selling / 100.0) - (purchase + costs + works * (1 + w / 100.0) * (1 + contingency / 100.0) + holding * months), 0) AS profit
+@query("sensitivity_grid", ["listings"], f"""SELECT id, s AS sale_change_pct, w AS works_change_pct, {_CENT("""CAST(sale * CAST(1 + s * 0.01 AS DECIMAL(10,2)) * CAST(1 - selling * 0.01 AS DECIMAL(10,2)) AS DECIMAL(28,8))
+  - (purchase + costs + CAST(works * CAST(1 + w * 0.01 AS DECIMAL(10,2)) * (1 + contingency * 0.01) AS DECIMAL(24,8)) + holding * months)""")} AS profit
 FROM {_INPUTS}, (SELECT unnest([-10, 0, 10]) AS s), (SELECT unnest([0, 20]) AS w)""")
 def _(a: Archive):
-    return scenario.sensitivity_grid(_inputs(a)).select("id", "sale_change_pct", "works_change_pct", F.round("profit", 0).alias("profit"))
+    return scenario.sensitivity_grid(_inputs(a)).select("id", "sale_change_pct", "works_change_pct", "profit")
 
 
 _COS = "cos(42.0 * pi() / 180)"
@@ -488,7 +480,7 @@ def _(a: Archive):
 
 
 _QUOTES = """(SELECT concat('B', n_nationkey) AS zone_code, usage, CASE WHEN usage = 'R' AND p = 1 THEN 'Box' WHEN usage = 'R' THEN 'Abitazioni civili' WHEN usage = 'C' THEN 'Negozi' WHEN usage = 'T' THEN 'Uffici' ELSE 'Capannoni' END AS type,
-  CASE WHEN p = 0 THEN 'Normale' ELSE 'Ottimo' END AS quote_condition, CAST(900 + 40 * n_nationkey + 100 * p AS DOUBLE) AS min_sqm, (900 + 40 * n_nationkey + 100 * p) * 1.5 AS max_sqm,
+  CASE WHEN p = 0 THEN 'Normale' ELSE 'Ottimo' END AS quote_condition, CAST(900 + 40 * n_nationkey + 100 * p AS DOUBLE) AS min_sqm, CAST((900 + 40 * n_nationkey + 100 * p) * 1.5 AS DOUBLE) AS max_sqm,
   CASE WHEN n_nationkey % 6 = 5 THEN '1999-S1' ELSE '2001-S1' END AS period, p AS position FROM (SELECT *, unnest(['R', 'C', 'T', 'P']) AS usage FROM nation) n, (SELECT unnest([0, 1]) AS p))"""
 _USAGE = "CASE property_type WHEN 'residential' THEN 'R' WHEN 'commercial' THEN 'C' WHEN 'office' THEN 'T' ELSE 'P' END"
 
@@ -580,7 +572,7 @@ def _(a: Archive):
     return found.select(F.regexp_extract("link", r"(\d+)$", 1).cast("bigint").alias("page_id"), "link")
 
 
-@query("scan_zone_quotes", [], """SELECT concat('B', n_nationkey) AS zone_code, 'Uffici' AS type, 'Normale' AS condition, 900.5 + 40 * n_nationkey AS min_sqm, 1500.0 + 40 * n_nationkey AS max_sqm, CASE WHEN n_nationkey % 2 = 0 THEN 'gross' ELSE 'net' END AS area_basis FROM nation""")
+@query("scan_zone_quotes", [], """SELECT concat('B', n_nationkey) AS zone_code, 'Uffici' AS type, 'Normale' AS condition, CAST(900.5 + 40 * n_nationkey AS DOUBLE) AS min_sqm, CAST(1500 + 40 * n_nationkey AS DOUBLE) AS max_sqm, CASE WHEN n_nationkey % 2 = 0 THEN 'gross' ELSE 'net' END AS area_basis FROM nation""")
 def _(a: Archive):
     n = F.col("n_nationkey")
     cell = lambda c: F.concat(F.lit("<td> "), c, F.lit(" </td>"))
@@ -667,11 +659,11 @@ def _current(a: Archive):
 
 def _batch(a: Archive):
     k = F.col("k")
-    return (a.listings.where("k % 3 = 0").withColumn("price", F.when(k % 6 == 0, F.round(F.col("price") * 0.9, 2)).otherwise(F.col("price")))
+    return (a.listings.where("k % 3 = 0").withColumn("price", F.when(k % 6 == 0, F.col("price") - 1000).otherwise(F.col("price")))
             .withColumn("availability", F.when(k % 9 == 0, "sold").otherwise("listed")).withColumn("http_status", F.when(k % 33 == 0, 404).otherwise(200)))
 
 
-_MERGED = f"""SELECT source_id, listing_key, k % 10 <> 0 AS was, k % 3 = 0 AS sent, k % 33 = 0 AS gone, price, availability, CASE WHEN k % 6 = 0 THEN round(price * 0.9, 2) ELSE price END AS b_price,
+_MERGED = f"""SELECT source_id, listing_key, k % 10 <> 0 AS was, k % 3 = 0 AS sent, k % 33 = 0 AS gone, price, availability, CASE WHEN k % 6 = 0 THEN price - 1000 ELSE price END AS b_price,
   CASE WHEN k % 9 = 0 THEN 'sold' ELSE 'listed' END AS b_avail FROM listings"""
 _NEW_AVAIL = f"CASE WHEN NOT sent THEN availability WHEN gone THEN 'review' WHEN was AND availability IN ({CLOSED}) AND b_avail = 'listed' THEN availability ELSE b_avail END"
 _MERGE_SQL = f"""SELECT source_id, listing_key, CASE WHEN sent AND NOT gone THEN b_price ELSE price END AS price, {_NEW_AVAIL} AS availability, sent AS in_batch, NOT was AS created,
@@ -694,7 +686,7 @@ def _(a: Archive):
 
 
 @query("notifications", ["listings"], f"""SELECT kind, count(*) AS n FROM (SELECT m.*, unnest(list_filter([CASE WHEN m.created THEN 'new_property' END, CASE WHEN NOT m.created AND m.changed AND m.price IS DISTINCT FROM l.price THEN 'price_change' END,
-  CASE WHEN NOT m.created AND m.availability <> l.availability AND m.availability IN ({CLOSED}, 'review') THEN 'availability_change' END], x -> x IS NOT NULL)) AS kind FROM ({_MERGE_SQL}) m JOIN listings l ON m.listing_key = l.listing_key WHERE in_batch) GROUP BY 1""")
+  CASE WHEN NOT m.created AND m.availability <> l.availability AND m.availability IN ({CLOSED}, 'review') THEN 'availability_change' END], lambda x: x IS NOT NULL)) AS kind FROM ({_MERGE_SQL}) m JOIN listings l ON m.listing_key = l.listing_key WHERE in_batch) GROUP BY 1""")
 def _(a: Archive):
     return merge.notifications(merge.merge_listings(_current(a), _batch(a), AS_OF), "R1").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -727,7 +719,7 @@ def _card_base(a: Archive):
     return a.listings.where("k % 10 <> 0").withColumn("incomplete", k % 3 == 0).withColumn("title_rank", F.lit(4))
 
 
-_CARD_SQL = """SELECT listing_key, CASE WHEN k % 2 = 1 THEN title ELSE 'Titolo 1' END AS title, CASE WHEN k % 2 = 1 THEN price WHEN k % 6 = 0 THEN 5001.0 + k ELSE 5002.0 + k END AS price,
+_CARD_SQL = """SELECT listing_key, CASE WHEN k % 2 = 1 OR NOT part THEN title ELSE 'Titolo 1' END AS title, CASE WHEN k % 2 = 1 THEN price WHEN k % 6 = 0 THEN 5001.0 + k ELSE 5002.0 + k END AS price,
   CASE WHEN k % 2 = 1 THEN surface WHEN part OR surface IS NULL THEN 77.0 ELSE surface END AS surface, CASE WHEN k % 2 = 1 THEN address WHEN part OR address IS NULL THEN concat('Via Carta ', k) ELSE address END AS address,
   CASE WHEN k % 2 = 1 OR NOT part THEN city ELSE 'Milano' END AS city, CASE WHEN k % 2 = 1 THEN k % 3 = 0 ELSE part END AS incomplete, k % 10 = 0 AS created
 FROM (SELECT *, k % 10 = 0 OR k % 3 = 0 AS part FROM listings) WHERE k % 10 <> 0 OR k % 2 = 0"""

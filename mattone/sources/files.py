@@ -126,9 +126,10 @@ def scan_zone_quotes(documents: DataFrame) -> DataFrame:
     cells = F.transform(F.regexp_extract_all(F.col("row"), F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)), clean_text)
     keep = [c for c in documents.columns if c != "html"]
     out = documents.select(*keep, F.posexplode(rows).alias("position", "row")).withColumn("c", cells).where(F.size("c") == 8)
-    number = lambda i: F.replace(F.col("c")[i], F.lit(","), F.lit(".")).try_cast("double")
-    out = out.select(*keep, "position", F.col("c")[0].alias("type"), F.col("c")[1].alias("condition"), number(2).alias("min_sqm"),
-                     number(3).alias("max_sqm"), F.col("c")[4].alias("_basis"))
+    cell = lambda i: F.get("c", i)
+    number = lambda i: F.replace(cell(i), F.lit(","), F.lit(".")).try_cast("double")
+    out = out.select(*keep, "position", cell(0).alias("type"), cell(1).alias("condition"), number(2).alias("min_sqm"),
+                     number(3).alias("max_sqm"), cell(4).alias("_basis"))
     ok = (F.col("min_sqm") > 0) & (F.col("min_sqm") <= F.col("max_sqm")) & (F.col("max_sqm") < 1_000_000) & F.col("_basis").isin("L", "N")
     return out.where(ok).withColumn("area_basis", F.when(F.col("_basis") == "L", "gross").otherwise("net")).drop("_basis")
 
@@ -148,8 +149,9 @@ def scan_semantic_results(results: DataFrame) -> DataFrame:
     allowed = F.array(*[F.lit(k) for k in ("summary", "strategies", "caveats", "custom_assessment")])
     statuses = ["matched", "not_matched", "uncertain"]
     c = F.col("r.custom_assessment")
+    broken = F.col("_keys").isNull() | F.col("r._bad").isNotNull()
     problems = labels([
-        ("not a JSON object", F.col("_keys").isNull() | F.col("r._bad").isNotNull()), ("too long", F.length("content") > 30000),
+        ("too long", F.length("content") > 30000),
         ("extra fields", F.size(F.array_except("_keys", allowed)) > 0),
         ("summary missing or too long", F.col("r.summary").isNull() | (F.length("r.summary") > 1500)),
         ("too many strategies", F.size(s) > 4), ("too many caveats", F.size("r.caveats") > 8),
@@ -157,4 +159,4 @@ def scan_semantic_results(results: DataFrame) -> DataFrame:
         ("evidence length", F.exists(s, lambda x: ~F.coalesce(F.length(x["evidence"]).between(5, 700), F.lit(False)))),
         ("assessment status", c.isNotNull() & ~F.coalesce(c["status"].isin(*statuses), F.lit(False))),
         ("assessment reason", c.isNotNull() & ~F.coalesce(F.length(c["reason"]).between(5, 800), F.lit(False)))])
-    return rows.withColumn("error", F.when(F.size(problems) > 0, F.array_join(problems, "; "))).drop("_keys")
+    return rows.withColumn("error", F.when(broken, "not a JSON object").when(F.size(problems) > 0, F.array_join(problems, "; "))).drop("_keys")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as T
-from ..functions.expr import known, stamp
+from ..functions.expr import let
 from ..functions.values import (canonical_url, clean_text, currency_of, join_url, listing_key, lookup, normalize_condition,
                                 parse_number, portal_listing, property_type_of, split_locality, url_part, valid_email)
 
@@ -88,53 +88,73 @@ def _first_of(node: Column, path: str) -> Column:
     return F.when(raw.startswith("["), _json(node, path + "[0]")).otherwise(raw)
 
 
+def page_identity(url: Column) -> Column:
+    """Host and path of a page: enough to tell whether structured data speaks of it."""
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^?#]*[^?#/])", 1))
+
+
+def same_page(node: Column, path: str) -> Column:
+    """Whether the address under ``path`` of a node is this page, absolute or from the root."""
+    ref = _json(node, path)
+    return F.when(ref.startswith("/"), F.col("page").endswith(F.lower(F.regexp_extract(ref, r"^([^?#]*[^?#/])", 1)))).otherwise(page_identity(ref) == F.col("page"))
+
+
 def choose_node(parsed: DataFrame) -> DataFrame:
     """The structured-data object that describes the listing: the one with most of six fields.
 
     Objects that name another page are skipped; ``offer`` may sit on a wrapper.
     """
-    page = canonical_url("url")
-    own = F.filter("nodes", lambda n: _json(n, "$.url").isNull() | (canonical_url(join_url(F.col("url"), _json(n, "$.url"))) == page))
+    own = F.filter("nodes", lambda n: _json(n, "$.url").isNull() | (same_page(n, "$.url")))
     accepted = [*rules.TYPE_MAP, "realestatelisting", "product", "accommodation", "place"]
     weighed = F.transform(F.filter("own", lambda n: F.arrays_overlap(_type_names(n), F.array(*[F.lit(t) for t in accepted]))),
                           lambda n, i: F.struct(sum((_json(n, f"$.{k}").isNotNull().cast("int") for k in
                                                      ("offers", "floorSize", "address", "description", "price", "numberOfRooms")), F.lit(0)).alias("w"),
                                                 (-i).alias("i"), n.alias("n")))
     wrapper = F.try_element_at(F.filter("own", lambda n: _json(n, "$['@type']") == "RealEstateListing"), F.lit(1))
-    out = parsed.withColumn("own", own).withColumn("node", F.array_max(weighed)["n"]).withColumn("wrapper", wrapper)
+    out = parsed.withColumn("page", page_identity(F.col("url"))).withColumn("own", own).withColumn("node", F.array_max(weighed)["n"]).withColumn("wrapper", wrapper)
     return out.withColumn("offer", F.coalesce(_first_of(F.col("node"), "$.offers"), _first_of(F.col("wrapper"), "$.offers"))).drop("own")
 
 
+_NODE = ("name string, description string, floorSize string, address string, geo string, price string, numberOfRooms string, "
+         "numberOfBathroomsTotal string, additionalProperty string, datePosted string, datePublished string, `@type` string, "
+         "seller string, offeredBy string, broker string")
+_OFFER = "price string, priceCurrency string, businessFunction string, availability string, seller string, offeredBy string, broker string"
+_PERSON = "name string, telephone string, email string, worksFor struct<name:string>"
+
+
+def open_nodes(chosen: DataFrame) -> DataFrame:
+    """The chosen objects as columns: n, o (offer), w (wrapper) and their nested parts, each read once."""
+    out = (chosen.withColumn("n", F.from_json("node", _NODE)).withColumn("o", F.from_json("offer", _OFFER)).withColumn("w", F.from_json("wrapper", _NODE)))
+    raw = F.col("n.additionalProperty")
+    extras = F.from_json(F.when(raw.startswith("{"), F.concat(F.lit("["), raw, F.lit("]"))).otherwise(raw), "array<struct<name:string,value:string>>")
+    return (out.withColumn("floor", F.from_json("n.floorSize", "value string, unitCode string")).withColumn("place", F.from_json("n.address", "streetAddress string, addressLocality string"))
+            .withColumn("geo", F.from_json("n.geo", "latitude string, longitude string")).withColumn("extras", extras)
+            .withColumn("types", F.when(F.col("node").isNotNull(), _type_names(F.col("node")))))
+
+
 def _additional(name: str) -> Column:
     """Value of a named additional property, last one wins."""
-    raw = _json(F.col("node"), "$.additionalProperty")
-    items = F.from_json(F.when(raw.startswith("{"), F.concat(F.lit("["), raw, F.lit("]"))).otherwise(raw), "array<struct<name:string,value:string>>")
-    hits = F.filter(items, lambda p: (F.lower(F.trim(p["name"])) == name) & (F.coalesce(p["value"], F.lit("")) != ""))
-    return clean_text(F.try_element_at(hits, F.lit(-1))["value"])
+    hits = F.filter("extras", lambda p: (F.lower(F.trim(p["name"])) == name) & (F.coalesce(p["value"], F.lit("")) != ""))
+    return F.trim(F.try_element_at(hits, F.lit(-1))["value"])
 
 
 def declared_dates_contacts(chosen: DataFrame) -> DataFrame:
     """Publication date a page states for itself and the advertiser its structured data names."""
-    n, o, w = F.col("node"), F.col("offer"), F.col("wrapper")
-    dates = [_json(x, f"$.{k}") for x in (n, w) for k in ("datePosted", "datePublished")]
-    page = canonical_url("url")
     articles = F.filter("nodes", lambda x: F.arrays_overlap(_type_names(x), F.array(*[F.lit(t) for t in ("webpage", "itempage", "article", "blogposting")]))
-                        & (canonical_url(join_url(F.col("url"), F.coalesce(_json(x, "$.url"), _json(x, "$['@id']"), _json(x, "$.mainEntityOfPage")))) == page))
-    dates.append(_json(F.try_element_at(articles, F.lit(1)), "$.datePublished"))
-    contacts = []
-    for holder in (o, n, w):
-        for key in ("seller", "offeredBy", "broker"):
-            base = f"$.{key}"
-            item = F.struct(clean_text(_json(holder, base + ".name")).alias("name"),
-                            clean_text(_json(holder, base + ".worksFor.name")).alias("organization"),
-                            F.regexp_replace(clean_text(_json(holder, base + ".telephone")), r"[\s().-]", "").alias("telephone"),
-                            clean_text(_json(holder, base + ".email")).alias("email"), F.lit("JSON-LD " + key).alias("method"))
-            given = (F.coalesce(item["name"], F.lit("")) != "") | (F.coalesce(item["telephone"], F.lit("")) != "") | (F.coalesce(item["email"], F.lit("")) != "")
-            contacts.append(F.when(given, item))
-    c = F.coalesce(*contacts)
-    valid = [F.when(F.try_to_timestamp(d).isNotNull(), d) for d in dates]
-    return (chosen.withColumn("published_at", F.coalesce(*valid)).withColumn("_c", c)
-            .withColumn("contact_name", F.col("_c.name")).withColumn("organization", F.col("_c.organization"))
+                        & (same_page(x, "$.url") | same_page(x, "$['@id']") | same_page(x, "$.mainEntityOfPage")))
+    dates = F.array("n.datePosted", "n.datePublished", "w.datePosted", "w.datePublished", _json(F.try_element_at(articles, F.lit(1)), "$.datePublished"))
+
+    def person(x):
+        p = F.from_json(x["json"], _PERSON)
+        return let(p, lambda v: F.struct(v["name"].alias("name"), v["worksFor"]["name"].alias("organization"), F.regexp_replace(v["telephone"], r"[\s().-]", "").alias("telephone"),
+                                         F.trim(v["email"]).alias("email"), F.concat(F.lit("JSON-LD "), x["key"]).alias("method")))
+
+    holders = F.array(*[F.struct(F.lit(key).alias("key"), F.col(f"{h}.{key}").alias("json")) for h in ("o", "n", "w") for key in ("seller", "offeredBy", "broker")])
+    people = F.transform(F.filter(holders, lambda x: x["json"].startswith("{")), person)
+    given = F.filter(people, lambda c: F.concat_ws("", c["name"], c["telephone"], c["email"], c["organization"]) != "")
+    return (chosen.withColumn("published_at", F.try_element_at(F.filter(dates, lambda d: F.try_to_timestamp(d).isNotNull()), F.lit(1)))
+            .withColumn("_c", F.try_element_at(given, F.lit(1)))
+            .withColumn("contact_name", clean_text("_c.name")).withColumn("organization", clean_text("_c.organization"))
             .withColumn("telephone", F.when(F.col("_c.telephone").rlike(rules.PHONE_SHAPE), F.col("_c.telephone")))
             .withColumn("email", F.when(valid_email("_c.email"), F.col("_c.email"))).withColumn("contact_method", F.col("_c.method")).drop("_c"))
 
@@ -183,27 +203,26 @@ def scan_pages(pages: DataFrame, fields: dict[str, str] | None = None) -> DataFr
 
     Pages without title, or without price, surface and address, keep a ``reject_reason``.
     """
-    rows = declared_dates_contacts(choose_node(portal_fields(parse_pages(pages, fields))))
-    n, o = F.col("node"), F.col("offer")
-    css = lambda k: F.when(F.coalesce(F.col("fields")[k], F.lit("")) != "", clean_text(F.col("fields")[k]))
+    rows = declared_dates_contacts(open_nodes(choose_node(portal_fields(parse_pages(pages, fields)))))
+    css = lambda k: F.when(F.coalesce(F.col("fields")[k], F.lit("")) != "", F.col("fields")[k])
     portal = lambda k: F.col("portal")[k]
-    unit = F.coalesce(_json(n, "$.floorSize.unitCode"), F.lit("MTK"))
-    street = F.coalesce(_json(n, "$.address.streetAddress"), F.when(~F.coalesce(_json(n, "$.address"), F.lit("{")).startswith("{"), _json(n, "$.address")))
-    business = F.lower(F.regexp_extract(_json(o, "$.businessFunction"), r"([^#/]*)$", 1))
+    unit = F.coalesce("floor.unitCode", F.lit("MTK"))
+    street = F.coalesce("place.streetAddress", F.when(~F.col("n.address").startswith("{"), F.col("n.address")))
+    business = F.lower(F.regexp_extract(F.col("o.businessFunction"), r"([^#/]*)$", 1))
     options = {  # field: portal layout, mapped selector, structured data
-        "title": [portal("title"), css("title"), clean_text(_json(n, "$.name"))],
-        "description": [css("description"), clean_text(_json(n, "$.description"))],
-        "price": [portal("price"), css("price"), F.coalesce(_json(o, "$.price"), _json(n, "$.price"))],
-        "surface": [portal("surface"), css("surface"), F.when(unit.isin("MTK", "M2", "m2", "m²"), F.coalesce(_json(n, "$.floorSize.value"), F.when(
-            ~_json(n, "$.floorSize").startswith("{"), _json(n, "$.floorSize"))))],
-        "rooms": [portal("rooms"), css("rooms"), _json(n, "$.numberOfRooms")],
-        "bathrooms": [portal("bathrooms"), css("bathrooms"), _json(n, "$.numberOfBathroomsTotal")],
-        "address": [portal("address"), css("address"), clean_text(street)],
-        "city": [portal("city"), css("city"), clean_text(_json(n, "$.address.addressLocality")), split_locality(css("locality"))["city"]],
+        "title": [portal("title"), css("title"), F.col("n.name")],
+        "description": [css("description"), F.col("n.description")],
+        "price": [portal("price"), css("price"), F.coalesce("o.price", "n.price")],
+        "surface": [portal("surface"), css("surface"), F.when(unit.isin("MTK", "M2", "m2", "m²"), F.coalesce("floor.value", F.when(
+            ~F.col("n.floorSize").startswith("{"), F.col("n.floorSize"))))],
+        "rooms": [portal("rooms"), css("rooms"), F.col("n.numberOfRooms")],
+        "bathrooms": [portal("bathrooms"), css("bathrooms"), F.col("n.numberOfBathroomsTotal")],
+        "address": [portal("address"), css("address"), street],
+        "city": [portal("city"), css("city"), F.col("place.addressLocality"), split_locality(css("locality"))["city"]],
         "zone": [portal("zone"), css("zone"), _additional("zone"), split_locality(css("locality"))["zone"]],
         "property_type": [portal("property_type"), *[F.when(v != "unknown", v) for v in (
             property_type_of(css("property_type")), property_type_of(_additional("property_type")),
-            lookup(rules.TYPE_MAP, F.try_element_at(_type_names(n), F.lit(1))))]],
+            lookup(rules.TYPE_MAP, F.try_element_at("types", F.lit(1))))]],
         "condition": [F.when(v != "unknown", v) for v in (normalize_condition(portal("condition")), normalize_condition(css("condition")),
                                                           normalize_condition(_additional("condition")))],
         "area_basis": [portal("area_basis"), *[F.when(v != "unknown", v) for v in (lookup(rules.BASIS_MAP, css("area_basis")),
@@ -212,10 +231,10 @@ def scan_pages(pages: DataFrame, fields: dict[str, str] | None = None) -> DataFr
             lookup(rules.TRANSACTION_MAP, css("transaction_type")), lookup(rules.TRANSACTION_MAP, _additional("transaction_type")),
             F.when(business == "sell", F.lit("sale")).when(business == "leaseout", "rent"))]],
         "currency": [portal("currency"), currency_of(css("currency")), F.when(css("price").rlike("(?i)€|EUR"), "EUR"),
-                     F.when(_json(o, "$.priceCurrency").rlike("^[A-Z]{3}$"), _json(o, "$.priceCurrency"))],
-        "latitude": [_json(n, "$.geo.latitude")], "longitude": [_json(n, "$.geo.longitude")],
+                     F.when(F.col("o.priceCurrency").rlike("^[A-Z]{3}$"), F.col("o.priceCurrency"))],
+        "latitude": [F.col("geo.latitude")], "longitude": [F.col("geo.longitude")],
     }
-    fallback = {"title": F.col("h1"), "description": clean_text("description")}
+    fallback = {"title": F.col("h1"), "description": F.col("description")}
     numbers = ("price", "surface", "rooms", "bathrooms")
     out = rows
     picked = {}
@@ -223,7 +242,11 @@ def scan_pages(pages: DataFrame, fields: dict[str, str] | None = None) -> DataFr
         values = [*values, fallback[field]] if field in fallback else values
         if field in numbers:
             values = [parse_number(v).cast("string") for v in values]
-        picked[field] = _some(*values)
+        # Each value is one column before anything reads it.
+        out = out.withColumn("p_" + field, _some(*values))
+        picked[field] = F.col("p_" + field)
+        if field in ("title", "description", "address", "city", "zone"):
+            picked[field] = clean_text(picked[field])
     origins = F.filter(F.array(*[F.when(v.isNotNull(), F.lit(f)) for f, v in picked.items()]), lambda x: x.isNotNull())
     text = lambda f: F.coalesce(picked[f], F.lit(""))
     word = lambda f: F.coalesce(picked[f], F.lit("unknown"))
@@ -234,7 +257,7 @@ def scan_pages(pages: DataFrame, fields: dict[str, str] | None = None) -> DataFr
         picked["address"].alias("address"), text("city").alias("city"), text("zone").alias("zone"),
         *[word(f).alias(f) for f in ("property_type", "condition", "area_basis", "transaction_type")],
         F.coalesce(picked["currency"], F.lit("XXX")).alias("currency"), picked["latitude"].try_cast("double").alias("latitude"),
-        picked["longitude"].try_cast("double").alias("longitude"), _json(o, "$.availability").alias("_stock"), F.col("fields")["availability"].alias("_state"),
+        picked["longitude"].try_cast("double").alias("longitude"), F.col("o.availability").alias("_stock"), F.col("fields")["availability"].alias("_state"),
         "published_at", "contact_name", "organization", "telephone", "email", origins.alias("stated"), "refused")
     stock = F.lower(F.regexp_extract("_stock", r"([^/]*)$", 1))
     availability = (F.when(stock == "soldout", "sold").when(stock.isin("outofstock", "discontinued"), "withdrawn")
@@ -244,6 +267,11 @@ def scan_pages(pages: DataFrame, fields: dict[str, str] | None = None) -> DataFr
     return out.withColumn("availability", availability).withColumn("reject_reason", reject).drop("_stock", "_state", "refused")
 
 
+def absolute_links(rows: DataFrame, href: str) -> DataFrame:
+    """Add ``link``: the identity of the page a link leads to."""
+    return rows.withColumn("_joined", join_url(F.col("url"), F.col(href))).withColumn("link", canonical_url("_joined")).drop("_joined")
+
+
 def discover_links(parsed: DataFrame, pattern: str = "") -> DataFrame:
     """Listing links of each page on its own host, in page order, each once."""
     host = url_part("url", "host")
@@ -251,8 +279,7 @@ def discover_links(parsed: DataFrame, pattern: str = "") -> DataFrame:
     items = F.filter("nodes", lambda n: _json(n, "$['@type']") == "ListItem")
     listed = F.transform(items, lambda n: F.coalesce(_json(n, "$.url"), _json(n, "$.item.url")))
     rows = parsed.select("page_id", "url", host.alias("host"), F.posexplode(F.concat(anchors, listed)).alias("pos", "href")).where("href <> ''")
-    target = canonical_url(join_url(F.col("url"), F.col("href")))
-    rows = rows.withColumn("link", target).where(
+    rows = absolute_links(rows, "href").where(
         (url_part("link", "host") == F.col("host")) & url_part("link", "scheme").isin("http", "https"))
     if pattern:
         rows = rows.where(url_part("link", "path").contains(pattern))
@@ -271,8 +298,8 @@ def page_link_context(parsed: DataFrame) -> DataFrame:
     """Same-host links with their text and the text of the card around; repeated menu text dropped."""
     rows = parsed.select("page_id", "url", url_part("url", "host").alias("host"), F.posexplode("links").alias("pos", "l"))
     rows = rows.where(~F.col("l.href").rlike(r"(?i)^(#|mailto:|tel:|javascript:)") & (F.col("l.href") != ""))
-    rows = rows.withColumn("link", canonical_url(join_url(F.col("url"), F.col("l.href")))).where(
-        (url_part("link", "host") == F.col("host")) & (F.col("link") != canonical_url("url")))
+    rows = absolute_links(rows.withColumn("_page", canonical_url("url")), "l.href").where(
+        (url_part("link", "host") == F.col("host")) & (F.col("link") != F.col("_page")))
     first = rows.groupBy("page_id", "link").agg(F.min(F.struct("pos", F.col("l.text").alias("text"), F.col("l.context").alias("context"))).alias("f"))
     out = first.select("page_id", "link", F.col("f.pos").cast("bigint").alias("pos"), F.substring("f.text", 1, 110).alias("text"),
                        F.substring("f.context", 1, 300).alias("context"))
@@ -284,9 +311,8 @@ def page_link_context(parsed: DataFrame) -> DataFrame:
 def page_candidates(parsed: DataFrame, known_listings: DataFrame, pattern: str = "") -> DataFrame:
     """Discovered links with card text, unseen ones first; closed listings are left out."""
     links = discover_links(parsed, pattern)
-    cards = parsed.select("page_id", "url", F.explode("links").alias("l")).select(
-        "page_id", canonical_url(join_url(F.col("url"), F.col("l.href"))).alias("link"), F.col("l.hint").alias("price_hint"),
-        F.substring("l.card", 1, 1200).alias("card_text"))
+    cards = absolute_links(parsed.select("page_id", "url", F.explode("links").alias("l")), "l.href").select(
+        "page_id", "link", F.col("l.hint").alias("price_hint"), F.substring("l.card", 1, 1200).alias("card_text"))
     first = cards.groupBy("page_id", "link").agg(F.max("price_hint").alias("price_hint"), F.max("card_text").alias("card_text"))
     old = known_listings.groupBy(F.col("url").alias("link")).agg(F.max(F.col("availability").isin(*rules.CLOSED).cast("int")).alias("_closed"))
     out = links.join(first, ["page_id", "link"], "left").join(old, "link", "left").where(F.coalesce("_closed", F.lit(0)) == 0)
