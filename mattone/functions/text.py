@@ -13,9 +13,26 @@ def uni(pattern: str, ignore_case: bool = True) -> str:
     return ("(?iU)" if ignore_case else "(?U)") + pattern
 
 
-def first_match(text: Column, pattern: str) -> tuple[Column, Column]:
-    """Position (1-based, 0 if none) and text of the first match."""
-    return F.regexp_instr(text, F.lit(pattern)), F.regexp_substr(text, F.lit(pattern))
+def first_match(text: Column, pattern: str, longest: int = 200) -> tuple[Column, Column]:
+    """Position (1-based, 0 if none) and text of the first match.
+
+    The whole text is searched once; the hit is then read from where it starts.
+    """
+    at = F.regexp_instr(text, F.lit(pattern))
+    return at, F.when(at > 0, F.regexp_substr(F.substring(text, at, F.lit(longest)), F.lit(pattern)))
+
+
+def first_sentence(text: Column, core: str, before: int, after: int) -> Column:
+    """The first match of ``core`` with the rest of its sentence, up to so many characters around.
+
+    The sentence pattern is costly on long texts, so it only runs around the first core.
+    """
+    sentence = uni(r"[^.!?\n]{0,%d}(?:%s)[^.!?\n]{0,%d}" % (before, core, after))
+
+    def near(m):
+        return F.when(m["at"] > 0, F.trim(F.regexp_substr(window(m["text"], m["at"] - before, m["at"] + before + after + 1000), F.lit(sentence))))
+
+    return let(F.struct(F.regexp_instr(text, F.lit(uni(core))).alias("at"), text.alias("text")), near)
 
 
 def window(text: Column, start: Column, stop: Column) -> Column:
@@ -37,7 +54,7 @@ def spans(text: Column, pattern) -> Column:
                                               z["hit"].alias("hit"))))
 
     zipped = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("piece"), hits.alias("hit"))
-    return F.when(F.size(hits) > 0, F.aggregate(zipped, empty, add)).otherwise(empty)
+    return F.when(F.regexp_like(text, pattern), F.aggregate(zipped, empty, add)).otherwise(empty)
 
 
 def listing_text(title="title", description="description") -> Column:
@@ -46,13 +63,14 @@ def listing_text(title="title", description="description") -> Column:
 
 def strategy_quote(text: Column, strategy: str) -> Column:
     """Quote for one strategy: the first pattern whose first hit is not denied just before it."""
-    options = []
-    for pattern in rules.STRATEGY_PATTERNS[strategy]:
-        at, hit = first_match(text, uni(pattern))
-        denied = F.lower(window(text, at - 45, at)).rlike(uni(rules.STRATEGY_NEGATION))
-        end = at + F.length(hit)
-        options.append(F.when((at > 0) & ~denied, F.trim(window(text, at - 25, end + 85))))
-    return F.coalesce(*options)
+    def quote(pattern):
+        def read(m):
+            hit = F.regexp_substr(F.substring(m["text"], m["at"], F.lit(200)), F.lit(uni(pattern)))
+            denied = F.lower(window(m["text"], m["at"] - 45, m["at"])).rlike(uni(rules.STRATEGY_NEGATION))
+            return F.when((m["at"] > 0) & ~denied, F.trim(window(m["text"], m["at"] - 25, m["at"] + F.length(hit) + 85)))
+        return let(F.struct(F.regexp_instr(text, F.lit(uni(pattern))).alias("at"), text.alias("text")), read)
+
+    return F.coalesce(*[quote(p) for p in rules.STRATEGY_PATTERNS[strategy]])
 
 
 def strategies(text: Column) -> Column:
@@ -80,12 +98,15 @@ def cadastral(text: Column) -> Column:
 
 
 def _cadastral(text: Column) -> Column:
-    code = F.regexp_substr(text, F.lit(uni(rules.CADASTRAL_CODE)))
-    use = F.regexp_substr(text, F.lit(uni(rules.CADASTRAL_USE)))
-    code_at = F.regexp_instr(text, F.lit(uni(rules.CADASTRAL_CODE)))
-    use_at = F.regexp_instr(text, F.lit(uni(rules.CADASTRAL_USE)))
-    first_code = code.isNotNull() & (use.isNull() | (code_at <= use_at))
-    return let(F.trim(F.when(first_code, code).otherwise(use)), _cadastral_label)
+    def pick(m):
+        code, use = m["code"], m["use"]
+        at = F.when((code > 0) & ((use == 0) | (code <= use)), code).otherwise(use)
+        pattern = F.when(at == code, uni(rules.CADASTRAL_CODE)).otherwise(uni(rules.CADASTRAL_USE))
+        return F.when(at > 0, F.trim(F.regexp_substr(F.substring(m["text"], at, F.lit(300)), pattern)))
+
+    found = F.struct(F.regexp_instr(text, F.lit(uni(rules.CADASTRAL_CODE))).alias("code"),
+                     F.regexp_instr(text, F.lit(uni(rules.CADASTRAL_USE))).alias("use"), text.alias("text"))
+    return let(let(found, pick), _cadastral_label)
 
 
 def _cadastral_label(quote: Column) -> Column:
@@ -98,12 +119,11 @@ def _cadastral_label(quote: Column) -> Column:
 
 
 def change_of_use(text: Column) -> Column:
-    pattern = r"[^.!?\n]{0,90}(?:" + rules.CHANGE_OF_USE + r")[^.!?\n]{0,170}"
-    return F.trim(F.regexp_substr(text, F.lit(uni(pattern))))
+    return let(text, lambda t: first_sentence(t, rules.CHANGE_OF_USE, 90, 170))
 
 
 def mandate(text: Column) -> Column:
-    return F.trim(F.regexp_substr(text, F.lit(uni(rules.MANDATE_QUOTE))))
+    return let(text, lambda t: first_sentence(t, rules.MANDATE_CORE, 70, 100))
 
 
 def _route_hits(text: Column, kind: str, label: str, pattern: str) -> Column:

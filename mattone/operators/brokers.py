@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.expr import closed, half_up
 from ..functions.values import norm_email, norm_phone
+from ..session import cut_lineage
 from .clusters import connected_components
 from .signals import facts_text
 
@@ -32,7 +33,7 @@ def advertiser_components(listings: DataFrame) -> DataFrame:
     pairs = keyed.where(F.size("keys") > 1).select(F.col("keys")[0].alias("a"), F.col("keys")[1].alias("b")).distinct()
     linked = connected_components(pairs).select(F.col("node").alias("key"), F.col("root").alias("advertiser"))
     singles = keyed.select(F.explode("keys").alias("key")).distinct().join(linked.select("key"), "key", "left_anti")
-    return linked.unionByName(singles.select("key", F.col("key").alias("advertiser")))
+    return cut_lineage(linked.unionByName(singles.select("key", F.col("key").alias("advertiser"))))
 
 
 def broker_top_values(rows: DataFrame, group: str, value: str, n: int | None = None) -> DataFrame:
@@ -50,7 +51,8 @@ def _advertised(listings: DataFrame, components: DataFrame) -> DataFrame:
 
 def broker_directory(listings: DataFrame, components: DataFrame) -> DataFrame:
     """One row per advertiser: names by frequency, listing counts, amounts in euro, last seen."""
-    rows = _advertised(listings, components)
+    # Five aggregates read these rows: written once, narrow.
+    rows = cut_lineage(_advertised(listings, components).select("advertiser", "name", "phone", "mail", "zone", "price", "currency", "last_seen", "direct"))
     euro = (F.col("currency") == "EUR") & F.col("price").isNotNull()
     totals = rows.groupBy("advertiser").agg(
         F.count(F.lit(1)).alias("count"), F.count(F.when(F.col("direct"), 1)).alias("direct"),

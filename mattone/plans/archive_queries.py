@@ -8,7 +8,7 @@ from ..functions.expr import price_sqm, size_band
 from ..operators import brokers, catalog, clusters, evidence, geo, history, market, quality, queue, scenario, scoring, screening, signals
 from .adapter import AS_OF, EVENTS_AS_OF
 from .context import Archive
-from .oracle_parts import (BAND, CLOSED, COMPLETENESS, DISCOUNT, EVENTS_NOW, FACTS, INACTIVE, KEYS, MISSING, NOW, SQM, TEXT, USABLE, cut, hit, known,
+from .oracle_parts import (BAND, CLOSED, COMPLETENESS, DISCOUNT, EVENTS_NOW, FACTS, INACTIVE, KEYS, MANDATE_SENTENCE, MISSING, NOW, SQM, TEXT, USABLE, cut, hit, known,
                            quote, reference_sql, rnd, route_kind, strategy_quote, ts)
 from .registry import query
 
@@ -442,7 +442,7 @@ def _(a: Archive):
 
 @query("cluster_cross_source", ["rooted", "conflicts", "sources"], f"""
 SELECT r.root, r.id, s.source_name, r.url, r.price, r.currency, r.surface, r.area_basis, r.transaction_type, r.availability, r.condition, {ts('r.last_seen')} AS last_seen,
-  r.contact_name, r.telephone, r.email, trim(regexp_extract({FACTS}, {quote('(?i)' + rules.MANDATE_QUOTE)})) AS mandate, c.members, c.conflicts
+  r.contact_name, r.telephone, r.email, trim(regexp_extract({FACTS}, {quote('(?i)' + MANDATE_SENTENCE)})) AS mandate, c.members, c.conflicts
 FROM rooted r JOIN conflicts c ON r.root = c.root LEFT JOIN sources s ON r.source_id = s.source_id WHERE r.clustered""")
 def _(a: Archive):
     return clusters.cluster_cross_source(a.listings, a.clusters, a.conflicts, a.sources)

@@ -215,6 +215,7 @@ SELECT concat('R', strftime(ts, '%Y%m%d%H')) AS run_id, event_id, ts, concat('S'
 CTES["texts"] = ([], f"""
 SELECT doc_id, concat('L', doc_id) AS id, concat('Annuncio ', doc_id) AS title, concat(text, '. ', {_phrase('doc_id')}) AS description FROM documents""")
 
+MANDATE_SENTENCE = r"[^.!?\n]{0,70}(?:" + rules.MANDATE_CORE + r")[^.!?\n]{0,100}"
 OWNER, MANDATE = rules.OWNER_ROUTE, rules.MANDATE_ROUTE
 
 

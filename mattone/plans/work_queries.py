@@ -10,7 +10,7 @@ from ..operators import brokers, catalog, evidence, geo, history, market, merge,
 from ..sources import cards, files, mail, pages
 from .adapter import AS_OF, EVENTS_AS_OF
 from .context import Archive
-from .oracle_parts import CLOSED, FACTS, INACTIVE, NOW, TEXT, USABLE, cut, hit, known, quote, rnd, route_kind, strategy_quote, ts
+from .oracle_parts import CLOSED, MANDATE_SENTENCE, FACTS, INACTIVE, NOW, TEXT, USABLE, cut, hit, known, quote, rnd, route_kind, strategy_quote, ts
 from .registry import query
 
 _TODAY = "'2001-08-02'"
@@ -32,7 +32,7 @@ _CADASTRAL = f"nullif(regexp_replace(trim(regexp_extract({FACTS}, {quote('(?i)'
 
 
 @query("text_facts", ["texts"], f"""SELECT id, {_CADASTRAL} AS cadastral, {_whole('[^.!?' + chr(10) + ']{0,90}(?:' + rules.CHANGE_OF_USE + ')[^.!?' + chr(10) + ']{0,170}')} AS change_of_use,
-  {_whole(rules.MANDATE_QUOTE)} AS mandate FROM texts""")
+  {_whole(MANDATE_SENTENCE)} AS mandate FROM texts""")
 def _(a: Archive):
     return signals.text_facts(a.listing_texts)
 
@@ -336,7 +336,7 @@ def _(a: Archive):
 
 
 @query("listing_dossier", ["listings", "observations", "last_action"], f"""SELECT l.id, url, {ts('first_seen')} AS first_seen, {ts('last_seen')} AS last_seen, contact_name, telephone, email,
-  {route_kind(FACTS)} AS route_kind, {_whole(rules.MANDATE_QUOTE)} AS mandate, outcome, mandate_status, next_contact FROM listings l LEFT JOIN last_action a ON l.id = a.property_id""")
+  {route_kind(FACTS)} AS route_kind, {_whole(MANDATE_SENTENCE)} AS mandate, outcome, mandate_status, next_contact FROM listings l LEFT JOIN last_action a ON l.id = a.property_id""")
 def _(a: Archive):
     return signals.listing_dossier(a.listings, a.reductions, a.last_calls).drop("route_quote", "cadastral", "change_of_use", "reductions", "total_pct")
 
