@@ -29,7 +29,7 @@ def advertiser_components(listings: DataFrame) -> DataFrame:
     Only distinct pairs of keys enter the graph, so it grows with the contacts and not with
     the listings.
     """
-    keyed = contact_keys(listings.where(~closed())).select("keys").where(F.size("keys") > 0)
+    keyed = cut_lineage(contact_keys(listings.where(~closed())).select("keys").where(F.size("keys") > 0).distinct())
     pairs = keyed.where(F.size("keys") > 1).select(F.col("keys")[0].alias("a"), F.col("keys")[1].alias("b")).distinct()
     linked = connected_components(pairs).select(F.col("node").alias("key"), F.col("root").alias("advertiser"))
     singles = keyed.select(F.explode("keys").alias("key")).distinct().join(linked.select("key"), "key", "left_anti")

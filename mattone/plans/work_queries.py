@@ -401,11 +401,6 @@ def _(a: Archive):
     return quality.alert_totals(a.table("events").select(status.alias("status"), n.alias("cards"), (n % 3).alias("created"), (n % 5).alias("updated"), (n % 2).alias("skipped")))
 
 
-def _health_events(a: Archive):
-    return a.table("events").select(F.concat(F.lit("S"), F.col("user_id") % 37).alias("source_id"), F.col("ts").alias("at"), "event_id",
-                                    ~F.col("event_type").isin("error", "view", "click", "signup").alias("ok"), (F.col("event_id") % 500).alias("retry_after"))
-
-
 @query("source_health", [], f"""SELECT source_id, failures, last_success, CASE WHEN failures > 0 THEN {ts('last_at + to_seconds(CAST(least(86400, greatest(last_retry, 60 * power(2, least(failures, 10)))) AS BIGINT))')} END AS next_retry
 FROM (SELECT concat('S', e.user_id % 37) AS source_id, count(*) FILTER (fail) AS failures, {ts("max(ts) FILTER (event_type = 'purchase')")} AS last_success, max(ts) FILTER (fail) AS last_at,
   arg_max(event_id % 500, event_id) FILTER (fail) AS last_retry FROM (SELECT *, event_type <> 'purchase' AND event_id > coalesce(max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id % 37), -1) AS fail FROM events) e GROUP BY 1)""")
@@ -742,3 +737,48 @@ def _(a: Archive):
 @query("sink_csv", ["scored", "sources"], f"""SELECT id AS "ID", title AS "Titolo", price AS "Prezzo", price_sqm AS "Prezzo/mq", discount AS "Sconto %", source_name AS "Fonte", completeness AS "Completezza %", priority_score AS "Priorità verifica" FROM scored s LEFT JOIN sources o ON s.source_id = o.source_id""")
 def _(a: Archive):
     return sinks.csv_frame(a.scored, a.sources).select("ID", "Titolo", "Prezzo", "`Prezzo/mq`", "`Sconto %`", "Fonte", "`Completezza %`", "`Priorità verifica`")
+
+
+@query("report_selection", ["scored"], "SELECT id, title, price, discount, review_status FROM scored")
+def _(a: Archive):
+    from ..operators import report
+    references = a.references
+    signal = signals.signals(a.listings, a.reductions, references, AS_OF)
+    questions = signals.questions(a.scored, a.freshness, a.conflicts, a.clusters, a.last_calls, references)
+    out = report.selection(a.scored, signal, signals.listing_dossier(a.listings, a.reductions, a.last_calls), scoring.zone_signal(_zoned(a), a.zone_quotes, AS_OF), a.freshness,
+                           questions, a.memberships, a.saved_searches, a.conflicts, a.clusters, a.sources)
+    stages = {v: k for k, v in report._STAGE.items()}
+    back = F.create_map(*[F.lit(x) for pair in stages.items() for x in pair])
+    return out.select("id", "title", "price", "discount", back[F.col("stage")].alias("review_status"))
+
+
+# --- Streams over the given tables --------------------------------------------------------------------------------------
+
+@query("stream_daily_counts", [], "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS total FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1")
+def _(a: Archive):
+    """The event table as a stream; days the watermark has passed."""
+    import uuid
+    from ..session import shared_folder
+    from ..streaming import streams
+    schema = a.table("events").schema
+    source = a.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(a.folder)
+    base = f"{shared_folder(a.spark)}/daily-{uuid.uuid4().hex}"
+    run = (streams.daily_counts(source).writeStream.format("parquet").option("path", base + "/out").option("checkpointLocation", base + "/state")
+           .outputMode("append").trigger(availableNow=True).start())
+    run.awaitTermination()
+    return a.spark.read.schema("day string, total bigint").parquet(base + "/out")
+
+
+@query("stream_source_health", [], """SELECT source_id, failures FROM (SELECT concat('S', user_id % 37) AS source_id, count(*) FILTER (fail) AS failures FROM (
+  SELECT *, event_type <> 'purchase' AND event_id > coalesce(max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id % 37), -1) AS fail FROM events) GROUP BY 1)""")
+def _(a: Archive):
+    """Failure counters folded from the event table as a stream."""
+    import uuid
+    from ..session import shared_folder
+    from ..streaming import streams
+    schema = a.table("events").schema
+    source = a.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(a.folder).select(
+        F.concat(F.lit("S"), F.col("user_id") % 37).alias("source_id"), F.col("ts").alias("at"), "event_id", (F.col("event_type") == "purchase").alias("ok"), (F.col("event_id") % 500).alias("retry_after"))
+    base = f"{shared_folder(a.spark)}/health-{uuid.uuid4().hex}"
+    streams.stream_source_health(source, base + "/out", base + "/state").trigger(availableNow=True).start().awaitTermination()
+    return a.spark.read.parquet(base + "/out/v=0").select("source_id", "failures")
