@@ -21,6 +21,11 @@ def _floor(c: Column) -> Column:
     return (F.floor(c.cast("decimal(38,10)") * 100) / 100).cast("double")
 
 
+def _ratio(a: Column, b: Column) -> Column:
+    """Quotient of two decimals with eighteen exact places."""
+    return a.cast("decimal(20,6)") / b.cast("decimal(20,6)")
+
+
 def in_bounds() -> Column:
     test = F.lit(True)
     for name, (low, high) in INPUTS.items():
@@ -61,18 +66,18 @@ def scenario_profit(inputs: DataFrame) -> DataFrame:
     net = wide(one - _pct("selling_pct"))
 
     def ceiling(i, p):
-        return wide((F.col(i) + F.col(p)) / target) - (F.col(i) - _d("purchase"))
+        return _ratio(F.col(i) + F.col(p), target).cast("decimal(30,12)") - (F.col(i) - _d("purchase"))
 
     keep = [c for c in inputs.columns]
     return rows.select(
         *keep, _money(F.col("_i")).alias("invested"), _money(F.col("_p")).alias("profit"),
-        _money(F.col("_p") / F.col("_i") * 100).alias("roi_pct"), _money(F.col("_i") / net).alias("breakeven_sale"),
+        _money(_ratio(F.col("_p") * 100, F.col("_i"))).alias("roi_pct"), _money(_ratio(F.col("_i"), net)).alias("breakeven_sale"),
         _money(_d("sale") * _pct("selling_pct")).alias("selling_costs"), _money(_d("works") * _pct("contingency_pct")).alias("contingency"),
         _floor(ceiling("_i", "_p")).alias("max_purchase"),
         _money(F.greatest(F.lit(0).cast("decimal(30,8)"), _d("purchase") - ceiling("_i", "_p"))).alias("price_reduction_needed"),
         (F.col("_p") * 100 >= _d("target_roi_pct") * F.col("_i")).alias("target_met"),
         _money(F.col("_si")).alias("stress_invested"), _money(F.col("_sp")).alias("stress_profit"),
-        _money(F.col("_sp") / F.col("_si") * 100).alias("stress_roi_pct"), _money(F.col("_si") / net).alias("stress_breakeven_sale"),
+        _money(_ratio(F.col("_sp") * 100, F.col("_si"))).alias("stress_roi_pct"), _money(_ratio(F.col("_si"), net)).alias("stress_breakeven_sale"),
         _floor(ceiling("_si", "_sp")).alias("stress_max_purchase"),
         (F.col("_sp") * 100 >= _d("target_roi_pct") * F.col("_si")).alias("stress_target_met"))
 

@@ -7,6 +7,7 @@ from .. import rules, sinks
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import brokers, catalog, evidence, geo, history, market, merge, quality, queue, scenario, scoring, screening, signals
+from ..session import cut_lineage
 from ..sources import cards, files, mail, pages
 from .adapter import AS_OF, EVENTS_AS_OF
 from .context import Archive
@@ -597,13 +598,14 @@ def _mails(a: Archive):
     sender = F.when(F.col("m") % 10 == 9, "news@altro.example").otherwise("alert@mail.casa.it")
     raw = F.concat(F.lit("From: Avvisi <"), sender, F.lit(">\r\nSubject: Nuovi immobili Milano\r\nDate: Sat, 26 Sep 2026 08:00:00 +0200\r\nMessage-ID: <m"), F.col("m"),
                    F.lit("@casa.it>\r\nMIME-Version: 1.0\r\nContent-Type: text/plain; charset=\"utf-8\"\r\nContent-Transfer-Encoding: 8bit\r\n\r\n"), "body")
-    return mails.select(F.concat(F.lit("mail-"), F.col("m")).alias("path"), F.encode(raw, "UTF-8").alias("content"))
+    out = mails.select(F.concat(F.lit("mail-"), F.col("m")).alias("path"), F.encode(raw, "UTF-8").alias("content"))
+    return out.repartition(a.spark.sparkContext.defaultParallelism, "path")
 
 
 @query("scan_alert_mail", [], """SELECT concat('<m', m, '@casa.it>') AS message_id, CASE WHEN m % 10 = 9 THEN 'altro.example' ELSE 'mail.casa.it' END AS sender_domain, CASE WHEN m % 10 = 9 THEN 'ignored' ELSE 'processed' END AS status,
   CASE WHEN m % 10 = 9 THEN 0 ELSE n END AS cards FROM (SELECT CAST(floor(o_orderkey / 5) AS BIGINT) AS m, count(*) AS n FROM orders GROUP BY 1)""")
 def _(a: Archive):
-    messages = mail.parse_mail(_mails(a), ["casa.it"])
+    messages = cut_lineage(mail.parse_mail(_mails(a), ["casa.it"]))
     return mail.message_log(messages, mail.mail_cards(messages)).select("message_id", "sender_domain", "status", "cards")
 
 
@@ -630,7 +632,7 @@ def _results(a: Archive):
                     F.lit("€ "), F.format_string("%d.000", (100 + k % 300).cast("int")), F.lit("</p><p>"), 40 + k % 100, F.lit(" mq</p><p>rata € 900/mese</p></article>"))
     contract = F.when(F.floor(k / 20) % 2 == 0, "vendita").otherwise("affitto")
     grouped = a.listings.groupBy(F.floor(k / 20).alias("page_id"), contract.alias("contract")).agg(F.array_join(F.sort_array(F.collect_list(item)), "").alias("items"))
-    return grouped.select("page_id", F.concat(F.lit("https://www.casa.it/"), "contract", F.lit("/residenziale/milano/")).alias("url"), F.concat(F.lit("<html><body><h1>Case a Milano</h1>"), "items", F.lit("</body></html>")).alias("html"))
+    return grouped.select("page_id", F.concat(F.lit("https://www.casa.it/"), "contract", F.lit("/residenziale/milano/")).alias("url"), F.concat(F.lit("<html><body><h1>Case a Milano</h1>"), "items", F.lit("</body></html>")).alias("html")).repartition(a.spark.sparkContext.defaultParallelism, "page_id")
 
 
 @query("results_page", [], """SELECT concat('https://www.casa.it/immobili/', 10000 + k, '/') AS url, CAST((100 + k % 300) * 1000 AS DOUBLE) AS price, CASE WHEN k % 5 = 0 THEN CAST((400 + k % 300) * 1000 AS DOUBLE) END AS old_price, k % 5 = 0 AS price_drop,
