@@ -246,6 +246,7 @@ _SORT_SQL = {"score": "priority_score DESC, last_seen DESC, id", "price": "curre
 for _key, _order in _SORT_SQL.items():
     @query("catalog_sort_" + _key, ["scored", "work"], f"SELECT id, city FROM scored LEFT JOIN work ON id = property_id ORDER BY {_order} LIMIT 100")
     def _(a: Archive, key=_key):
+        """The first page of 100 in this order."""
         base = a.scored
         if key == "due":
             base = base.join(a.deal_work.select(F.col("property_id").alias("id"), "due_date"), "id", "left")
@@ -276,9 +277,9 @@ def _(a: Archive):
     return catalog.select_by_ids(a.listings, ["L7", "L3", "missing", "L11"]).select("id", "title", "pos")
 
 
-@query("short_list", ["scored"], "SELECT id, score FROM scored WHERE lower(city) = 'africa' AND contains(lower(coalesce(address, '')) || '|' || lower(title), 'via 3') ORDER BY score DESC NULLS LAST, last_seen DESC, id LIMIT 200")
+@query("short_list", ["scored"], "SELECT id, score FROM scored WHERE lower(city) = 'africa' AND contains(lower(coalesce(address, '')) || '|' || lower(title), 'via 3') ORDER BY score DESC NULLS LAST, last_seen DESC, id")
 def _(a: Archive):
-    return catalog.short_list(a.scored, city="africa", q="via 3").select("id", "score").limit(200)
+    return catalog.short_list(a.scored, city="africa", q="via 3").select("id", "score")
 
 
 @query("benchmark_catalog", ["benchmarks"], "SELECT id, city, zone, period, min_sqm, max_sqm FROM benchmarks WHERE condition = 'new' AND currency = 'EUR' AND (contains(lower(city), 'listino z1') OR contains(lower(zone), 'listino z1') OR contains(lower(source_label), 'listino z1'))")
@@ -309,9 +310,9 @@ def _(a: Archive):
 
 
 @query("pipeline_order", ["scored", "work", "team"], f"""SELECT id, review_status, late FROM ({_BOARD})
-  ORDER BY {_OPEN_STAGE} DESC, late DESC, coalesce(due_date, '9999'), coalesce(priority_score, -1) DESC, id LIMIT 200""")
+  ORDER BY {_OPEN_STAGE} DESC, late DESC, coalesce(due_date, '9999'), coalesce(priority_score, -1) DESC, id""")
 def _(a: Archive):
-    return catalog.pipeline_order(catalog.work_listing(a.scored, a.deal_work, a.users, AS_OF)).select("id", "review_status", "late").limit(200)
+    return catalog.pipeline_order(catalog.work_listing(a.scored, a.deal_work, a.users, AS_OF)).select("id", "review_status", "late")
 
 
 @query("overdue_list", ["listings", "work", "team"], f"""SELECT id, title, city, due_date, user_name AS owner FROM listings JOIN work ON id = property_id LEFT JOIN team ON owner_id = user_id

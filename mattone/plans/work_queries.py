@@ -651,20 +651,23 @@ def _(a: Archive):
 # --- Versioned merges -----------------------------------------------------------------------------------------------
 
 def _current(a: Archive):
-    return a.listings.where("k % 10 <> 0").withColumn("content_hash", merge.content_hash())
+    return a.listings.withColumn("content_hash", merge.content_hash())
 
 
 def _batch(a: Archive):
+    """Every listing again: some under a new key, some with another price or state, some gone."""
     k = F.col("k")
-    return (a.listings.where("k % 3 = 0").withColumn("price", F.when(k % 6 == 0, F.col("price") - 1000).otherwise(F.col("price")))
-            .withColumn("availability", F.when(k % 9 == 0, "sold").otherwise("listed")).withColumn("http_status", F.when(k % 33 == 0, 404).otherwise(200)))
+    return (a.listings.withColumn("listing_key", F.when(k % 10 == 0, F.concat(F.lit("N"), k)).otherwise(F.col("listing_key")))
+            .withColumn("price", F.when(k % 6 == 0, F.col("price") - 1000).otherwise(F.col("price")))
+            .withColumn("availability", F.when(k % 9 == 0, "sold").otherwise(F.col("availability"))).withColumn("http_status", F.when(k % 33 == 0, 404).otherwise(200)))
 
 
-_MERGED = f"""SELECT source_id, listing_key, k % 10 <> 0 AS was, k % 3 = 0 AS sent, k % 33 = 0 AS gone, price, availability, CASE WHEN k % 6 = 0 THEN price - 1000 ELSE price END AS b_price,
-  CASE WHEN k % 9 = 0 THEN 'sold' ELSE 'listed' END AS b_avail FROM listings"""
-_NEW_AVAIL = f"CASE WHEN NOT sent THEN availability WHEN gone THEN 'review' WHEN was AND availability IN ({CLOSED}) AND b_avail = 'listed' THEN availability ELSE b_avail END"
+_MERGED = f"""SELECT source_id, listing_key, true AS was, k % 10 <> 0 AS sent, k % 33 = 0 AS gone, price, availability, CASE WHEN k % 6 = 0 THEN price - 1000 ELSE price END AS b_price,
+  CASE WHEN k % 9 = 0 THEN 'sold' ELSE availability END AS b_avail FROM listings
+  UNION ALL SELECT source_id, concat('N', k), false, true, k % 33 = 0, NULL, NULL, CASE WHEN k % 6 = 0 THEN price - 1000 ELSE price END, CASE WHEN k % 9 = 0 THEN 'sold' ELSE availability END FROM listings WHERE k % 10 = 0"""
+_NEW_AVAIL = f"CASE WHEN NOT sent THEN availability WHEN gone THEN 'review' WHEN was AND availability IN ({CLOSED}) AND b_avail NOT IN ({CLOSED}) THEN availability ELSE b_avail END"
 _MERGE_SQL = f"""SELECT source_id, listing_key, CASE WHEN sent AND NOT gone THEN b_price ELSE price END AS price, {_NEW_AVAIL} AS availability, sent AS in_batch, NOT was AS created,
-  NOT was OR (sent AND ((NOT gone AND b_price IS DISTINCT FROM price) OR {_NEW_AVAIL} <> availability)) AS changed FROM ({_MERGED}) WHERE (was OR sent) AND NOT (gone AND NOT was)"""
+  NOT was OR (sent AND ((NOT gone AND b_price IS DISTINCT FROM price) OR {_NEW_AVAIL} IS DISTINCT FROM availability)) AS changed FROM ({_MERGED}) WHERE NOT (gone AND NOT was)"""
 
 
 @query("merge_listings", ["listings"], _MERGE_SQL)
@@ -683,7 +686,7 @@ def _(a: Archive):
 
 
 @query("notifications", ["listings"], f"""SELECT kind, count(*) AS n FROM (SELECT m.*, unnest(list_filter([CASE WHEN m.created THEN 'new_property' END, CASE WHEN NOT m.created AND m.changed AND m.price IS DISTINCT FROM l.price THEN 'price_change' END,
-  CASE WHEN NOT m.created AND m.availability <> l.availability AND m.availability IN ({CLOSED}, 'review') THEN 'availability_change' END], lambda x: x IS NOT NULL)) AS kind FROM ({_MERGE_SQL}) m JOIN listings l ON m.listing_key = l.listing_key WHERE in_batch) GROUP BY 1""")
+  CASE WHEN NOT m.created AND m.availability <> l.availability AND m.availability IN ({CLOSED}, 'review') THEN 'availability_change' END], lambda x: x IS NOT NULL)) AS kind FROM ({_MERGE_SQL}) m LEFT JOIN listings l ON m.listing_key = l.listing_key WHERE in_batch) GROUP BY 1""")
 def _(a: Archive):
     return merge.notifications(merge.merge_listings(_current(a), _batch(a), AS_OF), "R1").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
