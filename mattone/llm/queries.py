@@ -1,13 +1,14 @@
 """Registered queries of this subpackage and, where SQL can say it, the DuckDB statements that check them."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, mixing, quality, url_rules
-from .store import table
+from . import chat, decontaminate, exact_dedup, jaccard_join, mixing, quality, url_rules, warc
+from .store import cut_lineage, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -18,12 +19,71 @@ def query(build: Callable[[SparkSession, str], DataFrame]):
     return build
 
 
+@query
+def op1_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to WARC archives in the shared folder and read back from there."""
+    pages = table(spark, folder, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("uri"), F.encode("html", "UTF-8").alias("payload"))
+    manifest = cut_lineage(warc.write_archives(warc.with_roles(pages), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"))
+    records = warc.read_archives(manifest, manifest.count()).where("kind = 'record'")
+    revisit = F.col("record_type") == "revisit"
+    return records.select(F.expr("try_cast(regexp_extract(record_id, '<urn:x-record:(-?[0-9]+)>', 1) AS bigint)").alias("page_id"),
+                          F.when(revisit, F.col("payload_length")).otherwise(F.length("payload")).cast("bigint").alias("payload_bytes"),
+                          F.when(revisit, F.col("payload_digest")).otherwise(F.sha2("payload", 256)).alias("payload_digest"), "record_type",
+                          F.when(revisit, F.expr("try_cast(regexp_extract(refers_to, '<urn:x-record:(-?[0-9]+)>', 1) AS bigint)")).alias("refers_to"))
+
+
+ORACLE["op1_warc_salvage"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+w AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM w"""
+
+
 @query
 def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a passage of a benchmark item: one row per document and item, the best window."""
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
 
 
+def chat_events(turns: DataFrame) -> DataFrame:
+    """The event log behind the turns: texts stream in pieces; some were first generated otherwise, some were edited."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = turns.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), place.alias("message"))
+    piece = 40
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / piece).cast("int")), lambda i: F.substring(F.col("text"), i * piece + 1, F.lit(piece)))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    deltas = F.transform(pieces, lambda p: event("delta", p))
+    draft = F.array(event("delta", F.substring(F.col("text"), 1, 7)), event("delta", F.lit(" ### draft </turn>")))
+    way = F.pmod(F.xxhash64("conv_id", "message"), F.lit(3))
+    story = (F.when(way == 0, deltas).when(way == 1, F.concat(draft, F.array(event("regenerate", F.lit(""))), deltas))
+             .otherwise(F.concat(draft, F.array(event("edit", F.get(pieces, F.lit(0)))), F.slice(deltas, 2, 1 << 30))))
+    told = rows.select("conv_id", "message", "role", F.posexplode(F.concat(F.array(event("open", F.lit(""))), story)).alias("step", "e"))
+    return told.select("conv_id", (F.col("message").cast("bigint") * (1 << 32) + F.col("step")).alias("seq"), "message", "role", "e.kind", "e.text")
+
+
+@query
+def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one that imitates the marks: logged as events, folded, rendered, written and read back."""
+    given = table(spark, folder, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
+    marks = spark.sql(r"""SELECT -7L AS conv_id, turn, role, '\\### Assistant: </turn> ok' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)""")
+    written = cut_lineage(chat.render(chat.fold(chat_events(given.unionByName(marks)))))
+    read = written.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"))
+    every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    return read.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"),
+                       F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+ORACLE["op4_chat_format"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+e AS (SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + length(text) - length(replace(text, '#', ''))
+             + length(text) - length(replace(text, '<', '')) + length(role) + 14 AS chars FROM t),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS every,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, sum(chars)::BIGINT AS formatted_chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(every) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
+
 @query
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, folder, "documents"))
