@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, mixing, quality, url_rules, warc
+from . import chat, decontaminate, exact_dedup, jaccard_join, mixing, pii, quality, url_rules, warc
 from .store import cut_lineage, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,11 @@ SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN v
 FROM split LEFT JOIN fit USING (page_id)"""
 
 
+@query
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))
+
+
 @query
 def op10_quality_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that stay, with their log importance weight and Gumbel key."""
