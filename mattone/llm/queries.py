@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, mixing, pii, quality, url_rules, warc
+from . import chains, chat, decontaminate, exact_dedup, jaccard_join, mixing, pii, quality, url_rules, warc
 from .store import cut_lineage, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN pa
        CASE WHEN page_id <> first THEN first END AS refers_to FROM w"""
 
 
+@query
+def op2_chained_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words or more that a document shares, with edits, with others."""
+    return chains.passages(table(spark, folder, "documents"))
+
+
 @query
 def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a passage of a benchmark item: one row per document and item, the best window."""
