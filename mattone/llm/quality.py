@@ -39,7 +39,7 @@ COMMON = 0.01
 DOMAINS = 8
 SMOOTHING = 0.5
 #: Standard deviations of a count beyond which two rates of a bucket count as different.
-CLEAR = 4.0
+CLEAR = 5.0
 #: Smallest excess of a log rate over target's that counts.
 LEAST = float(np.log(2.5))
 TEMPERATURE = 0.02

@@ -1,0 +1,260 @@
+"""Small cases of the operators for training text, against brute force where there is one."""
+import hashlib
+import random
+import re
+import zlib
+
+import pyarrow.fs as pafs
+import pytest
+from pyspark.sql import functions as F
+
+from mattone.llm import chains, chat, decontaminate, exact_dedup, jaccard_join, mixing, pii, quality, url_rules, warc
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, kept boolean, size int"
+WORDS = [a + b for a in "ka lo mi nu pe ri so tu va".split() for b in "dan fer gil hop jus lem".split()]
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(30)) for _ in range(n))
+
+
+def rows(*texts, start=0):
+    return [(i, t, "en", f"src{i % 3}", len(t or ""), "x", True, 1) for i, t in enumerate(texts, start)]
+
+
+def docs(spark, data):
+    return spark.createDataFrame(data, DOCS)
+
+
+ODD_TEXTS = [None, "", " \t\n", "one", "one two three", "One two THREE", prose(1, 3000), prose(2, 80), prose(2, 80)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, repeated rows and ids, columns with clashing names."""
+    return docs(spark, rows(*ODD_TEXTS) + rows(*ODD_TEXTS)[7:] + [(None, prose(2, 80), None, None, None, None, None, None), (3, "other text", None, None, 0, None, None, None)])
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def test_exact_dedup(spark, odd):
+    got = exact_dedup.decisions(odd).collect()
+    assert len(got) == odd.count()
+    empty = [r for r in got if r.doc_id in (0, 1)]
+    assert {r.keep_id for r in empty} == {1} and sorted(r.kept for r in empty) == [False, True]
+    copies = [r for r in got if r.text_sha256 == hashlib.sha256(prose(2, 80).encode()).hexdigest()]
+    assert {(r.keep_id, r.group_size) for r in copies} == {(8, 5)} and sum(r.kept for r in copies) == 1
+    kept = exact_dedup.keep_one(odd)
+    assert kept.columns == odd.columns and kept.count() == sum(r.kept for r in got)
+    assert exact_dedup.decisions(odd.limit(0)).count() == 0 == exact_dedup.keep_one(odd.limit(0)).count()
+
+
+def test_mix(spark, odd):
+    for data in (odd, docs(spark, rows(*[prose(i, 20 + i % 90) for i in range(300)]))):
+        got = mixing.mix(data, [5, 2, 1]).toPandas()
+        assert len(got) == data.count() and (got.taken <= 3 * got["size"]).all() and (got.taken >= 0).all()
+        by = got.groupby("source", dropna=False).agg(size=("size", "sum"), stated=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"))
+        assert (by["size"] == by.stated).all() and abs(by.target.sum() - by["size"].sum()) < 1e-6 and ((by.taken - by.target).abs() <= 1).all()
+        again = mixing.mix(data, [5, 2, 1]).toPandas()
+        assert sorted(again.taken) == sorted(got.taken)
+    assert mixing.mix(odd.limit(0), [5, 2, 1]).count() == 0
+
+
+def test_sainte_lague(spark):
+    claims = [("a", 53.0), ("b", 24.0), ("c", 23.0), ("d", 0.0), ("e", 1e-3)]
+    for seats in (0, 1, 7, 100, 12345):
+        df = spark.createDataFrame([(0, n, c, seats) for n, c in claims], "g int, name string, claim double, seats bigint")
+        won = {r.name: r.won for r in mixing.sainte_lague(df, ["g"], "claim", "seats", [F.col("name")]).collect()}
+        want = dict.fromkeys("abcde", 0)
+        for _ in range(seats):
+            want[max((c / (2 * want[n] + 1), -ord(n), n) for n, c in claims if c)[2]] += 1
+        assert won == want
+
+
+@pytest.mark.parametrize("small, pivots", [(32, 8), (3, 2)])
+def test_jaccard_join(spark, odd, monkeypatch, small, pivots):
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    rng, texts = random.Random(5), []
+    for base in range(4):
+        words = prose(base + 10, 60).split()
+        for _ in range(9):
+            copy = list(words)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(60)] = rng.choice(WORDS)
+            texts.append(" ".join(copy).upper() if rng.random() < 0.2 else "  ".join(copy))
+    data = rows(*ODD_TEXTS) + rows(*texts, start=100)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(docs(spark, data)).collect()}
+    sets = {r[0]: shingles(r[1]) for r in data}
+    parent = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for i in sets:
+            for j in sets:
+                k = len(sets[i] & sets[j])
+                if k and 100 * k >= 80 * len(sets[i] | sets[j]) and parent[i] != parent[j]:
+                    parent[i] = parent[j] = min(parent[i], parent[j])
+                    changed = True
+    assert got == {i: (len(sets[i]), parent[i]) for i in sets}
+
+
+def test_jaccard_join_odd_rows(odd):
+    kept = jaccard_join.keep_one(odd)
+    assert kept.columns == odd.columns
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert None in ids and 7 in ids and 8 not in ids and 5 not in ids
+    assert jaccard_join.components(odd.limit(0)).count() == 0
+
+
+def test_passages(spark):
+    shared, short = prose(50, 70), prose(51, 30)
+    fuzzy = shared.split()
+    fuzzy[20], fuzzy[45] = "changed", "words here"
+    data = rows(prose(60, 200) + " " + shared, shared.upper() + "\n" + prose(61, 150), prose(62, 90) + " " + " ".join(fuzzy) + " " + prose(63, 50),
+                prose(64, 120) + " " + short, short + " " + prose(65, 120), None, "", "few words", prose(66, 4000))
+    got = {r.doc_id: r for r in chains.passages(docs(spark, data + data[:1])).collect()}
+    assert set(got) == {0, 1, 2}
+    assert abs(got[0].start_word - 200) <= 2 and got[1].start_word == 0 and abs(got[2].start_word - 90) <= 2 and got[2].n_words >= 68
+    assert chains.passages(docs(spark, [])).count() == 0
+
+
+def test_fenwick_chain_is_best():
+    import numpy as np
+    rng = random.Random(3)
+    for _ in range(50):
+        n = rng.randrange(2, 12)
+        place, at = sorted(rng.sample(range(60), n)), [rng.randrange(60) for _ in range(n)]
+        best = [chains.K] * n
+        for j in range(n):
+            for i in range(j):
+                if at[i] < at[j]:
+                    best[j] = max(best[j], chains.K + best[i] - chains.GAP * (place[j] - place[i] + at[j] - at[i]))
+        found = chains.chained(np.array(place), np.array(at))
+        for c in found:
+            assert all(at[a] < at[b] for a, b in zip(c, c[1:]))
+        if max(best) > chains.K:
+            first = found[0]
+            assert abs(chains.K * len(first) - chains.GAP * (place[first[-1]] - place[first[0]] + at[first[-1]] - at[first[0]]) - max(best)) < 1e-9
+
+
+def test_decontamination(spark, odd):
+    item, tiny = prose(70, 40), "just three words"
+    changed = item.split()
+    changed[0] = "other"
+    bench = spark.createDataFrame([(1, item), (2, tiny), (3, None), (4, ""), (5, item)], "item_id bigint, text string")
+    data = docs(spark, rows(prose(71, 100) + " " + item.upper() + " " + prose(72, 10), prose(73, 50) + "\n" + " ".join(changed), "it is just  three words.", "it is just three words then", prose(74, 300), None, ""))
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(data, bench).collect()}
+    assert set(got) == {(0, 1), (0, 5), (1, 1), (1, 5), (3, 2)}
+    assert got[0, 1].start_word == 100 and got[0, 1].similarity == 1 and got[0, 1].hamming == 0
+    assert sorted(r.doc_id for r in decontaminate.clean(data, bench).collect()) == [2, 4, 5, 6]
+    assert decontaminate.clean(odd, bench.limit(0)).count() == odd.count() and decontaminate.contaminated(odd.limit(0), bench).count() == 0
+
+
+def test_hamming_blocks_find_all_within_radius():
+    rng = random.Random(1)
+    flips = [[0] + [1 << b for b in range(w)] + [1 << a | 1 << b for a in range(w) for b in range(a)] for w in decontaminate.WIDTHS]
+    for _ in range(200):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), decontaminate.RADIUS):
+            b ^= 1 << bit
+        assert any(x ^ f == y for x, y, fs in zip(decontaminate.block_values(a), decontaminate.block_values(b), flips) for f in fs)
+
+
+def test_chat(spark):
+    events = [(1, 1, 1, "user", "open", None), (1, 2, 1, None, "delta", r"\### Assistant: </turn> ok"), (1, 3, 2, "assistant", "open", None), (1, 4, 2, None, "delta", "draft"),
+              (1, 5, 2, None, "regenerate", None), (1, 6, 2, None, "delta", "fi"), (1, 7, 2, None, "delta", r"nal \h \\"), (1, 8, 3, "a:b#<", "open", None), (1, 9, 3, None, "delta", "x"),
+              (1, 10, 3, None, "edit", "y"), (1, 10, 3, None, None, "z"), (None, 1, 1, None, "open", None)]
+    log = spark.createDataFrame(events, "conv_id bigint, seq bigint, message int, role string, kind string, text string")
+    out = chat.render(chat.fold(log)).select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("t")).collect()
+    turns = {r.conv_id: [(x.role, x.text) for x in r.t] for r in out}
+    assert turns == {1: [("user", r"\### Assistant: </turn> ok"), ("assistant", r"final \h \\"), ("a:b#<", "y")], None: [("", "")]}
+    assert all(r.formatted.count("### ") == len(r.t) == r.formatted.count("</turn>") for r in out)
+    assert chat.render(chat.fold(log.limit(0))).count() == 0
+
+
+def test_pii_base_and_disguises():
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choice("a1.@-+ 24%_(") for _ in range(rng.randrange(40)))
+        plain = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        ips = [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+        found = pii.detect(text)
+        assert found["email"] == plain and found["ip"] == ips
+    for text, kind, hidden in [("mail john.doe [at] example (dot) com now", "email", "john.doe [at] example (dot) com"), ("ｊｏｈｎ＠ｅｘａｍｐｌｅ.com", "email", "ｊｏｈｎ＠ｅｘａｍｐｌｅ.com"),
+                               ("write mary dot smith at mail dot example dot org.", "email", "mary dot smith at mail dot example dot org"),
+                               ("call plus four nine one seven two three four five now", "phone", "plus four nine one seven two three four five")]:
+        spans = pii.added(text, pii.detect(text))[kind]
+        assert [text[a:b] for a, b in spans] == [hidden]
+    assert not any(pii.added("look at the dot. one two at home", pii.detect("")).values())
+
+
+def test_pii_rows(odd, spark):
+    assert pii.find(odd).count() == odd.count() and pii.find(odd.limit(0)).count() == 0
+    row = pii.find(docs(spark, rows("é a@b.co 4111 1111 1111 1111"))).first()
+    assert (row.n_email, row.n_card, row.spans) == (1, 1, "email:2:8,card:9:28")
+    assert row.base_sha256 == hashlib.sha256(row.spans.encode()).hexdigest()
+
+
+def test_url_rules(spark):
+    rules = [url_rules.host_rule("net", "/", "block"), url_rules.host_rule("example.net", "/en/", "allow"), url_rules.word_rule("casino")]
+    urls = ["http://a.net/x", "http://example.net/en/1?q#f", "http://xexample.net/en/", "http://a.net", None, "", "no scheme", "HTTP://WWW.Net/EN/", "http://c.org/CASINO/1", "http://c.org/casinos", "://net//"]
+    data = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls + urls[:1])], "page_id bigint, url string, verdict string")
+    got = {r.page_id: (r.host, r.rule, r.verdict) for r in url_rules.judge(data, rules).collect()}
+    assert len(got) == len(urls) + 1
+    assert got[0] == ("a.net", "net/", "block") and got[1] == ("example.net", "example.net/en/", "allow") and got[2][1] == "net/" and got[3] == ("a.net", None, "allow")
+    assert got[4] == got[5] == got[6] == ("", None, "allow") and got[7][1] == "net/" and got[8] == ("c.org", None, "block") and got[9][2] == "allow" and got[10] == ("net", "net/", "block")
+    assert url_rules.judge(data.limit(0), rules).count() == 0
+
+
+def test_warc_roundtrip_and_salvage(spark, tmp_path):
+    big, odd_text = b"x" * 500, "WARC/1.1\r\nContent-Length: 3\r\n\r\n".encode()
+    data = [(1, "http://a/\r\n", big), (2, None, big), (None, "http://c", big), (3, "http://d", None), (4, "http://e", odd_text), (5, "http://f", b"small"), (6, "http://f", b"small")] + [(i, "u", prose(i, 50).encode()) for i in range(10, 30)]
+    records = warc.with_roles(spark.createDataFrame(data, "id bigint, uri string, payload binary").coalesce(1))
+    manifest = warc.write_archives(records, str(tmp_path / "w")).collect()
+    assert sum(m.records for m in manifest) == len(data)
+    paths = spark.createDataFrame([(m.path,) for m in manifest], "path string")
+    got = warc.read_archives(paths, 2).collect()
+    assert all(r.kind == "record" for r in got) and len(got) == len(data)
+    by = {r.record_id: r for r in got}
+    assert by["<urn:x-record:1>"].record_type == "response" and bytes(by["<urn:x-record:1>"].payload) == big and by["<urn:x-record:1>"].target_uri == "http://a/%0D%0A"
+    assert by["<urn:x-record:2>"].record_type == "revisit" and by["<urn:x-record:2>"].refers_to == "<urn:x-record:1>" and by["<urn:x-record:2>"].payload_length == 500
+    assert by["<urn:x-record:6>"].record_type == "response" and bytes(by["<urn:x-record:4>"].payload) == odd_text
+    # Damage one member, put plain records and rubbish between, cut the end off.
+    starts = sorted((r.start, r.end, r.record_id) for r in got if r.path == manifest[0].path)
+    raw = bytearray(pafs.LocalFileSystem().open_input_file(manifest[0].path).read())
+    hit = starts[3]
+    raw[hit[0] + 40] ^= 0xFF
+    plain = zlib.decompress(bytes(raw[starts[5][0]:starts[5][1]]), 31)
+    broken = bytes(raw[:starts[-1][1] - 10]) + b"rubbish \x1f\x8b\x08 more" + plain + b"WARC/1.0 no record"
+    (tmp_path / "broken.warc.gz").write_bytes(broken)
+    (tmp_path / "empty.warc.gz").write_bytes(b"")
+    again = warc.read_archives(spark.createDataFrame([(str(tmp_path / "broken.warc.gz"),), (str(tmp_path / "empty.warc.gz"),)], "path string"), 2).collect()
+    found = [r.record_id for r in again if r.kind == "record"]
+    assert sorted(found) == sorted([s[2] for s in starts if s[2] not in (hit[2], starts[-1][2])] + [starts[5][2]])
+    gaps = sorted((r.start, r.end) for r in again if r.kind == "gap")
+    assert gaps[0] == (hit[0], hit[1]) and gaps[-1][1] == len(broken) and all(r.reason for r in again if r.kind == "gap")
+
+
+def test_quality(spark, odd):
+    texts = [prose(i, 60) + (" nastyword vileword" if i % 3 == 0 else "") + ("" if i % 3 != 1 else " $$$ ### $$$ ###") for i in range(600)]
+    data = docs(spark, rows(*texts) + rows(None, "", start=600))
+    labels = spark.createDataFrame([(i, int(i % 3 != 1), int(i % 3 == 0)) for i in range(300)] + [(None, 1, 0), (601, None, None)], "doc_id bigint, quality int, toxic int")
+    kept = {r.doc_id for r in quality.keep(data, labels).select("doc_id").collect()}
+    held = {i for i in range(300, 600) if i % 3 == 2}
+    # Held-out accuracy: every marked document goes, of the clean ones at most a few by chance.
+    assert len(held - kept) <= 3 and not {i for i in range(300, 600) if i % 3 != 2} & kept and {600, 601} <= kept
+    assert quality.keep(odd, labels.limit(0)).count() == odd.count() and quality.keep(odd.limit(0), labels).count() == 0
+
+
+def test_kth_largest(spark):
+    rng = random.Random(9)
+    values = [rng.gauss(0, 1) for _ in range(5000)] + [0.25] * 3000
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for k in (1, 777, 4000, 8000):
+        assert quality.kth_largest(df, "v", k, enough=50) == sorted(values, reverse=True)[k - 1]
