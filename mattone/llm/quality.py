@@ -34,17 +34,17 @@ from .words import Words, mix, slices
 BUCKETS = 1 << 20
 SAMPLE = 10_000
 #: Share of a stratum's documents that must hold an n-gram for it to count.
-COMMON = 0.01
+COMMON = 0.03
 #: Languages are told apart in so many bins.
 DOMAINS = 8
 SMOOTHING = 0.5
 #: Standard deviations of a count beyond which two rates of a bucket count as different.
 CLEAR = 5.0
 #: Smallest excess of a log rate over target's that counts.
-LEAST = float(np.log(2.5))
+LEAST = float(np.log(4))
 TEMPERATURE = 0.02
 #: P(target | text) above which a document counts as target text.
-DOUBT = 0.05
+DOUBT = 0.01
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -77,7 +77,10 @@ def stratum():
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
     """Telling buckets and their log p_stratum / p_target for low quality and toxic; None if a side has no labelled text."""
     known = labels.where("doc_id IS NOT NULL").select("doc_id", stratum().alias("stratum")).distinct()
-    picked = [known.where(F.col("stratum") == s).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for s in range(3)]
+    # Equal texts count once, or the words of one much copied text would pass for words of its stratum.
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h")).join(known, "doc_id").groupBy("stratum", "_h").agg(F.min("doc_id").alias("doc_id"))
+    texts = cut_lineage(texts)
+    picked = [texts.where(F.col("stratum") == s).orderBy("_h").limit(sample).select("doc_id", "stratum") for s in range(3)]
     chosen = picked[0].union(picked[1]).union(picked[2])  # at most three times ``sample`` pairs of numbers
     domain = F.pmod(F.xxhash64(F.coalesce("lang", F.lit(""))), F.lit(DOMAINS)).cast("int") if "lang" in docs.columns else F.lit(0)
     texts = (docs.select("doc_id", "text", domain.alias("_d")).join(F.broadcast(chosen), "doc_id")
