@@ -1,4 +1,6 @@
 """The pipeline over the smallest tables: stages in order, columns kept, decisions in effect."""
+from pyspark.sql import functions as F
+
 from mattone.llm import decontaminate
 from mattone.llm.store import table
 
@@ -7,7 +9,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_stages(spark):
     import corpus_pipeline
-    docs = table(spark, FOLDER, "documents").withColumn("digest", table(spark, FOLDER, "documents")["lang"])
+    docs = table(spark, FOLDER, "documents").withColumn("digest", F.col("lang"))
     before = docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, FOLDER)
