@@ -244,13 +244,13 @@ def _(a: Archive):
 _SORT_SQL = {"score": "priority_score DESC, last_seen DESC, id", "price": "currency, price NULLS LAST, id", "latest": "last_seen DESC, id",
              "newest": "first_seen DESC, id", "listed": "first_seen, id", "quality": "completeness DESC, id", "due": "due_date NULLS LAST, id"}
 for _key, _order in _SORT_SQL.items():
-    @query("catalog_sort_" + _key, ["scored", "work"], f"SELECT id, city FROM scored LEFT JOIN work ON id = property_id ORDER BY {_order} LIMIT 100")
+    @query("catalog_sort_" + _key, ["scored", "work"], f"SELECT id, city FROM scored LEFT JOIN work ON id = property_id ORDER BY {_order}")
     def _(a: Archive, key=_key):
-        """The first page of 100 in this order."""
+        """All listings in this order."""
         base = a.scored
         if key == "due":
             base = base.join(a.deal_work.select(F.col("property_id").alias("id"), "due_date"), "id", "left")
-        return catalog.catalog_sort(base, key).select("id", "city").limit(100)
+        return catalog.catalog_sort(base, key).select("id", "city")
 
 
 @query("catalog_page", ["scored"], f"""SELECT id, priority_score, (SELECT count(*) FROM scored WHERE availability NOT IN ({INACTIVE})) AS total, 3 AS page,

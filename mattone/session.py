@@ -38,11 +38,14 @@ _LOCAL: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """Folder for cut lineages: the cluster's ``spark.checkpoint.dir``.
 
-    Only a session without one, as in tests, gets a temporary folder of its own.
+    Only a local session without one, as in tests, gets a temporary folder of its own; a cluster's executors would each
+    write to a disk of their own, so there it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="mattone-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))

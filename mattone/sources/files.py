@@ -95,7 +95,7 @@ def scan_benchmarks_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*BENCHMARK_COLUMNS, F.when(F.size(problems) > 0, F.array_join(problems, "; ")).alias("error"))
 
 
-def scan_sitemap(sitemaps: DataFrame, pattern: str = "", limit: int = 100) -> DataFrame:
+def scan_sitemap(sitemaps: DataFrame, pattern: str = "") -> DataFrame:
     """Page links of ``sitemaps`` (base_url, xml) in order; documents with a DTD or an index are refused."""
     upper = F.upper("xml")
     root = F.regexp_extract("xml", r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*)*<(?:[\w.-]+:)?([\w.-]+)", 1)
@@ -104,7 +104,7 @@ def scan_sitemap(sitemaps: DataFrame, pattern: str = "", limit: int = 100) -> Da
     locs = F.transform(F.regexp_extract_all("xml", F.lit(r"(?is)<(?:[\w.-]+:)?loc(?:\s[^>]*)?>(.*?)</(?:[\w.-]+:)?loc>"), F.lit(1)),
                        lambda x: join_url(F.col("base_url"), clean_text(x)))
     kept = F.array_distinct(F.filter(locs, lambda u: u.contains(pattern)))
-    rows = sitemaps.withColumn("error", error).withColumn("_urls", F.when(F.col("error").isNull(), F.slice(kept, 1, limit)).otherwise(F.array().cast("array<string>")))
+    rows = sitemaps.withColumn("error", error).withColumn("_urls", F.when(F.col("error").isNull(), kept).otherwise(F.array().cast("array<string>")))
     return rows.select("base_url", "error", F.posexplode_outer("_urls").alias("position", "link"))
 
 
