@@ -72,6 +72,15 @@ def test_duplicates_link_offers_of_different_sources(spark):
     assert members["d"] == members["a"] == "a"
 
 
+def test_duplicates_of_any_surface(spark):
+    rng = random.Random(4)
+    surfaces = [50.48, 52.04] + [round(rng.uniform(40, 60), 3) for _ in range(60)]
+    rows = frame(spark, [listing(f"i{n:02}", surface=x, source_id=f"s{n}") for n, x in enumerate(surfaces)])
+    got = {(r["a"], r["b"]) for r in clusters.duplicate_candidates(rows).collect()}
+    want = {(f"i{a:02}", f"i{b:02}") for b in range(62) for a in range(b) if abs(surfaces[a] - surfaces[b]) / max(surfaces[a], surfaces[b]) <= 0.03}
+    assert ("i00", "i01") in got and got == want
+
+
 def test_components_of_chain_star_and_ring(spark):
     edges = [(f"n{i:02}", f"n{i + 1:02}") for i in range(30)] + [("z0", f"z{i}") for i in range(1, 40)] + [("r1", "r2"), ("r2", "r3"), ("r3", "r1")]
     got = {r["node"]: r["root"] for r in clusters.connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
