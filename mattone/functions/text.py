@@ -98,15 +98,7 @@ def cadastral(text: Column) -> Column:
 
 
 def _cadastral(text: Column) -> Column:
-    def pick(m):
-        code, use = m["code"], m["use"]
-        at = F.when((code > 0) & ((use == 0) | (code <= use)), code).otherwise(use)
-        pattern = F.when(at == code, uni(rules.CADASTRAL_CODE)).otherwise(uni(rules.CADASTRAL_USE))
-        return F.when(at > 0, F.trim(F.regexp_substr(F.substring(m["text"], at, F.lit(300)), pattern)))
-
-    found = F.struct(F.regexp_instr(text, F.lit(uni(rules.CADASTRAL_CODE))).alias("code"),
-                     F.regexp_instr(text, F.lit(uni(rules.CADASTRAL_USE))).alias("use"), text.alias("text"))
-    return let(let(found, pick), _cadastral_label)
+    return let(F.trim(F.regexp_substr(text, F.lit(uni(rules.CADASTRAL)))), _cadastral_label)
 
 
 def _cadastral_label(quote: Column) -> Column:

@@ -1,6 +1,8 @@
 """Numbers, labels, contacts and URLs written by people, turned into one form."""
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,15 +42,29 @@ def parse_number(c) -> Column:
 
 
 def clean_text(c) -> Column:
-    """Tags stripped, common entities decoded, blanks collapsed."""
+    """Tags stripped, entities decoded, blanks collapsed."""
     return F.trim(F.regexp_replace(decode_entities(F.regexp_replace(col(c), r"(?s)<[^>]*>", " ")), r"(?U)\s+", " "))
 
 
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
 def decode_entities(c) -> Column:
-    for name, char in (("&nbsp;", "\u00a0"), ("&euro;", "€"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-                       ("&lt;", "<"), ("&gt;", ">"), ("&sup2;", "²"), ("&rsquo;", "’"), ("&amp;", "&")):
-        c = F.replace(col(c), F.lit(name), F.lit(char))
-    return c
+    """Numeric and named character references as characters, each once; unknown ones stay as they are."""
+    names = F.create_map(*[F.lit(x) for name, code in {**name2codepoint, "apos": 39}.items() for x in (name, chr(code))])
+
+    def character(code):
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+    def piece(p):
+        body = F.substring(p, F.lit(2), F.length(p) - 2)
+        number = (F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10))
+                  .when(body.startswith("#"), F.substring(body, F.lit(2), F.length(body))).try_cast("bigint"))
+        return F.when(p.rlike("^" + _ENTITY + "$"), F.coalesce(character(number), F.try_element_at(names, body), p)).otherwise(p)
+
+    pieces = F.regexp_extract_all(col(c), F.lit(_ENTITY + "|[^&]+|&"), F.lit(0))
+    return F.when(col(c).contains("&"), F.array_join(F.transform(pieces, piece), "")).otherwise(col(c))
 
 
 def normalize_condition(c) -> Column:

@@ -1,6 +1,6 @@
-"""Band statistics for crowded market groups, without pairing subjects and comparables.
+"""Band statistics for market groups of any size, without pairing subjects and comparables.
 
-In a crowded group many listings ask about the same surfaces. Each distinct surface asks once:
+In a large group many listings ask about the same surfaces. Each distinct surface asks once:
 the band is answered from cumulative counts along the surface axis, per value bucket first and
 then inside the few buckets that hold a wanted rank. Window partitions are (group, bucket) and
 hold one row per distinct surface, whatever the number of listings.
@@ -17,7 +17,7 @@ from ..functions.quantiles import value_bucket
 from ..session import cut_lineage
 
 _QUARTILES = {"q1_raw": 0.25, "median_raw": 0.5, "q3_raw": 0.75}
-_CENTS = 100  # surfaces are compared on a grid of 0.01 m²
+_GRID = 100  # cells of 0.01 m²; surfaces in the two cells at the ends of a band are compared as stored
 
 
 def _points(subjects: DataFrame, groups: DataFrame, same_condition: bool) -> DataFrame:
@@ -99,8 +99,8 @@ def _own_elements(subjects: DataFrame, pool: DataFrame) -> DataFrame:
             .select("id", "comp_condition", "own_sqm", "own_seen", "own_origin"))
 
 
-def crowded_stats(subjects: DataFrame, pool: DataFrame, same_condition: bool) -> DataFrame:
-    """The same statistics as the row-by-row path, for groups too dense to be paired."""
+def band_stats(subjects: DataFrame, pool: DataFrame, same_condition: bool) -> DataFrame:
+    """Count, quartiles, extremes, dates and sources of the comparables within 30 % of each subject's surface."""
     keys = ["seg", "comp_condition"]
     groups = pool.select(*keys).distinct()
     points = cut_lineage(_points(subjects, groups, same_condition))
@@ -143,38 +143,39 @@ def crowded_stats(subjects: DataFrame, pool: DataFrame, same_condition: bool) ->
         (F.col("origins") - F.when(F.coalesce("lone", F.lit(False)), 1).otherwise(0)).cast("bigint").alias("source_count"))
 
 
-def crowded_newest(subjects: DataFrame, pool: DataFrame, wanted: int) -> DataFrame:
-    """The newest comparables in the band of each subject, for dense groups.
+def band_newest(subjects: DataFrame, pool: DataFrame, wanted: int) -> DataFrame:
+    """The newest comparables in the band of each subject.
 
-    The surface axis is cut in dyadic blocks that each keep their newest elements; a band is
-    the union of a few blocks, about two per doubling of its width.
+    The surface axis is cut in cells and these in dyadic blocks that each keep their newest elements; the cells that lie
+    whole in a band are the union of a few blocks, about two per doubling of its width. The cells at its two ends keep the
+    newest elements of each surface, which are compared with the band as stored.
     """
     keys = ["seg", "comp_condition"]
-    levels = 30
-    cell = F.floor(F.col("comp_surface") * _CENTS + 0.5).cast("bigint")
     order = [F.desc("comp_seen"), F.asc("comp_id")]
+    cell_of = lambda c: F.floor(c * _GRID).cast("bigint")
+    # A block inside the band of a subject is never longer than the distance of its elements from zero.
+    levels = lambda c: F.explode(F.sequence(F.lit(0), F.floor(F.log2(c + 2)).cast("int")))
 
     def keep(df, by):
         w = Window.partitionBy(*keys, *by).orderBy(*order)
         return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= wanted).drop("_rn")
 
-    cells = keep(pool.withColumn("cell", cell), ["cell"])
-    blocks = (cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-              .withColumn("block", F.expr("shiftright(cell, level)")))
-    blocks = keep(blocks, ["level", "block"]).drop("cell")
-    lo = F.ceil(F.col("surface") * 0.7 * _CENTS - 1e-6).cast("bigint")
-    hi = F.floor(F.col("surface") * 1.3 * _CENTS + 1e-6).cast("bigint")
-    lo = F.when(lo / _CENTS < F.col("surface") * 0.7, lo + 1).otherwise(lo)
-    hi = F.when(hi / _CENTS > F.col("surface") * 1.3, hi - 1).otherwise(hi)
-    # Canonical cover of [lo, hi]: at each level, a block at either end that its parent would exceed.
-    points = (subjects.select("seg", "surface").distinct().withColumn("lo", lo).withColumn("hi", hi)
-              .withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))))
-    a = F.expr("CASE WHEN level = 0 THEN lo ELSE shiftright(lo + shiftleft(1L, level) - 1, level) END")
-    b = F.expr("CASE WHEN level = 0 THEN hi ELSE shiftright(hi + 1, level) - 1 END")
-    points = points.withColumn("a", a).withColumn("b", b).where("a <= b")
-    ends = F.array_distinct(F.array(F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 0, F.col("b"))))
-    covers = points.withColumn("block", F.explode(F.filter(ends, lambda x: x.isNotNull()))).select("seg", "surface", "level", "block")
-    found = covers.join(blocks, ["seg", "level", "block"])
-    best = Window.partitionBy("seg", "surface", "comp_condition").orderBy(F.desc("comp_seen"), F.asc("comp_id"))
-    best_rows = found.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= wanted).drop("_rn", "level", "block")
+    surfaces = keep(pool, ["comp_surface"]).withColumn("cell", cell_of(F.col("comp_surface")))
+    blocks = (keep(surfaces, ["cell"]).withColumn("level", levels(F.col("cell")))
+              .withColumn("block", F.expr("shiftright(cell, level)")).drop("cell"))
+    blocks = keep(blocks, ["level", "block"])
+    bands = (subjects.select("seg", "surface").distinct().withColumn("lo", F.col("surface") * 0.7).withColumn("hi", F.col("surface") * 1.3)
+             .withColumn("first", cell_of(F.col("lo"))).withColumn("last", cell_of(F.col("hi"))))
+    ends = (bands.withColumn("cell", F.explode(F.array_distinct(F.array("first", "last")))).join(surfaces, ["seg", "cell"])
+            .where((F.col("comp_surface") >= F.col("lo")) & (F.col("comp_surface") <= F.col("hi"))).drop("lo", "hi", "first", "last", "cell"))
+    # Canonical cover of the cells in between: at each level, a block at either end that its parent would exceed.
+    inner = bands.select("seg", "surface", (F.col("first") + 1).alias("a0"), (F.col("last") - 1).alias("b0")).where("a0 <= b0").withColumn("level", levels(F.col("b0")))
+    a = F.expr("CASE WHEN level = 0 THEN a0 ELSE shiftright(a0 + shiftleft(1L, level) - 1, level) END")
+    b = F.expr("CASE WHEN level = 0 THEN b0 ELSE shiftright(b0 + 1, level) - 1 END")
+    inner = inner.withColumn("a", a).withColumn("b", b).where("a <= b")
+    sides = F.array_distinct(F.array(F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 0, F.col("b"))))
+    covers = inner.withColumn("block", F.explode(F.filter(sides, lambda x: x.isNotNull()))).select("seg", "surface", "level", "block")
+    found = covers.join(blocks, ["seg", "level", "block"]).drop("level", "block").unionByName(ends)
+    best = Window.partitionBy("seg", "surface", "comp_condition").orderBy(*order)
+    best_rows = found.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= wanted).drop("_rn")
     return subjects.join(best_rows, ["seg", "surface"]).where(F.col("comp_root") != F.col("root"))

@@ -37,13 +37,16 @@ def _edges(ring: Column) -> Column:
     return F.arrays_zip(ring.alias("a"), nxt.alias("b"))
 
 
-def inside_zone(lon: Column, lat: Column, rings: Column) -> Column:
-    """Even-odd rule over all rings, so that holes need no order."""
+def inside_zone(lon: Column, lat: Column, polygons: Column) -> Column:
+    """Whether any polygon holds the point; even-odd rule over the rings of each, so that holes need no order."""
     def crosses(e):
         ax, ay, bx, by = e["a"][0], e["a"][1], e["b"][0], e["b"][1]
         return ((ay > lat) != (by > lat)) & (lon < (bx - ax) * (lat - ay) / (by - ay) + ax)
-    crossings = F.aggregate(rings, F.lit(0), lambda n, ring: n + F.size(F.filter(_edges(ring), crosses)))
-    return crossings % 2 == 1
+
+    def holds(rings):
+        return F.aggregate(rings, F.lit(0), lambda n, ring: n + F.size(F.filter(_edges(ring), crosses))) % 2 == 1
+
+    return F.exists(polygons, holds)
 
 
 def border_distance_m(lon: Column, lat: Column, rings: Column) -> Column:
@@ -62,25 +65,29 @@ def border_distance_m(lon: Column, lat: Column, rings: Column) -> Column:
 
 
 def zone_cells(zones: DataFrame) -> DataFrame:
-    """Each zone once per grid cell of its bounding box."""
-    points = F.flatten("rings")
-    box = lambda f, i: f(F.transform(points, lambda p: p[i]))
-    low = lambda i: F.floor(box(F.array_min, i) / CELL)
-    high = lambda i: F.floor(box(F.array_max, i) / CELL)
-    return (zones.withColumn("cell_x", F.explode(F.sequence(low(0), high(0)))).withColumn("cell_y", F.explode(F.sequence(low(1), high(1)))))
+    """Key and bounding box of each zone, once per grid cell of the box; its rings stay behind."""
+    points = F.flatten(F.flatten("polygons"))
+    end = lambda f, i: f(F.transform(points, lambda p: p[i]))
+    boxed = zones.select("zone_key", end(F.array_min, 0).alias("west"), end(F.array_max, 0).alias("east"),
+                         end(F.array_min, 1).alias("south"), end(F.array_max, 1).alias("north"))
+    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / CELL), F.floor(F.col(high) / CELL)))
+    return boxed.withColumn("cell_x", cells("west", "east")).withColumn("cell_y", cells("south", "north"))
 
 
 def zone_join(listings: DataFrame, zones: DataFrame, margin_m: float = 20.0) -> DataFrame:
-    """The one zone that holds each point well inside its border; none when zones overlap there.
+    """The one zone (``zone_code``, ``polygons``) that holds each point well inside its border; none where zones overlap.
 
-    Points and zones meet in grid cells, so a point sees only the zones of its cell. Points at
-    one position are tested once.
+    Points and boxes of zones meet in grid cells; rings are joined to the pairs that are left. Points at one position
+    are tested once.
     """
     spots = listings.where(located()).select("latitude", "longitude").distinct()
     cells = spots.withColumn("cell_x", F.floor(F.col("longitude") / CELL)).withColumn("cell_y", F.floor(F.col("latitude") / CELL))
-    lon, lat, rings = F.col("longitude"), F.col("latitude"), F.col("rings")
-    hits = cells.join(zone_cells(zones), ["cell_x", "cell_y"]).where(inside_zone(lon, lat, rings))
-    distance = half_up(border_distance_m(lon, lat, rings), 1)
+    lon, lat, polygons = F.col("longitude"), F.col("latitude"), F.col("polygons")
+    keyed = zones.where(F.size("polygons") > 0).select("zone_code", "polygons", F.xxhash64("zone_code", "polygons").alias("zone_key"))
+    boxed = (cells.join(zone_cells(keyed), ["cell_x", "cell_y"])
+             .where(lon.between(F.col("west"), F.col("east")) & lat.between(F.col("south"), F.col("north"))).select("latitude", "longitude", "zone_key"))
+    hits = boxed.join(keyed, "zone_key").where(inside_zone(lon, lat, polygons))
+    distance = half_up(border_distance_m(lon, lat, F.flatten(polygons)), 1)
     spot_zone = (hits.select("latitude", "longitude", "zone_code", distance.alias("border_m"))
                  .groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("_zones"), F.min("zone_code").alias("zone_code"),
                                                        F.min("border_m").alias("border_m"))

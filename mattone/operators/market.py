@@ -9,6 +9,7 @@ from ..functions.expr import all_of, days, half_up, inactive, known, labels, new
 from ..functions.quantiles import group_quantiles
 from ..session import cut_lineage
 from .clusters import latest_per_cluster, with_root
+from .density import band_newest, band_stats
 
 
 def market_segments(listings: DataFrame, clusters: DataFrame, as_of, window_days: int | None = None,
@@ -44,12 +45,6 @@ def market_segments(listings: DataFrame, clusters: DataFrame, as_of, window_days
 
 # --- Like-for-like references -----------------------------------------------------------------
 
-# Comparables of one segment and condition that a subject may meet directly. Denser groups go
-# through histograms over the surface axis, so no subject is ever paired with a crowd.
-DENSE = 256
-_RANKED = {"q1_sqm": 0.25, "median_sqm": 0.5, "q3_sqm": 0.75}
-
-
 def reference_subjects(listings: DataFrame, same_condition: bool = False) -> DataFrame:
     """Listings with their segment key and, where there is one, the reason against a comparison."""
     labels_it = {"city": "comune", "zone": "zona", "property_type": "tipologia", "area_basis": "tipo di superficie",
@@ -71,7 +66,8 @@ def reference_subjects(listings: DataFrame, same_condition: bool = False) -> Dat
 def reference_pool(listings: DataFrame, clusters: DataFrame, conflicts: DataFrame, as_of, conditions=None) -> DataFrame:
     """Comparables: live listings of the last 90 days, one per asset and segment.
 
-    Assets whose sources contradict each other are left out.
+    With ``conditions`` an asset stands with its newest listing in any of them; without, with its newest one in each
+    condition. Assets whose sources contradict each other are left out.
     """
     now = stamp(as_of)
     rows = with_root(listings, clusters).where(
@@ -82,7 +78,7 @@ def reference_pool(listings: DataFrame, clusters: DataFrame, conflicts: DataFram
     doubtful = conflicts.where(F.size("conflicts") > 0).select("root")
     rows = (rows.join(doubtful, "root", "left_anti").withColumn("seg", text_key(*rules.REFERENCE_KEYS))
             .withColumn("comp_sqm", price_sqm()))
-    multi = newest_per(rows.where("clustered"), ["root", "seg"], [F.desc("last_seen"), F.asc("id")])
+    multi = newest_per(rows.where("clustered"), ["root", "seg", *(["condition"] if conditions is None else [])], [F.desc("last_seen"), F.asc("id")])
     return rows.where("not clustered").unionByName(multi).select(
         "seg", F.col("condition").alias("comp_condition"), F.col("root").alias("comp_root"), F.col("id").alias("comp_id"),
         F.col("title").alias("comp_title"), F.col("url").alias("comp_url"), F.col("surface").alias("comp_surface"),
@@ -95,51 +91,18 @@ def _with_domain(pool: DataFrame, sources: DataFrame) -> DataFrame:
             .withColumn("comp_origin", F.coalesce(F.when(F.col("domain") != "", F.col("domain")), "comp_source")).drop("domain"))
 
 
-def _split_by_density(pool: DataFrame, dense: int) -> tuple[DataFrame, DataFrame | None]:
-    """The pool in small groups and in crowded ones; None when no group is crowded."""
-    sizes = pool.groupBy("seg", "comp_condition").agg((F.count(F.lit(1)) > dense).alias("crowded"))
-    crowded_groups = sizes.where("crowded").drop("crowded")
-    keys = ["seg", "comp_condition"]
-    if crowded_groups.limit(1).count() == 0:
-        return pool, None
-    return pool.join(crowded_groups, keys, "left_anti"), cut_lineage(pool.join(crowded_groups, keys, "left_semi"))
-
-
-def _meets(subjects: DataFrame, pool: DataFrame, same_condition: bool) -> DataFrame:
-    """Subjects with their comparables: same segment, surface within 30 %, another asset."""
-    joined = subjects.join(pool, "seg").where(
-        (F.col("comp_surface") >= F.col("surface") * 0.7) & (F.col("comp_surface") <= F.col("surface") * 1.3)
-        & (F.col("comp_root") != F.col("root")))
-    return joined.where(F.col("comp_condition") == F.col("condition")) if same_condition else joined
-
-
-def _sparse_stats(subjects: DataFrame, pool: DataFrame, same_condition: bool) -> DataFrame:
-    """Statistics of subjects whose group is small enough to meet row by row."""
-    met = _meets(subjects.select("id", "seg", "root", "surface", "condition"), pool, same_condition)
-    stats = met.groupBy("id", "comp_condition").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile("comp_sqm", F.array(*[F.lit(q) for q in _RANKED.values()])).alias("q"),
-        F.min("comp_sqm").alias("min_raw"), F.max("comp_sqm").alias("max_raw"), F.min("comp_seen").alias("oldest"),
-        F.max("comp_seen").alias("newest"), F.size(F.collect_set("comp_origin")).cast("bigint").alias("source_count"))
-    return stats.select("id", "comp_condition", "n", F.col("q")[0].alias("q1_raw"), F.col("q")[1].alias("median_raw"),
-                        F.col("q")[2].alias("q3_raw"), "min_raw", "max_raw", "oldest", "newest", "source_count")
-
-
 def market_references(listings: DataFrame, clusters: DataFrame, conflicts: DataFrame, sources: DataFrame, as_of,
-                      same_condition: bool = False, dense: int = DENSE) -> DataFrame:
+                      same_condition: bool = False) -> DataFrame:
     """Per listing and condition: what comparable assets ask, at least three needed.
 
     Without ``same_condition`` each listing is set against assets to renovate, renovated and
     new; with it, against assets in its own condition.
     """
-    from .density import crowded_stats
     conditions = None if same_condition else rules.REFERENCE_CONDITIONS
     subjects = with_root(reference_subjects(listings, same_condition), clusters)
     pool = cut_lineage(_with_domain(reference_pool(listings, clusters, conflicts, as_of, conditions), sources))
-    sparse, crowded = _split_by_density(pool, dense)
-    asking = subjects.where("refusal is null").select("id", "seg", "root", "surface", "condition")
-    stats = _sparse_stats(asking, sparse, same_condition)
-    if crowded is not None:
-        stats = stats.unionByName(crowded_stats(cut_lineage(asking), crowded, same_condition))
+    asking = cut_lineage(subjects.where("refusal is null").select("id", "seg", "root", "surface", "condition"))
+    stats = band_stats(asking, pool, same_condition)
     keep = subjects.select("id", "condition", "price", "surface", "refusal")
     if same_condition:
         groups = keep.withColumn("key", F.col("condition"))
@@ -166,17 +129,13 @@ def market_references(listings: DataFrame, clusters: DataFrame, conflicts: DataF
 
 
 def market_comparables(listings: DataFrame, clusters: DataFrame, conflicts: DataFrame, sources: DataFrame, as_of,
-                       shown: int = rules.SHOWN_COMPARABLES, dense: int = DENSE) -> DataFrame:
+                       shown: int = rules.SHOWN_COMPARABLES) -> DataFrame:
     """The comparables shown with each listing: the most recent ones of each condition."""
-    from .density import crowded_newest
     subjects = with_root(reference_subjects(listings), clusters).where("refusal is null").select(
         "id", "seg", "root", "surface", "condition")
     pool = cut_lineage(_with_domain(reference_pool(listings, clusters, conflicts, as_of, rules.REFERENCE_CONDITIONS), sources))
-    sparse, crowded = _split_by_density(pool, dense)
     columns = ["id", "comp_condition", "comp_id", "comp_sqm", "comp_surface", "comp_price", "comp_source", "comp_seen"]
-    near = _meets(subjects, sparse, False).select(*columns)
-    if crowded is not None:
-        near = near.unionByName(crowded_newest(subjects, crowded, shown + 1).select(*columns))
+    near = band_newest(subjects, pool, shown + 1).select(*columns)
     w = Window.partitionBy("id", "comp_condition").orderBy(F.desc("comp_seen"), F.asc("comp_id"))
     return near.withColumn("position", F.row_number().over(w)).where(F.col("position") <= shown)
 

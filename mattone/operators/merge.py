@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.expr import closed, known, newest_per, stamp
+from ..functions.expr import closed, known, stamp
 
 CONTENT = ["url", "title", "city", "zone", "address", "property_type", "condition", "price", "surface", "rooms", "bathrooms",
            "latitude", "longitude", "area_basis", "currency", "transaction_type", "description", "availability", "is_auction"]
@@ -29,14 +29,17 @@ def gone_page(availability: Column, http_status: Column) -> Column:
 def merge_listings(current: DataFrame, batch: DataFrame, as_of) -> DataFrame:
     """Full-outer merge on (source_id, listing_key) into the new current table.
 
-    ``batch`` may state a key more than once; the last ``batch_order`` wins. Added columns:
+    ``batch`` may state a key more than once; the last ``batch_order`` wins, then the last ``read_at``, then the
+    largest content, so that reruns agree. Added columns:
     ``in_batch``, ``created``, ``changed`` and ``previous_price``/``previous_availability``.
     Rows with an HTTP status of 404/410 only move the availability of a known listing.
     """
     key = ["source_id", "listing_key"]
-    last = newest_per(batch, key, [F.desc("batch_order")]) if "batch_order" in batch.columns else batch
-    if "http_status" not in last.columns:
-        last = last.withColumn("http_status", F.lit(200))
+    order = [c for c in ("batch_order", "read_at") if c in batch.columns]
+    if "http_status" not in batch.columns:
+        batch = batch.withColumn("http_status", F.lit(200))
+    stated = [*CONTENT, "http_status"]
+    last = batch.groupBy(*key).agg(F.max(F.struct(*order, *stated)).alias("_m")).select(*key, *[F.col("_m." + c) for c in stated])
     old = current.select(*key, *[F.col(c).alias("o_" + c) for c in (*CONTENT, "first_seen", "last_seen", "content_hash")])
     new = last.select(*key, *[F.col(c).alias("n_" + c) for c in CONTENT], F.col("http_status"), F.lit(True).alias("_new"))
     both = old.join(new, key, "full")

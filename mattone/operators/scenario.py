@@ -4,13 +4,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import labels
+
 INPUTS = {"purchase": (0, 1e9), "sale": (0, 1e10), "works": (0, 1e9), "acquisition_costs": (0, 1e9), "contingency_pct": (0, 100),
           "selling_pct": (0, 99.99), "holding_monthly": (0, 1e7), "months": (1, 120), "target_roi_pct": (0, 300),
           "stress_sale_pct": (0, 90), "stress_works_pct": (0, 300), "stress_delay_months": (0, 120)}
 
 
 def _d(c: str) -> Column:
-    return F.col(c).cast("decimal(20,4)")
+    """An input of a row within bounds; null on the others."""
+    return F.when(F.col("_ok"), F.col(c).cast("decimal(20,4)"))
 
 
 def _money(c: Column) -> Column:
@@ -26,12 +29,15 @@ def _ratio(a: Column, b: Column) -> Column:
     return a.cast("decimal(20,6)") / b.cast("decimal(20,6)")
 
 
-def in_bounds() -> Column:
-    test = F.lit(True)
-    for name, (low, high) in INPUTS.items():
-        strict = name in ("purchase", "sale")
-        test = test & ((F.col(name) > low) if strict else (F.col(name) >= low)) & (F.col(name) <= high)
-    return F.coalesce(test, F.lit(False))
+def _checked(inputs: DataFrame) -> DataFrame:
+    """Adds ``error``, the inputs that are missing or outside their bounds, and ``_ok``."""
+    def within(name, low, high):
+        above = (F.col(name) > low) if name in ("purchase", "sale") else (F.col(name) >= low)
+        return F.coalesce(above & (F.col(name) <= high) & ~F.isnan(F.col(name).cast("double")), F.lit(False))
+
+    outside = labels([(name, ~within(name, low, high)) for name, (low, high) in INPUTS.items()])
+    error = F.when(F.size(outside) > 0, F.concat(F.lit("out of bounds: "), F.array_join(outside, ", ")))
+    return inputs.withColumn("error", error).withColumn("_ok", F.col("error").isNull())
 
 
 def _pct(c) -> Column:
@@ -54,9 +60,9 @@ def _outcome(sale_shift=None, works_shift=None, delay=None) -> tuple[Column, Col
 def scenario_profit(inputs: DataFrame) -> DataFrame:
     """Capital, result, ROI, break-even, purchase ceiling and a combined stress per input row.
 
-    Rows with values outside the accepted bounds are left out by ``in_bounds``.
+    Rows with values outside the accepted bounds keep no results and name the inputs in ``error``.
     """
-    rows = inputs.where(in_bounds())
+    rows = _checked(inputs)
     invested, profit = _outcome()
     s_invested, s_profit = _outcome(-_d("stress_sale_pct"), _d("stress_works_pct"), _d("stress_delay_months"))
     rows = (rows.withColumn("_i", invested).withColumn("_p", profit).withColumn("_si", s_invested).withColumn("_sp", s_profit))
@@ -79,14 +85,14 @@ def scenario_profit(inputs: DataFrame) -> DataFrame:
         _money(F.col("_si")).alias("stress_invested"), _money(F.col("_sp")).alias("stress_profit"),
         _money(_ratio(F.col("_sp") * 100, F.col("_si"))).alias("stress_roi_pct"), _money(_ratio(F.col("_si"), net)).alias("stress_breakeven_sale"),
         _floor(ceiling("_si", "_sp")).alias("stress_max_purchase"),
-        (F.col("_sp") * 100 >= _d("target_roi_pct") * F.col("_si")).alias("stress_target_met"))
+        (F.col("_sp") * 100 >= _d("target_roi_pct") * F.col("_si")).alias("stress_target_met"), "error")
 
 
 def sensitivity_grid(inputs: DataFrame) -> DataFrame:
-    """Result of each input row under six shifts of sale price and works."""
+    """Result of each input row under six shifts of sale price and works; ``error`` as in ``scenario_profit``."""
     shifts = F.array(*[F.struct(F.lit(s).alias("sale_change_pct"), F.lit(w).alias("works_change_pct"))
                        for s in (-10, 0, 10) for w in (0, 20)])
-    rows = inputs.where(in_bounds()).withColumn("_s", F.explode(shifts)).select("*", "_s.*").drop("_s")
+    rows = _checked(inputs).withColumn("_s", F.explode(shifts)).select("*", "_s.*").drop("_s")
     dec = lambda c: F.col(c).cast("decimal(10,4)")
     _, profit = _outcome(dec("sale_change_pct"), dec("works_change_pct"))
-    return rows.withColumn("profit", _money(profit))
+    return rows.withColumn("profit", _money(profit)).drop("_ok")

@@ -252,7 +252,7 @@ def zones(spark: SparkSession, folder: str) -> DataFrame:
 
     return table(spark, folder, "nation").select(
         F.concat(F.lit("B"), n).alias("zone_code"), F.col("n_name").alias("name"),
-        F.array(box(west, south, F.lit(2.0), F.lit(1.9)), box(west + 0.5, south + 0.5, F.lit(0.4), F.lit(0.4))).alias("rings"))
+        F.array(F.array(box(west, south, F.lit(2.0), F.lit(1.9)), box(west + 0.5, south + 0.5, F.lit(0.4), F.lit(0.4)))).alias("polygons"))
 
 
 def zone_quotes(spark: SparkSession, folder: str) -> DataFrame:

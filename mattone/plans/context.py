@@ -11,9 +11,6 @@ from ..operators import clusters, history, market, quality, queue, scoring, scre
 from . import adapter
 from .adapter import AS_OF, EVENTS_AS_OF
 
-# Confirmed assets are a stored table of the archive: checkpointed once per session and folder.
-_CLUSTERS: dict[tuple[str, str], DataFrame] = {}
-
 
 class Archive:
     """The listing archive over one folder of tables."""
@@ -44,10 +41,7 @@ class Archive:
 
     @cached_property
     def clusters(self):
-        key = (self.spark.sparkContext.applicationId, self.folder)
-        if key not in _CLUSTERS:
-            _CLUSTERS[key] = clusters.asset_clusters(self.reviews)
-        return _CLUSTERS[key]
+        return clusters.asset_clusters(self.reviews)
 
     @cached_property
     def no_clusters(self):

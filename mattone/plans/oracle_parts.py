@@ -268,7 +268,8 @@ CTES["pool"] = (["pool_all"], """
 SELECT * FROM pool_all WHERE comp_condition IN ('to_renovate', 'renovated', 'new')
 QUALIFY row_number() OVER (PARTITION BY comp_root, comp_seg ORDER BY comp_seen DESC, comp_id) = 1""")
 CTES["pool_same"] = (["pool_all"], """
-SELECT * FROM pool_all QUALIFY row_number() OVER (PARTITION BY comp_root, comp_seg ORDER BY comp_seen DESC, comp_id) = 1""")
+SELECT p.* FROM pool_all p WHERE NOT EXISTS (SELECT 1 FROM pool_all q WHERE q.comp_root = p.comp_root AND q.comp_seg = p.comp_seg AND q.comp_condition = p.comp_condition
+  AND (q.comp_seen > p.comp_seen OR (q.comp_seen = p.comp_seen AND q.comp_id < p.comp_id)))""")
 _NEAR = "a.seg = p.comp_seg AND p.comp_surface >= a.surface * 0.7 AND p.comp_surface <= a.surface * 1.3 AND p.comp_root <> a.root"
 CTES["met"] = (["asking", "pool"], f"SELECT a.id, p.* FROM asking a JOIN pool p ON {_NEAR} WHERE a.gaps = '' AND a.transaction_type = 'sale'")
 CTES["met_same"] = (["asking", "pool_same"], f"""

@@ -1,14 +1,17 @@
 """Queries on text evidence, contacts, searches, daily work, places, ingest and runs."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import rules, sinks
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import brokers, catalog, evidence, geo, history, market, merge, quality, queue, scenario, scoring, screening, signals
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 from ..sources import cards, files, mail, pages
+from ..streaming import streams
 from .adapter import AS_OF, EVENTS_AS_OF
 from .context import Archive
 from .oracle_parts import CLOSED, MANDATE_SENTENCE, FACTS, INACTIVE, NOW, TEXT, USABLE, cut, hit, known, quote, rnd, route_kind, strategy_quote, ts
@@ -29,7 +32,7 @@ def _whole(pattern: str, text: str = FACTS) -> str:
     return f"nullif(trim(regexp_extract({text}, {quote('(?i)' + pattern)})), '')"
 
 
-_CADASTRAL = f"nullif(regexp_replace(trim(regexp_extract({FACTS}, {quote('(?i)' + rules.CADASTRAL_CODE)})), '^.*\\b([A-F])\\s*/?\\s*([0-9]{{1,2}})$', 'Categoria catastale \\1/\\2', 's'), '')"
+_CADASTRAL = f"nullif(regexp_replace(trim(regexp_extract({FACTS}, {quote('(?i)' + rules.CADASTRAL)})), '^.*\\b([A-F])\\s*/?\\s*([0-9]{{1,2}})$', 'Categoria catastale \\1/\\2', 's'), '')"
 
 
 @query("text_facts", ["texts"], f"""SELECT id, {_CADASTRAL} AS cadastral, {_whole('[^.!?' + chr(10) + ']{0,90}(?:' + rules.CHANGE_OF_USE + ')[^.!?' + chr(10) + ']{0,170}')} AS change_of_use,
@@ -579,9 +582,11 @@ def _(a: Archive):
     return files.scan_zone_quotes(docs).drop("position")
 
 
-@query("scan_semantic_results", [], """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN NULL WHEN 1 THEN 'unknown strategy' ELSE 'not a JSON object' END AS error FROM conversations""")
+@query("scan_semantic_results", [], """SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'not a JSON object' ELSE nullif(concat_ws('; ', CASE WHEN 2 * n + CASE turn % 3 WHEN 0 THEN 112 ELSE 102 END > 30000 THEN 'too long' END,
+  CASE WHEN n > 1500 THEN 'summary missing or too long' END, CASE WHEN turn % 3 = 1 THEN 'unknown strategy' END, CASE WHEN n + 10 > 700 THEN 'evidence length' END), '') END AS error
+FROM (SELECT *, length(coalesce(text, '')) AS n FROM conversations)""")
 def _(a: Archive):
-    quoted = F.substring(F.regexp_replace("text", r"[^\p{L} ]", " "), 1, 200)
+    quoted = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L} ]", " ")
     body = lambda s: F.to_json(F.struct(quoted.alias("summary"), F.array(F.struct(F.lit(s).alias("strategy"), F.concat(F.lit("citazione "), quoted).alias("evidence"))).alias("strategies"), F.array(F.lit("ipotesi")).alias("caveats")))
     content = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```json\n"), body("value_add"), F.lit("\n```"))).when(F.col("turn") % 3 == 1, body("speculation")).otherwise(F.concat(F.lit("testo "), quoted))
     return files.scan_semantic_results(a.table("conversations").select("conv_id", "turn", content.alias("content"))).select("conv_id", "turn", "error")
@@ -759,31 +764,26 @@ def _(a: Archive):
 
 # --- Streams over the given tables --------------------------------------------------------------------------------------
 
-@query("stream_daily_counts", [], "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS total FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1")
+def _event_stream(a: Archive):
+    # A pattern, because a stream takes a single file only as the match of one; it fits a folder of part files just as well.
+    return a.spark.readStream.schema(a.table("events").schema).option("maxFilesPerTrigger", 2).parquet(f"{a.folder}/events.parque[t]")
+
+
+@query("stream_daily_counts", [], "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS total FROM events GROUP BY 1")
 def _(a: Archive):
-    """The event table as a stream; days the watermark has passed."""
-    import uuid
-    from ..session import shared_folder
-    from ..streaming import streams
-    schema = a.table("events").schema
-    source = a.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(a.folder)
+    """The event table as a stream, several files per batch; the counts after the last one."""
+    source = _event_stream(a)
     base = f"{shared_folder(a.spark)}/daily-{uuid.uuid4().hex}"
-    run = (streams.daily_counts(source).writeStream.format("parquet").option("path", base + "/out").option("checkpointLocation", base + "/state")
-           .outputMode("append").trigger(availableNow=True).start())
-    run.awaitTermination()
-    return a.spark.read.schema("day string, total bigint").parquet(base + "/out")
+    streams.stream_daily_counts(source, base + "/out", base + "/state").trigger(availableNow=True).start().awaitTermination()
+    return streams.last_version(a.spark.read.parquet(base + "/out")).select("day", "total")
 
 
 @query("stream_source_health", [], """SELECT source_id, failures FROM (SELECT concat('S', user_id % 37) AS source_id, count(*) FILTER (fail) AS failures FROM (
   SELECT *, event_type <> 'purchase' AND event_id > coalesce(max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id % 37), -1) AS fail FROM events) GROUP BY 1)""")
 def _(a: Archive):
     """Failure counters folded from the event table as a stream."""
-    import uuid
-    from ..session import shared_folder
-    from ..streaming import streams
-    schema = a.table("events").schema
-    source = a.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(a.folder).select(
+    source = _event_stream(a).select(
         F.concat(F.lit("S"), F.col("user_id") % 37).alias("source_id"), F.col("ts").alias("at"), "event_id", (F.col("event_type") == "purchase").alias("ok"), (F.col("event_id") % 500).alias("retry_after"))
     base = f"{shared_folder(a.spark)}/health-{uuid.uuid4().hex}"
     streams.stream_source_health(source, base + "/out", base + "/state").trigger(availableNow=True).start().awaitTermination()
-    return a.spark.read.parquet(base + "/out/v=0").select("source_id", "failures")
+    return streams.last_version(a.spark.read.parquet(base + "/out")).select("source_id", "failures")

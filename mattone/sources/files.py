@@ -109,15 +109,18 @@ def scan_sitemap(sitemaps: DataFrame, pattern: str = "") -> DataFrame:
 
 
 def scan_zone_geometry(spark: SparkSession, path: str) -> DataFrame:
-    """Zones of a GeoJSON feature collection: code, name and all rings."""
+    """Zones of a GeoJSON feature collection: code, name and polygons, each a list of rings; ``error`` where one is refused."""
     feature = "struct<properties:struct<zona:string,descZona:string>,geometry:struct<type:string,coordinates:string>>"
     doc = spark.read.schema(f"features array<{feature}>, dat struct<features:array<{feature}>>").option("multiLine", True).json(path)
     rows = doc.select(F.explode(F.coalesce("features", "dat.features")).alias("f")).select("f.*")
     polygon = F.from_json("geometry.coordinates", "array<array<array<double>>>")
-    several = F.flatten(F.from_json("geometry.coordinates", "array<array<array<array<double>>>>"))
-    rings = F.when(F.col("geometry.type") == "Polygon", polygon).when(F.col("geometry.type") == "MultiPolygon", several)
-    return (rows.select(F.col("properties.zona").alias("zone_code"), F.coalesce("properties.descZona", "properties.zona").alias("name"), rings.alias("rings"))
-            .where(F.col("zone_code").rlike(r"^[BCDER][0-9]{1,3}$") & F.col("rings").isNotNull()))
+    several = F.from_json("geometry.coordinates", "array<array<array<array<double>>>>")
+    polygons = F.when(F.col("geometry.type") == "Polygon", F.array(polygon)).when(F.col("geometry.type") == "MultiPolygon", several)
+    points = F.flatten(F.flatten(polygons))
+    error = (F.when(~F.coalesce(F.col("properties.zona").rlike(r"^[BCDER][0-9]{1,3}$"), F.lit(False)), "unknown zone code")
+             .when(F.coalesce(F.size(points), F.lit(0)) < 1, "no polygon").when(F.exists(points, lambda p: F.size(F.filter(p, lambda x: x.isNotNull())) < 2), "broken point"))
+    return (rows.select(F.col("properties.zona").alias("zone_code"), F.coalesce("properties.descZona", "properties.zona").alias("name"), polygons.alias("polygons"), error.alias("error"))
+            .withColumn("polygons", F.when(F.col("error").isNull(), F.col("polygons"))))
 
 
 def scan_zone_quotes(documents: DataFrame) -> DataFrame:

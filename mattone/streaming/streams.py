@@ -17,6 +17,21 @@ def daily_counts(stream: DataFrame, at: str = "ts", watermark: str = "1 day") ->
             .select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "total"))
 
 
+def stream_daily_counts(stream: DataFrame, path: str, checkpoint: str, at: str = "ts") -> DataStreamWriter:
+    """Rows per calendar day, open days included. State and each written version hold one row per day."""
+    counts = stream.groupBy(F.date_format(F.col(at).cast("timestamp_ntz"), "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("total"))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+
+    return counts.writeStream.outputMode("complete").foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
+def last_version(versions: DataFrame) -> DataFrame:
+    """Rows of the newest version of a table written as ``v=0``, ``v=1`` …"""
+    return versions.join(versions.agg(F.max("v").alias("v")), "v").drop("v")
+
+
 def stream_alert_mail(spark: SparkSession, path: str, domains: list[str], files_per_trigger: int = 1000) -> DataFrame:
     """New mail files as messages, each Message-ID once; the checkpoint keeps the position."""
     files = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")

@@ -1,4 +1,5 @@
 import random
+import statistics
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -87,31 +88,65 @@ def test_components_of_chain_star_and_ring(spark):
     assert all(got[f"n{i:02}"] == "n00" for i in range(31)) and all(got[f"z{i}"] == "z0" for i in range(40)) and got["r3"] == "r1"
 
 
-def test_dense_groups_give_the_same_answers(spark):
-    random.seed(5)
-    rows = [listing(f"L{i:03}", price=float(random.randint(100, 400) * 1000), surface=float(random.choice([60, 75, 80, 90, 100, 110, 120, 130])), source_id=f"s{i % 3}",
-                    condition=random.choice(["to_renovate", "renovated", "new", "good"]), last_seen=NOW - timedelta(days=random.randint(0, 120), hours=i % 7)) for i in range(140)]
-    df = frame(spark, rows)
-    pairs = links(spark, [("L001", "L001"), ("L002", "L001")])
+def test_references_match_brute_force(spark):
+    rng = random.Random(5)
+    stored = [70.006, 70.007, 130.013, 130.014, 100.01, 99.999, 0.4, 0.3] + [round(rng.uniform(55, 145), 3) for _ in range(150)]
+    rows = [listing(f"L{i:03}", price=float(rng.randint(100, 400) * 1000), surface=x, source_id=f"s{i % 3}", condition=rng.choice(["to_renovate", "renovated", "new", "good", "unknown"]),
+                    last_seen=NOW - timedelta(days=rng.randint(0, 120), hours=i % 7)) for i, x in enumerate(stored)]
+    root = {f"L{i:03}": f"L{i // 3 * 3:03}" for i in range(30, 60)}
+    df, pairs = frame(spark, rows), links(spark, root.items())
     none = spark.createDataFrame([], "root string, conflicts array<string>")
     sources = spark.createDataFrame([("s0", "d0"), ("s1", "d1"), ("s2", "d1")], "source_id string, domain string")
+    live = sorted((r for r in rows if r["last_seen"] >= NOW - timedelta(days=90)), key=lambda r: (-r["last_seen"].timestamp(), r["id"]))
+
+    def met(subject, key, per_condition):
+        seen, out = set(), []
+        for r in live:
+            asset = (root.get(r["id"], r["id"]), r["condition"] if per_condition else None)
+            if asset in seen or not (per_condition or r["condition"] in rules.REFERENCE_CONDITIONS):
+                continue
+            seen.add(asset)
+            if r["condition"] == key and subject["surface"] * 0.7 <= r["surface"] <= subject["surface"] * 1.3 and asset[0] != root.get(subject["id"], subject["id"]):
+                out.append(r)
+        return out
+
     for same in (False, True):
-        direct = market.market_references(df, pairs, none, sources, NOW, same_condition=same, dense=10**6).orderBy("id", "key").collect()
-        folded = market.market_references(df, pairs, none, sources, NOW, same_condition=same, dense=0).orderBy("id", "key").collect()
-        assert any(r["n"] >= 3 for r in direct)
-        assert direct == folded
-    shown = [sorted(map(tuple, market.market_comparables(df, pairs, none, sources, NOW, dense=d).collect())) for d in (10**6, 0)]
-    assert shown[0] == shown[1] and len(shown[0]) > 100
+        got = {(r["id"], r["key"]): r for r in market.market_references(df, pairs, none, sources, NOW, same_condition=same).collect()}
+        for s in rows:
+            for key in ([s["condition"]] if same else rules.REFERENCE_CONDITIONS):
+                want = [] if same and key == "unknown" else met(s, key, same)
+                r, values = got[s["id"], key], [x["price"] / x["surface"] for x in want]
+                assert r["n"] == len(want)
+                if len(want) >= 3:
+                    assert abs(r["median_sqm"] - statistics.median(values)) < 0.02 and abs(r["min_sqm"] - min(values)) < 0.02 and abs(r["max_sqm"] - max(values)) < 0.02
+                    assert r["newest_observed"] == want[0]["last_seen"] and r["oldest_observed"] == want[-1]["last_seen"]
+                    assert r["source_count"] == len({"d0" if x["source_id"] == "s0" else "d1" for x in want})
+    shown = {}
+    for r in market.market_comparables(df, pairs, none, sources, NOW).collect():
+        shown.setdefault((r["id"], r["comp_condition"]), {})[r["position"]] = r["comp_id"]
+    for s in rows:
+        for key in rules.REFERENCE_CONDITIONS:
+            assert [x for _, x in sorted(shown.get((s["id"], key), {}).items())] == [x["id"] for x in met(s, key, False)[:12]]
+
+
+def test_newest_row_in_another_condition_hides_no_asset(spark):
+    rows = [listing("me", condition="new")] + [listing(f"{n}{c}", condition=c, last_seen=NOW - timedelta(days=d)) for n in "abc" for c, d in (("new", 5), ("unknown", 1))]
+    pairs = links(spark, [(f"{n}{c}", f"{n}new") for n in "abc" for c in ("new", "unknown")])
+    none = spark.createDataFrame([], "root string, conflicts array<string>")
+    sources = spark.createDataFrame([("s1", "d1")], "source_id string, domain string")
+    got = {r["id"]: r["n"] for r in market.market_references(frame(spark, rows), pairs, none, sources, NOW, same_condition=True).collect()}
+    assert got["me"] == 3
 
 
 def test_polygons(spark):
     square = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]]
     hole = [[0.4, 0.4], [0.6, 0.4], [0.6, 0.6], [0.4, 0.6]]
     other = [[0.8, 0.0], [2.0, 0.0], [2.0, 1.0], [0.8, 1.0]]
-    zones = spark.createDataFrame([("B1", [square, hole]), ("B2", [other])], "zone_code string, rings array<array<array<double>>>")
+    zones = spark.createDataFrame([("B1", [[square, hole]]), ("B2", [[other]]), ("B3", [[[[5.0, 5.0], [6.0, 5.0], [6.0, 6.0], [5.0, 6.0]]], [[[5.5, 5.0], [7.0, 5.0], [7.0, 6.0], [5.5, 6.0]]]])],
+                                  "zone_code string, polygons array<array<array<array<double>>>>")
     rows = frame(spark, [listing("in", latitude=0.2, longitude=0.2), listing("out", latitude=3.0, longitude=3.0), listing("edge", latitude=0.5, longitude=0.00001),
-                         listing("both", latitude=0.5, longitude=0.9), listing("hole", latitude=0.5, longitude=0.5)])
-    assert [(r["id"], r["zone_code"]) for r in geo.zone_join(rows, zones).collect()] == [("in", "B1")]
+                         listing("both", latitude=0.5, longitude=0.9), listing("hole", latitude=0.5, longitude=0.5), listing("parts", latitude=5.5, longitude=5.7)])
+    assert sorted((r["id"], r["zone_code"]) for r in geo.zone_join(rows, zones).collect()) == [("in", "B1"), ("parts", "B3")]
 
 
 def test_scenario(spark):
@@ -119,10 +154,18 @@ def test_scenario(spark):
                target_roi_pct=0.0, stress_sale_pct=10.0, stress_works_pct=20.0, stress_delay_months=6)
     df = spark.createDataFrame([tuple(row.values()), tuple({**row, "months": 0}.values())], ", ".join(f"{k} {'int' if isinstance(v, int) else 'double'}" for k, v in row.items()))
     got = scenario.scenario_profit(df).collect()
-    assert len(got) == 1
-    r = got[0]
+    r, refused = sorted(got, key=lambda x: -x["months"])
+    assert (refused["error"], refused["profit"], refused["target_met"], r["error"]) == ("out of bounds: months", None, None, None)
     assert (r["invested"], r["profit"], r["roi_pct"], r["max_purchase"], r["target_met"]) == (128200.0, 17300.0, 13.49, 117300.0, True)
-    assert scenario.sensitivity_grid(df).count() == 6
+    assert [scenario.sensitivity_grid(df).where(x).count() for x in ("profit is not null and error is null", "profit is null and error is not null")] == [6, 6]
+
+
+def test_a_key_stated_three_times_is_one_row(spark):
+    old = frame(spark, [listing("a")]).withColumn("content_hash", merge.content_hash())
+    batch = frame(spark, [listing("a", p) for p in (190000.0, 170000.0, 180000.0)])
+    assert merge.merge_listings(old, batch, NOW).count() == 1
+    read = batch.withColumn("read_at", F.when(F.col("price") == 180000.0, F.lit(NOW)).otherwise(F.lit(NOW - timedelta(days=1))))
+    assert [r["price"] for r in merge.merge_listings(old, read, NOW).collect()] == [180000.0]
 
 
 def test_merge_keeps_first_seen_and_closed_state(spark):

@@ -47,3 +47,17 @@ def test_mail_stream_reads_each_message_once(spark, tmp_path):
     stream = streams.stream_alert_mail(spark, str(inbox), ["casa.it"])
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert [(r["message_id"], r["status"]) for r in spark.read.parquet(out).collect()] == [("<m1@casa.it>", "read")]
+
+
+def test_stream_queries_read_a_table_of_part_files(spark, tmp_path):
+    from mattone.plans import load
+    rows = [(n, n % 40, "purchase" if n % 5 == 0 else "view", NOW + timedelta(hours=n)) for n in range(200)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, ts timestamp_ntz").repartition(5, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    days = {r["day"]: r["total"] for r in load().QUERIES["stream_daily_counts"](spark, str(tmp_path)).collect()}
+    want = {}
+    for r in rows:
+        want[str(r[3].date())] = want.get(str(r[3].date()), 0) + 1
+    assert days == want
+    health = {r["source_id"]: r["failures"] for r in load().QUERIES["stream_source_health"](spark, str(tmp_path)).collect()}
+    last = {s: max([r[0] for r in rows if r[1] % 37 == s and r[2] == "purchase"], default=-1) for s in range(37)}
+    assert health == {f"S{s}": sum(r[1] % 37 == s and r[2] == "view" and r[0] > last[s] for r in rows) for s in range(37)}

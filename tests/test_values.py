@@ -74,3 +74,8 @@ def test_location_pattern(spark):
 def test_prompt_key(spark):
     a, b = column(spark, T.prompt_key, ["Solo  piani alti\n\n con terrazzo ", "Solo piani alti\ncon terrazzo"])
     assert a == b
+
+
+def test_entities(spark):
+    given = ["Citt&agrave; caff&egrave; &#8364; 5 &#x20AC;", "a &amp;lt; b", "x &nosuch; & y", "m&sup2;&nbsp;&nbsp;ok", "&#55296;&#0;", "", None, "l&apos;aria"]
+    assert column(spark, V.clean_text, given) == ["Città caffè € 5 €", "a &lt; b", "x &nosuch; & y", "m² ok", "&#55296;&#0;", "", None, "l'aria"]
