@@ -123,6 +123,19 @@ def test_passages(spark):
     assert chains.passages(docs(spark, [])).count() == 0
 
 
+def test_passages_apart_in_one_chain(spark):
+    blocks = [prose(70 + i, 50) for i in range(3)]
+    page = lambda seed: f"{blocks[0]} {prose(seed, 30)} {blocks[1]} {prose(seed + 1, 30)} {blocks[2]}"
+    long, phrase = prose(80, 60), prose(81, 20)
+    data = rows(page(200), page(300), f"{long} {prose(400, 35)} {phrase}", f"{long} {prose(500, 35)} {phrase}")
+    found = {}
+    for r in chains.passages(docs(spark, data)).collect():
+        found.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    near = lambda got, want: len(got) == len(want) and all(abs(g[0] - w[0]) <= 12 and abs(g[1] - w[1]) <= 12 for g, w in zip(sorted(got), want))
+    assert near(found[0], [(0, 50), (80, 130), (160, 210)]) and near(found[1], [(0, 50), (80, 130), (160, 210)])
+    assert near(found[2], [(0, 60)]) and near(found[3], [(0, 60)])
+
+
 def test_fenwick_chain_is_best():
     import numpy as np
     rng = random.Random(3)
