@@ -4,11 +4,14 @@ Base spans come from the source text itself. The method adds spans: transducers
 character of the result the source characters it stands for,
 
 1. homoglyphs (full-width forms, look-alike letters, digits of other scripts) to ASCII, invisible characters to nothing,
-2. disguised signs: ``[at]``, ``(dot)`` and, in an address spelled out, plain ``at`` and ``dot``,
-3. spelled digits in runs of seven or more, with ``plus`` before them,
+2. disguised signs: ``[at]``, ``(dot)`` and, in an address, ``@``, plain ``at``, ``.`` and plain ``dot`` in any mix; plain
+   ``at`` needs a disguised dot beside it, or "read more at example.com" would be an address,
+3. IP addresses with spelled digits or dots,
+4. spelled digits in runs of seven or more, with ``plus`` before them; then also runs of spelled and plain digits mixed,
 
 the same detectors run on the result, and what they find in rewritten places is mapped back. Base spans stay as they are;
-an added span that overlaps a base span is left out. Texts without any sign of a disguise are not rewritten.
+an added span that overlaps a base span is left out. Spans of mixed runs are taken where no other span is. Texts without
+any sign of a disguise are not rewritten.
 
 Rules: spans are code points, end exclusive, leftmost and not overlapping per kind; a match that fails its check is
 dropped without another try. A null text is empty and has no span. Work is linear in the length of the text.
@@ -93,11 +96,17 @@ ODD_SET = frozenset(ASCII_OF)
 ODD = re.compile("[" + "".join(ASCII_OF) + "]")
 SIGN = re.compile(r"(?i)\s*(?:\[\s*(at|dot)\s*\]|\(\s*(at|dot)\s*\)|\{\s*(at|dot)\s*\}|<\s*(at|dot)\s*>)\s*")
 BRACKET = re.compile(r"(?i)[\[({<]\s*(?:at|dot)\s*[\])}>]")
-SPELLED_ADDRESS = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: dot [A-Za-z0-9._%+-]++)*? at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)* dot [A-Za-z]{2,24}(?![A-Za-z0-9])")
+SPELLED_ADDRESS = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: dot [A-Za-z0-9._%+-]++)*?( at |@)[A-Za-z0-9-]++(?:(?: dot |\.)[A-Za-z0-9-]++)*(?: dot |\.)[A-Za-z]{2,24}(?![A-Za-z0-9])")
 WORD_SIGN = re.compile(r"(?i) (at|dot) ")
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "plus": "+"}
 _DIGIT = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
 SPELLED_RUN = re.compile(rf"(?i)(?<![A-Za-z])(?:plus[\x20-]{{1,3}})?(?:{_DIGIT})(?:[\x20,-]{{1,3}}(?:{_DIGIT})){{6,}}(?![A-Za-z])")
+_TOKEN = rf"(?:(?:{_DIGIT})(?![A-Za-z])|[0-9]++)"
+_PART = rf"{_TOKEN}(?:[\x20,-]{{1,3}}{_TOKEN})*+"
+SPELLED_IP = re.compile(rf"(?i)(?<![A-Za-z0-9]){_PART}(?:(?: dot |\.){_PART}){{3}}(?![A-Za-z])")
+MIXED_RUN = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:plus[\x20-]{{1,3}})?{_TOKEN}(?:[\x20,()-]{{1,3}}{_TOKEN})++")
+PIECE = re.compile(rf"(?i)(?P<word>plus|{_DIGIT})|[0-9]+|\.|(?P<dot> dot )")
+LETTER = re.compile("[A-Za-z]")
 DIGIT_WORD = re.compile(rf"(?i)(plus|{_DIGIT})[\x20,-]*")
 
 
@@ -107,6 +116,11 @@ class Rewritten:
     def __init__(self, text: str):
         self.text, self.start, self.end, self.new = text, list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text)
 
+    def copy(self) -> Rewritten:
+        other = Rewritten("")
+        other.text, other.start, other.end, other.new = self.text, self.start, self.end, self.new
+        return other
+
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Put a text in place of each span; spans rise and do not overlap."""
         parts, start, end, new, done = [], [], [], [], 0
@@ -125,9 +139,42 @@ def signs(text: str) -> list[tuple[int, int, str]]:
     return [(*m.span(), put[next(filter(None, m.groups())).lower()]) for m in SIGN.finditer(text)]
 
 
-def spelled_addresses(text: str) -> list[tuple[int, int, str]]:
-    put = {"at": "@", "dot": "."}
-    return [(m.start() + w.start(), m.start() + w.end(), put[w[1].lower()]) for m in SPELLED_ADDRESS.finditer(text) for w in WORD_SIGN.finditer(m[0])]
+def spelled_addresses(plain: Rewritten) -> list[tuple[int, int, str]]:
+    put, out = {"at": "@", "dot": "."}, []
+    for m in SPELLED_ADDRESS.finditer(plain.text):
+        if m[1] != "@" and " dot " not in m[0].lower() and not any(plain.new[i] for i in range(*m.span()) if plain.text[i] == "."):
+            continue
+        out += [(m.start() + w.start(), m.start() + w.end(), put[w[1].lower()]) for w in WORD_SIGN.finditer(m[0])]
+    return out
+
+
+def written(text: str, begin: int, end: int) -> list[tuple[int, int, str]]:
+    """Words between ``begin`` and ``end`` as digits and dots, nothing between a word and the digits beside it."""
+    out, pieces = [], list(PIECE.finditer(text, begin, end))
+    for p, after in zip(pieces, [*pieces[1:], None]):
+        until = after.start() if after else p.end()
+        if p["word"]:
+            out.append((p.start(), until, DIGIT_WORDS[p[0].lower()]))
+        elif p["dot"]:
+            out.append((*p.span(), "."))
+        elif after and after["word"] and until > p.end():
+            out.append((p.end(), until, ""))
+    return out
+
+
+def spelled_ips(text: str) -> list[tuple[int, int, str]]:
+    return [e for m in SPELLED_IP.finditer(text) if LETTER.search(m[0]) for e in written(text, *m.span())]
+
+
+def mixed(run: str) -> bool:
+    """Whether a run holds digit words beside plain digits, seven digits or more in all."""
+    words = [p["word"].lower() for p in PIECE.finditer(run) if p["word"]]
+    plain = len(DIGIT.findall(run))
+    return bool(words) and plain > 0 and plain + len(words) - ("plus" in words) >= 7
+
+
+def mixed_digits(text: str) -> list[tuple[int, int, str]]:
+    return [e for m in MIXED_RUN.finditer(text) if mixed(m[0]) for e in written(text, *m.span())]
 
 
 def spelled_digits(text: str) -> list[tuple[int, int, str]]:
@@ -143,7 +190,11 @@ def disguised(text: str) -> bool:
     if not (text.isascii() or ODD_SET.isdisjoint(text)) or BRACKET.search(text):
         return True
     low = text.lower()
-    return (" dot " in low and " at " in low) or sum(w in low for w in DIGIT_WORDS) >= 2
+    if " dot " in low and (" at " in low or "@" in low or SPELLED_IP.search(text)):
+        return True
+    if not any(w in low for w in DIGIT_WORDS):
+        return False
+    return bool(SPELLED_RUN.search(text) or SPELLED_IP.search(text) and spelled_ips(text) or mixed_digits(text))
 
 
 def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
@@ -154,19 +205,29 @@ def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     edits = [(m.start(), m.end(), ASCII_OF[m[0]]) for m in ODD.finditer(text)]
     plain = Rewritten(text)
     plain.replace(edits)
-    for step in (signs, spelled_addresses, spelled_digits):
-        if found := step(plain.text):
+    for step in (lambda p: signs(p.text), spelled_addresses, lambda p: spelled_ips(p.text)):
+        if found := step(plain):
             plain.replace(found)
-    if plain.text == text:
-        return out
     taken = sorted(s for spans in base.values() for s in spans)
-    for kind, spans in detect(plain.text).items():
-        for a, b in spans:
-            if any(plain.new[a:b]) or plain.end[b - 1] - plain.start[a] != b - a:
-                span = plain.start[a], plain.end[b - 1]
-                if not any(s < span[1] and span[0] < e for s, e in taken):
-                    out[kind].append(span)
-    return out
+    more = mixed_digits(plain.text)
+    ways = [(spelled_digits(plain.text), plain)]
+    if more:
+        ways.append((more, plain.copy()))
+    for found, way in ways:
+        if found:
+            way.replace(found)
+        if way.text == text:
+            continue
+        shown = []
+        for kind, spans in detect(way.text).items():
+            for a, b in spans:
+                if any(way.new[a:b]) or way.end[b - 1] - way.start[a] != b - a:
+                    span = way.start[a], way.end[b - 1]
+                    if not any(s < span[1] and span[0] < e for s, e in taken):
+                        shown.append(span)
+                        out[kind].append(span)
+        taken += shown
+    return {kind: sorted(spans) for kind, spans in out.items()}
 
 
 def joined(spans: dict[str, list[Span]]) -> str:

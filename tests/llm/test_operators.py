@@ -207,6 +207,22 @@ def test_pii_base_and_disguises():
     assert not any(pii.added("look at the dot. one two at home", pii.detect("")).values())
 
 
+def test_pii_mixed_disguises():
+    for text, kind, hidden in [("to john [at] example dot com now", "email", "john [at] example dot com"), ("to john at example (dot) com now", "email", "john at example (dot) com"),
+                               ("to john@example dot com now", "email", "john@example dot com"), ("to mary dot lee (at) mail.example dot org, ok", "email", "mary dot lee (at) mail.example dot org"),
+                               ("card 4111 one one one one 1111 1111 ok", "card", "4111 one one one one 1111 1111"), ("call +five five five five five five five five ok", "phone", "+five five five five five five five five"),
+                               ("call plus 49 one seven two 3456 ok", "phone", "plus 49 one seven two 3456"), ("call +49 (one seven two) three 456 ok", "phone", "+49 (one seven two) three 456"),
+                               ("host one nine two dot one six eight dot zero dot one up", "ip", "one nine two dot one six eight dot zero dot one"), ("host 192 dot 168 dot 0 dot 1 up", "ip", "192 dot 168 dot 0 dot 1"),
+                               ("host 192.168.one (dot) one up", "ip", "192.168.one (dot) one")]:
+        spans = pii.added(text, pii.detect(text))
+        assert [text[a:b] for a, b in spans.pop(kind)] == [hidden] and not any(spans.values()), text
+    for text in ("read more at example.com", "one of 25 rooms and 3 others", "in 2019 one of 4111 came, two in 2020"):
+        assert not any(pii.added(text, pii.detect(text)).values())
+    # What the pure run shows is not lost to a longer mixed one.
+    text = "plus four nine one seven two three four five, 2019 12 24 1111 2222"
+    assert [text[a:b] for a, b in pii.added(text, pii.detect(text))["phone"]] == ["plus four nine one seven two three four five"]
+
+
 def test_pii_rows(odd, spark):
     assert pii.find(odd).count() == odd.count() and pii.find(odd.limit(0)).count() == 0
     row = pii.find(docs(spark, rows("é a@b.co 4111 1111 1111 1111"))).first()
