@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 LEAST = 100
 FILE_BYTES = 32 << 20
 CHUNK = 1 << 18
-MOST_HEADER = 1 << 16
 END = b"\r\n\r\n"
 RECORD = ("kind string, path string, start bigint, end bigint, record_type string, record_id string, refers_to string, target_uri string, "
           "payload_digest string, payload_length bigint, payload binary, reason string")
@@ -108,7 +107,7 @@ def parsed(whole: bytes) -> tuple[dict[str, str], bytes]:
     if not whole.startswith(b"WARC/1."):
         raise Bad("no version line")
     stop = whole.find(END)
-    if stop < 0 or stop > MOST_HEADER:
+    if stop < 0:
         raise Bad("headers do not end")
     headers = fields(whole[:stop])
     length = content_length(headers)
@@ -165,17 +164,31 @@ def member_at(file, at: int, size: int) -> tuple[dict[str, str], bytes, int]:
         return headers, block, place - len(inflate.unused_data)
     if head[:7] != b"WARC/1.":
         raise Bad("no record begins here")
-    top = file.read_at(min(MOST_HEADER + 4, size - at), at)
-    stop = top.find(END)
-    if stop < 0:
-        raise Bad("headers do not end")
-    end = at + stop + 4 + content_length(fields(top[:stop])) + 4
+    top = header_at(file, at, size)
+    end = at + len(top) + 4 + content_length(fields(top)) + 4
     if end > size:
         raise Bad("record is cut off")
     headers, block = parsed(file.read_at(end - at, at))
     return headers, block, end
 
 
+def header_at(file, at: int, size: int) -> bytes:
+    """Version line and headers of the plain record at ``at``, of any length; not read on after a broken line."""
+    top, place, line = bytearray(), at, 0
+    while place < size:
+        begin = max(0, len(top) - 3)
+        top += file.read_at(min(1 << 16, size - place), place)
+        place = at + len(top)
+        stop = top.find(END, begin)
+        if stop >= 0:
+            return bytes(top[:stop])
+        whole = top.rfind(b"\r\n", begin)
+        if whole > line:
+            fields(bytes(top[line:whole]))  # leaves out what is before the first line end
+            line = whole
+    raise Bad("headers do not end")
+
+
 def next_valid(file, at: int, size: int):
     """The first valid record that begins at ``at`` or later: (start, headers, block, end), or None."""
     while at < size:

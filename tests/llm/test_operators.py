@@ -270,6 +270,25 @@ def test_warc_roundtrip_and_salvage(spark, tmp_path):
     assert gaps[0] == (hit[0], hit[1]) and gaps[-1][1] == len(broken) and all(r.reason for r in again if r.kind == "gap")
 
 
+def test_warc_long_headers(spark, tmp_path):
+    url, page = "data:text/html," + "x" * 200_000, b"y" * 500
+    data = [(1, url, page), (2, "http://b", page), (3, "http://c\x01" + "\x02" * 30_000, b"z" * 200), (4, "http://d", b"small")]
+    manifest = warc.write_archives(warc.with_roles(spark.createDataFrame(data, "id bigint, uri string, payload binary").coalesce(1)), str(tmp_path / "w")).collect()
+    raw = pafs.LocalFileSystem().open_input_file(manifest[0].path).read()
+    plain, rest = b"", raw
+    while rest:
+        inflate = zlib.decompressobj(31)
+        plain, rest = plain + inflate.decompress(rest), inflate.unused_data
+    (tmp_path / "plain.warc").write_bytes(plain)
+    (tmp_path / "late.warc").write_bytes(b"WARC/1.1\r\nno header line\r\n" + b"junk" * 50_000 + plain)
+    for path, gaps in ((manifest[0].path, 0), (str(tmp_path / "plain.warc"), 0), (str(tmp_path / "late.warc"), 1)):
+        got = warc.read_archives(spark.createDataFrame([(path,)], "path string"), 1).collect()
+        records = {r.record_id: r for r in got if r.kind == "record"}
+        assert len(got) == 4 + gaps and len(records) == 4
+        assert records["<urn:x-record:1>"].target_uri == url and bytes(records["<urn:x-record:1>"].payload) == page
+        assert records["<urn:x-record:2>"].refers_to == "<urn:x-record:1>" and len(records["<urn:x-record:3>"].target_uri) > 90_000
+
+
 def test_quality(spark, odd):
     texts = [prose(i, 60) + (" nastyword vileword" if i % 3 == 0 else "") + ("" if i % 3 != 1 else " $$$ ### $$$ ###") for i in range(600)]
     data = docs(spark, rows(*texts) + rows(None, "", start=600))
