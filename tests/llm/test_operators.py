@@ -300,6 +300,15 @@ def test_quality(spark, odd):
     assert quality.keep(odd, labels.limit(0)).count() == odd.count() and quality.keep(odd.limit(0), labels).count() == 0
 
 
+def test_quality_rare_words(spark):
+    """Toxic texts whose telling words are each in 2 % of the toxic ones; the later half is held out."""
+    texts = [prose(1000 + i, 30) + (f" slur{chr(97 + i // 2 % 50 // 26)}{chr(97 + i // 2 % 50 % 26)}" if i % 2 else "") for i in range(8000)]
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(4000)], "doc_id bigint, quality int, toxic int")
+    kept = {r.doc_id for r in quality.keep(docs(spark, rows(*texts)), labels).select("doc_id").collect()}
+    clean, toxic = set(range(4000, 8000, 2)), set(range(4001, 8000, 2))
+    assert len(clean & kept) >= 0.98 * len(clean) and len(toxic & kept) <= 0.02 * len(toxic)
+
+
 def test_kth_largest(spark):
     rng = random.Random(9)
     values = [rng.gauss(0, 1) for _ in range(5000)] + [0.25] * 3000
