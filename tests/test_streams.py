@@ -1,10 +1,10 @@
-from datetime import datetime, timedelta
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from mattone.operators import merge, quality
 from mattone.streaming import streams
-from test_operators import LISTING, NOW, frame, listing
+from conftest import NOW, frame, listing
 
 
 def test_stream_of_listings_equals_batches(spark, tmp_path):
