@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chains, chat, decontaminate, exact_dedup, jaccard_join, mixing, pii, quality, url_rules, warc
+from . import chains, chat, decontaminate, exact_dedup, jaccard_join, mixing, pii, quality, toxicity, turn_repair, url_rules, warc, whitening
 from .store import cut_lineage, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,82 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
 def op10_quality_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that stay, with their log importance weight and Gumbel key."""
     return quality.resample(table(spark, folder, "documents"), table(spark, folder, "labels")).select("doc_id", "log_weight", "key", F.lit(True).alias("kept"))
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usable vector on the four leading components, at unit variance."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's probability of the toxic label; the number of its significant passages besides."""
+    scored = toxicity.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("bigint").alias("n_passages"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations with planted faults, and the cheapest repair of each."""
+    given = table(spark, folder, "conversations")
+    return turn_repair.report(given, cut_lineage(turn_repair.damage(given)))
+
+
+def _better(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _way(state: str, cost: str, letter: str, line: str = "''") -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}}"
+
+
+_FAR = "{'c': 1000000000, 'a': '', 't': ''}"
+_USER, _ASSISTANT, _SAID = "chr(10) || 'user:'", "chr(10) || 'assistant:'", "chr(10) || role || ':' || text"
+_CLOSED = f"""s0, s1, {_better('s2', *[_way(s, '3', 'I', _USER) for s in ('s0', 's1', 's3')])} AS u, {_better('s3', _way('s2', '3', 'I', _ASSISTANT),
+              *[_way(s, '6', 'II', _USER + ' || ' + _ASSISTANT) for s in ('s0', 's1')])} AS s"""
+
+
+def _stay(initial: str, state: str) -> str:
+    return f"CASE WHEN stays AND initial = '{initial}' THEN {_way(state, 'open', 'K', _SAID)} ELSE {_FAR} END"
+
+
+def _given(state: str, role: str) -> str:
+    return f"CASE WHEN stays THEN {_way(state, '3 + open', 'R', f'chr(10) || {chr(39)}{role}:{chr(39)} || text')} ELSE {_FAR} END"
+
+
+ORACLE["op13_conversation_repair"] = rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+-- CRC-32, bit by bit: each character is mixed in, then eight shifts follow.
+way AS (SELECT *, xor(4294967295, list_reduce(flatten([[4294967295::BIGINT], flatten(list_transform(range(1, length(k) + 1),
+            lambda p: [ascii(substr(k, p::BIGINT, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))]),
+            lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) % 20 AS way FROM keyed),
+damaged AS (SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role,
+                   CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM way, unnest(range(CASE way WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+judged AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
+                          WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                          WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS initial,
+                  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM placed),
+r AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS stays, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS open FROM judged),
+v AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS s0, {{'c': 1000000000::BIGINT, 'a': '', 't': ''}} AS s1,
+         {{'c': 1000000000::BIGINT, 'a': '', 't': ''}} AS s2, {{'c': 1000000000::BIGINT, 'a': '', 't': ''}} AS s3 FROM r
+  UNION ALL
+  SELECT conv_id, i, {_way('s0', '4', 'D')}, {_better(_way('s1', '4', 'D'), _stay('s', 's0'))},
+         {_better(_way('u', '4', 'D'), *[_stay('u', s) for s in ('s0', 's1', 's')], *[_given(s, 'user') for s in ('s0', 's1', 's')])},
+         {_better(_way('s', '4', 'D'), _stay('a', 'u'), _given('u', 'assistant'))}
+  FROM (SELECT v.conv_id, r.i, {_CLOSED}, role, text, initial, stays, open FROM v JOIN r ON v.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = v.i + 1)),
+ended AS (SELECT conv_id, {_better('s0', 's')} AS best FROM (SELECT conv_id, {_CLOSED} FROM v
+          WHERE i = (SELECT max(i) FROM r WHERE r.conv_id IS NOT DISTINCT FROM v.conv_id))),
+told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN told ON g.conv_id IS NOT DISTINCT FROM told.conv_id
+LEFT JOIN ended ON g.conv_id IS NOT DISTINCT FROM ended.conv_id"""
