@@ -124,28 +124,23 @@ def latest_per_cluster(listings: DataFrame, clusters: DataFrame) -> DataFrame:
 def cross_source_conflicts(listings: DataFrame, clusters: DataFrame, contradictions: DataFrame) -> DataFrame:
     """Per confirmed asset: which facts its sources state differently in the same context."""
     members = listings.join(clusters, "id")
-    checks = []
-    for field, label, context in (("price", "Prezzi richiesti diversi", ["currency", "transaction_type"]),
-                                  ("surface", "Superfici diverse", ["area_basis"]),
-                                  ("availability", "Disponibilità discordante", []),
-                                  ("condition", "Stati manutentivi diversi", [])):
-        value = F.col(field)
-        usable = value.isNotNull()
-        if field in ("availability", "condition"):
-            usable = usable & ~value.isin("unknown", "XXX", "review")
+    stated = []
+    for field, context in (("price", ["currency", "transaction_type"]), ("surface", ["area_basis"]), ("availability", []), ("condition", [])):
+        number = field in ("price", "surface")
+        value = F.struct((F.col(field) if number else F.lit(None).cast("double")).alias("n"), (F.lit(None).cast("string") if number else F.col(field)).alias("t"))
+        usable = F.col(field).isNotNull()
+        if not number:
+            usable = usable & ~F.col(field).isin("unknown", "XXX", "review")
         for c in context:
             usable = usable & F.col(c).isNotNull() & ~F.col(c).isin("unknown", "XXX")
-        # More than one distinct value means the smallest differs from the largest.
-        scoped = (members.where(usable).groupBy("root", *context)
-                  .agg((F.min(value) != F.max(value)).alias("differs")))
-        checks.append(scoped.where("differs").select("root", F.lit(field).alias("field")))
-    found = checks[0]
-    for extra in checks[1:]:
-        found = found.unionByName(extra)
-    flags = found.groupBy("root").agg(*[F.max((F.col("field") == f).cast("int")).alias("_" + f)
-                                        for f in ("price", "surface", "availability", "condition")])
-    size = members.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    out = size.join(flags, "root", "left").join(contradictions.select("root", F.lit(1).alias("_identity")), "root", "left")
+        stated.append(F.when(usable, F.struct(F.lit(field).alias("field"), F.array(*[F.col(c) for c in context]).cast("array<string>").alias("context"), value.alias("v"))))
+    # Every statement with its context in one pass; more than one distinct value means the smallest differs from the largest.
+    each = members.select("root", F.explode(F.array_compact(F.array(F.struct(F.lit("member").alias("field"), F.array().cast("array<string>").alias("context"),
+                                                                              F.struct(F.lit(None).cast("double").alias("n"), F.lit(None).cast("string").alias("t")).alias("v")), *stated))).alias("s"))
+    scoped = each.groupBy("root", "s.field", "s.context").agg(F.count(F.lit(1)).alias("n"), (F.min("s.v") != F.max("s.v")).alias("differs"))
+    size = scoped.groupBy("root").agg(F.max(F.when(F.col("field") == "member", F.col("n"))).alias("members"),
+                                      *[F.max((F.col("differs") & (F.col("field") == f)).cast("int")).alias("_" + f) for f in ("price", "surface", "availability", "condition")])
+    out = size.join(contradictions.select("root", F.lit(1).alias("_identity")), "root", "left")
     on = lambda c: F.coalesce(F.col(c) == 1, F.lit(False))
     return out.select(
         "root", "members", on("_identity").alias("identity_conflict"), on("_availability").alias("availability_conflict"),

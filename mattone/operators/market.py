@@ -1,7 +1,7 @@
 """Market segments and like-for-like references from asking prices in the archive."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -134,10 +134,8 @@ def market_comparables(listings: DataFrame, clusters: DataFrame, conflicts: Data
     subjects = with_root(reference_subjects(listings), clusters).where("refusal is null").select(
         "id", "seg", "root", "surface", "condition")
     pool = cut_lineage(_with_domain(reference_pool(listings, clusters, conflicts, as_of, rules.REFERENCE_CONDITIONS), sources))
-    columns = ["id", "comp_condition", "comp_id", "comp_sqm", "comp_surface", "comp_price", "comp_source", "comp_seen"]
-    near = band_newest(subjects, pool, shown + 1).select(*columns)
-    w = Window.partitionBy("id", "comp_condition").orderBy(F.desc("comp_seen"), F.asc("comp_id"))
-    return near.withColumn("position", F.row_number().over(w)).where(F.col("position") <= shown)
+    columns = ["id", "comp_condition", "comp_id", "comp_sqm", "comp_surface", "comp_price", "comp_source", "comp_seen", "position"]
+    return band_newest(subjects, pool, shown).select(*columns)
 
 
 def headroom(references: DataFrame, listings: DataFrame) -> DataFrame:

@@ -61,3 +61,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def over_tasks(df: DataFrame, *by: str) -> DataFrame:
+    """Deal rows out to as many tasks as a shuffle has, also where they are too few bytes for adaptive execution to keep them apart."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
