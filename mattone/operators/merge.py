@@ -72,14 +72,15 @@ def new_observations(merged: DataFrame, as_of) -> DataFrame:
         "transaction_type", "area_basis", "surface", "content_hash", fields.alias("fields"))
 
 
-def notifications(merged: DataFrame, run_id: str) -> DataFrame:
+def notifications(merged: DataFrame, run_id: str | Column) -> DataFrame:
     """Messages a merge gives rise to, each with the key that keeps it unique."""
+    run_id = F.lit(run_id) if isinstance(run_id, str) else run_id
     pid = F.concat_ws(":", "source_id", "listing_key")
     moved = ~F.col("availability").eqNullSafe(F.col("previous_availability")) & ~F.col("created")
     priced = ~F.col("price").eqNullSafe(F.col("previous_price"))
     kinds = F.filter(F.array(
-        F.when(F.col("created"), F.struct(F.lit("new_property").alias("kind"), F.concat_ws(":", F.lit("new_property"), pid, "content_hash", F.lit(run_id)).alias("dedupe_key"))),
-        F.when(~F.col("created") & F.col("changed") & priced, F.struct(F.lit("price_change").alias("kind"), F.concat_ws(":", F.lit("price_change"), pid, "content_hash", F.lit(run_id)).alias("dedupe_key"))),
+        F.when(F.col("created"), F.struct(F.lit("new_property").alias("kind"), F.concat_ws(":", F.lit("new_property"), pid, "content_hash", run_id).alias("dedupe_key"))),
+        F.when(~F.col("created") & F.col("changed") & priced, F.struct(F.lit("price_change").alias("kind"), F.concat_ws(":", F.lit("price_change"), pid, "content_hash", run_id).alias("dedupe_key"))),
         F.when(moved & closed(), F.struct(F.lit("availability_change").alias("kind"), F.concat_ws(":", F.lit("availability"), pid, "content_hash").alias("dedupe_key"))),
         F.when(moved & (F.col("availability") == "review"), F.struct(F.lit("availability_change").alias("kind"), F.concat_ws(":", F.lit("unavailable"), pid, "content_hash").alias("dedupe_key"))),
     ), lambda x: x.isNotNull())

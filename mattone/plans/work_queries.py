@@ -778,12 +778,72 @@ def _(a: Archive):
     return streams.last_version(a.spark.read.parquet(base + "/out")).select("day", "total")
 
 
-@query("stream_source_health", [], """SELECT source_id, failures FROM (SELECT concat('S', user_id % 37) AS source_id, count(*) FILTER (fail) AS failures FROM (
-  SELECT *, event_type <> 'purchase' AND event_id > coalesce(max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id % 37), -1) AS fail FROM events) GROUP BY 1)""")
+_BACK_OFF = "least(86400, greatest(wait, 60 * pow(2, least(failures, 10))))"
+
+
+@query("stream_source_health", [], f"""SELECT source_id, failures, {ts('last_success')} AS last_success, {ts(f"CASE WHEN failures > 0 THEN last + to_seconds(({_BACK_OFF})::BIGINT) END")} AS next_retry FROM (
+  SELECT concat('S', user_id % 37) AS source_id, count(*) FILTER (fail) AS failures, max(ts) FILTER (event_type = 'purchase') AS last_success, max(ts) FILTER (fail) AS last,
+         arg_max(event_id % 500, (ts, event_id)) FILTER (fail) AS wait FROM (
+    SELECT *, event_type <> 'purchase' AND ((ts, event_id) > max(CASE WHEN event_type = 'purchase' THEN (ts, event_id) END) OVER (PARTITION BY user_id % 37)
+           OR count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id % 37) = 0) AS fail FROM events) GROUP BY 1)""")
 def _(a: Archive):
-    """Failure counters folded from the event table as a stream."""
+    """Failure counters, last success and next retry, kept per source while the event table streams in, two files a trigger."""
     source = _event_stream(a).select(
         F.concat(F.lit("S"), F.col("user_id") % 37).alias("source_id"), F.col("ts").alias("at"), "event_id", (F.col("event_type") == "purchase").alias("ok"), (F.col("event_id") % 500).alias("retry_after"))
     base = f"{shared_folder(a.spark)}/health-{uuid.uuid4().hex}"
-    streams.stream_source_health(source, base + "/out", base + "/state").trigger(availableNow=True).start().awaitTermination()
-    return streams.last_version(a.spark.read.parquet(base + "/out")).select("source_id", "failures")
+    # The order in which files are read says nothing about the time of their events, so none counts as late.
+    streams.stream_source_health(source, base + "/out", base + "/state", "10000 days").trigger(availableNow=True).start().awaitTermination()
+    return streams.current_health(a.spark.read.schema(streams.source_health(source).schema).parquet(base + "/out"))
+
+
+def _statements(a: Archive):
+    """The event table as statements of listings: a price, and whether the listing is open, sold or to be reviewed."""
+    kind, e = F.col("event_type"), a.spark.readStream.schema(a.table("events").schema).parquet(f"{a.folder}/events.parque[t]")
+    stated = {"url": F.concat(F.lit("https://s.example/"), F.col("user_id")), "title": F.concat(F.lit("Annuncio "), F.col("user_id")), "city": F.lit("Milano"),
+              "price": F.col("value") * 1000, "currency": F.lit("EUR"), "availability": F.when(kind == "purchase", "sold").when(kind == "error", "review").otherwise("listed"), "is_auction": F.lit(False)}
+    empty = {c: F.lit(None).cast("double" if c in ("price", "surface", "rooms", "bathrooms", "latitude", "longitude") else "string") for c in merge.CONTENT}
+    return e.select(F.concat(F.lit("S"), F.col("user_id") % 7).alias("source_id"), F.col("user_id").cast("string").alias("listing_key"), F.col("ts").alias("read_at"),
+                    *[stated.get(c, empty[c]).alias(c) for c in merge.CONTENT])
+
+
+def _run_changes(a: Archive):
+    base = f"{shared_folder(a.spark)}/changes-{uuid.uuid4().hex}"
+    source = _statements(a)
+    streams.stream_listing_changes(source, base + "/out", base + "/state").trigger(availableNow=True).start().awaitTermination()
+    return base + "/out", streams.listing_changes(source).schema
+
+
+_STATED_SQL = """SELECT *, lag(price) OVER w AS previous_price, lag(availability) OVER w AS previous_availability, row_number() OVER w = 1 AS created, strftime(read_at, '%Y%m%d%H') AS run FROM (
+  SELECT concat('S', user_id % 7) AS source_id, user_id::VARCHAR AS listing_key, ts AS read_at, price, stated, CASE WHEN bool_or(stated = 'sold') OVER w THEN 'sold' ELSE stated END AS availability
+  FROM (SELECT *, value * 1000 AS price, CASE event_type WHEN 'purchase' THEN 'sold' WHEN 'error' THEN 'review' ELSE 'listed' END AS stated FROM events)
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, price, stated ROWS UNBOUNDED PRECEDING))
+  WINDOW w AS (PARTITION BY listing_key ORDER BY read_at, price, stated)"""
+
+
+@query("stream_listing_changes", [], f"""SELECT source_id, listing_key, {ts('read_at')} AS read_at, price, availability, created, previous_price, previous_availability FROM ({_STATED_SQL})
+  WHERE created OR price IS DISTINCT FROM previous_price OR availability IS DISTINCT FROM previous_availability""")
+def _(a: Archive):
+    """Every changed version of a listing while the event table streams in, with what it replaces."""
+    path, schema = _run_changes(a)
+    return a.spark.read.schema(schema).parquet(path).select("source_id", "listing_key", "read_at", "price", "availability", "created", "previous_price", "previous_availability")
+
+
+@query("stream_notifications", [], f"""WITH s AS ({_STATED_SQL}), moved AS (SELECT *, NOT created AND availability <> previous_availability AS moved FROM s),
+  said AS (SELECT 'new_property' AS kind, listing_key AS about, NULL AS key FROM moved WHERE created
+    UNION ALL SELECT DISTINCT 'price_change', listing_key, concat(price, availability, run) FROM moved WHERE NOT created AND price IS DISTINCT FROM previous_price
+    UNION ALL SELECT DISTINCT 'availability_change', listing_key, concat(price, availability) FROM moved WHERE moved AND availability IN ('sold', 'review')
+    UNION ALL SELECT DISTINCT 'source_blocked', source_id, strftime(ts, '%Y%m%d%H') FROM (SELECT *, concat('S', user_id % 7) AS source_id, lag(event_type) OVER (PARTITION BY user_id % 7 ORDER BY ts, event_id) AS before FROM events)
+      WHERE event_type = 'error' AND before IS DISTINCT FROM 'error')
+  SELECT kind, about, count(*) AS n FROM said GROUP BY 1, 2""")
+def _(a: Archive):
+    """What the changes of listings and sources give rise to, each key once: two streams of state feed a stream of messages."""
+    path, schema = _run_changes(a)
+    source = _event_stream(a).select(F.concat(F.lit("S"), F.col("user_id") % 7).alias("source_id"), F.col("ts").alias("at"), "event_id", (F.col("event_type") != "error").alias("ok"), F.lit(0).alias("retry_after"))
+    base = f"{shared_folder(a.spark)}/messages-{uuid.uuid4().hex}"
+    streams.stream_source_health(source, base + "/health", base + "/health-state", "10000 days").trigger(availableNow=True).start().awaitTermination()
+    hour = lambda at: F.date_format(at, "yyyyMMddHH")
+    listed = merge.notifications(a.spark.readStream.schema(schema).parquet(path), hour(F.col("read_at")))
+    blocked = streams.source_blocked(a.spark.readStream.schema(streams.source_health(source).schema).parquet(base + "/health"), run_of=hour)
+    both = listed.select("kind", F.col("listing_key").alias("about"), "title", "dedupe_key").unionByName(blocked.select("kind", F.split("dedupe_key", ":")[1].alias("about"), "title", "dedupe_key"))
+    streams.stream_notifications(both, base + "/log", base + "/state").trigger(availableNow=True).start().awaitTermination()
+    return a.spark.read.parquet(base + "/log").groupBy("kind", "about").agg(F.count(F.lit(1)).alias("n"))
