@@ -13,13 +13,16 @@ from .signals import facts_text
 
 
 def contact_keys(listings: DataFrame) -> DataFrame:
-    """Listings with the keys that tie them to an advertiser: phone and e-mail, else the name."""
+    """Listings with the keys that tie them to an advertiser: phone and e-mail, else the organization, else the name."""
     squeeze = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)\s+", " "))
+    if "organization" not in listings.columns:
+        listings = listings.withColumn("organization", F.lit(None).cast("string"))
     rows = (listings.withColumn("phone", norm_phone("telephone")).withColumn("mail", norm_email("email"))
-            .withColumn("name", squeeze("contact_name")))
+            .withColumn("name", squeeze("contact_name")).withColumn("organization", squeeze("organization")))
     direct = F.filter(F.array(F.when(F.col("phone") != "", F.concat(F.lit("tel:"), "phone")),
                               F.when(F.col("mail") != "", F.concat(F.lit("mail:"), "mail"))), lambda x: x.isNotNull())
-    named = F.when(F.col("name") != "", F.array(F.concat(F.lit("name:"), F.lower("name")))).otherwise(F.array().cast("array<string>"))
+    said = F.when(F.col("organization") != "", F.col("organization")).otherwise(F.col("name"))
+    named = F.when(said != "", F.array(F.concat(F.lit("name:"), F.lower(said)))).otherwise(F.array().cast("array<string>"))
     return rows.withColumn("keys", F.when(F.size(direct) > 0, direct).otherwise(named))
 
 
@@ -49,23 +52,58 @@ def _advertised(listings: DataFrame, components: DataFrame) -> DataFrame:
     return rows.join(components, "key").withColumn("direct", T.contact_route(facts_text())["kind"] != "unknown")
 
 
-def broker_directory(listings: DataFrame, components: DataFrame) -> DataFrame:
-    """One row per advertiser: names by frequency, listing counts, amounts in euro, last seen."""
-    # Five aggregates read these rows: written once, narrow.
-    rows = cut_lineage(_advertised(listings, components).select("advertiser", "name", "phone", "mail", "zone", "price", "currency", "last_seen", "direct"))
-    euro = (F.col("currency") == "EUR") & F.col("price").isNotNull()
-    totals = rows.groupBy("advertiser").agg(
-        F.count(F.lit(1)).alias("count"), F.count(F.when(F.col("direct"), 1)).alias("direct"),
-        half_up(F.sum(F.when(euro, F.col("price")).cast("decimal(18,2)")), 0).alias("value_eur"),
-        F.max(F.when(euro, F.col("price"))).alias("max_price_eur"), F.max("last_seen").alias("last_seen"))
-    # The most frequent value of a text column: an aggregate over its counts, no window per group.
-    for column in ("name", "phone", "mail"):
-        counts = rows.where(F.col(column) != "").groupBy("advertiser", column).agg(F.count(F.lit(1)).alias("_n"))
-        best = counts.groupBy("advertiser").agg(F.min(F.struct((-F.col("_n")).alias("r"), F.col(column).alias("v"))).alias("_b"))
-        totals = totals.join(best.select("advertiser", F.col("_b.v").alias("top_" + column)), "advertiser", "left")
-    zones = broker_top_values(rows, "advertiser", "zone", 6).groupBy("advertiser").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("zones"))
-    return totals.join(zones, "advertiser", "left")
+#: Text columns of a directory row and how many of their values it shows, most frequent first (None: all).
+_SHOWN = {"name": 4, "organization": 1, "telephone": 1, "mail": 1, "city": None, "zone": 6, "source_name": None}
+
+
+def broker_directory(listings: DataFrame, components: DataFrame, sources: DataFrame | None = None, city: str = "", min_price: float | None = None,
+                     max_price: float | None = None, direct_only: bool = False, q: str = "") -> DataFrame:
+    """One row per advertiser: most frequent name, organization, phone and e-mail, further names, places, sources, counts, amounts in euro.
+
+    ``city`` and the bounds (euro only) choose listings; ``direct_only`` and ``q`` (text found in any shown field, case ignored) choose rows.
+    One pass counts (advertiser, kind of text, value), the totals being one more kind; values are ranked within their kind.
+    """
+    rows = _advertised(listings, components)
+    if city.strip():
+        rows = rows.where(F.lower("city") == city.strip().lower())
+    if min_price is not None:
+        rows = rows.where((F.col("currency") == "EUR") & (F.col("price") >= min_price))
+    if max_price is not None:
+        rows = rows.where((F.col("currency") == "EUR") & (F.col("price") <= max_price))
+    if sources is not None:
+        rows = rows.join(sources.select("source_id", "source_name"), "source_id", "left")
+    elif "source_name" not in rows.columns:
+        rows = rows.withColumn("source_name", F.col("source_id"))
+    # The phone as printed, where it is one.
+    rows = rows.withColumn("telephone", F.when(F.col("phone") != "", F.col("telephone")))
+    euro = F.when((F.col("currency") == "EUR") & (F.col("price") != 0), F.col("price"))
+    kinds = F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("value")), *[F.struct(F.lit(c).alias("kind"), F.coalesce(F.col(c), F.lit("")).alias("value")) for c in _SHOWN])
+    counted = (rows.select("advertiser", "direct", "last_seen", euro.alias("euro"), F.explode(kinds).alias("k")).where("k.kind = '' OR k.value <> ''")
+               .groupBy("advertiser", "k.kind", "k.value").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("direct"), 1)).alias("direct"), F.sum(F.col("euro").cast("decimal(18,2)")).alias("sum"),
+                                                               F.max("euro").alias("max"), F.max("last_seen").alias("last_seen")))
+    w = Window.partitionBy("advertiser", "kind").orderBy(F.desc("n"), F.asc("value"))
+    ranked = counted.withColumn("rank", F.row_number().over(w)).where(
+        " OR ".join(["kind = ''", *[f"kind = '{c}'" + ("" if shown is None else f" AND rank <= {shown}") for c, shown in _SHOWN.items()]]))
+    texts = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == c, F.struct("rank", "value")))), lambda x: x["value"])
+    whole = lambda c: F.max(F.when(F.col("kind") == "", F.col(c)))
+    out = ranked.groupBy("advertiser").agg(*[texts(c).alias(c + "_list") for c in _SHOWN], whole("n").alias("count"), whole("direct").alias("direct"), half_up(whole("sum"), 0).alias("value_eur"),
+                                           whole("max").alias("max_price_eur"), whole("last_seen").alias("last_seen"))
+    first = lambda c, name: F.get(F.col(c + "_list"), F.lit(0)).alias(name)
+    out = out.select("advertiser", first("name", "name"), first("organization", "organization"), first("telephone", "phone"), first("mail", "email"), F.slice("name_list", 2, 3).alias("other_names"),
+                     F.col("city_list").alias("cities"), F.col("zone_list").alias("zones"), F.col("source_name_list").alias("sources"), "count", "direct", "value_eur", "max_price_eur", "last_seen")
+    if direct_only:
+        out = out.where("direct > 0")
+    if q.strip():
+        said = F.concat_ws(" ", "name", "organization", "phone", "email", "other_names", "cities", "zones")
+        out = out.where(F.contains(F.lower(said), F.lit(q.strip().lower())))
+    return out
+
+
+def broker_page(directory: DataFrame, limit: int = 200) -> DataFrame:
+    """The first advertisers by direct contacts, listings and value, with the number there are and whether some are not shown."""
+    total = directory.agg(F.count(F.lit(1))).scalar()
+    shown = directory.orderBy(F.desc("direct"), F.desc("count"), F.desc(F.coalesce("value_eur", F.lit(0))), "advertiser").limit(limit)
+    return shown.withColumn("total", total).withColumn("limited", F.col("total") > limit)
 
 
 def broker_listings(listings: DataFrame, components: DataFrame, n: int = 20) -> DataFrame:

@@ -1,7 +1,7 @@
 """Confirmed links between listings of one asset, and what they disclose."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -55,6 +55,50 @@ def duplicate_candidates(listings: DataFrame) -> DataFrame:
                         (F.col("x.listings") * F.col("y.listings")).alias("listing_pairs"))
 
 
+#: Width of a bucket of the sweep in log surface; rows within 3 % of an edge also stand in the bucket beyond it.
+_SWEEP = 0.25
+
+
+def duplicate_links(listings: DataFrame) -> DataFrame:
+    """Two links at most per offer: to the next smaller and the next larger offer of another source, if within 3 %.
+
+    The pairs of ``duplicate_candidates`` grow with the square of a crowded address; these links grow with its offers and
+    connect the same groups. For, of two offers within 3 % everything between them is within 3 % too, and walking from either
+    to its nearest offer of another source shortens the gap until they meet. Each address is swept in order of
+    surface, in buckets wide enough that most rows stand in one.
+    """
+    city, address = _address_key()
+    offers = (listings.where((F.coalesce("address", F.lit("")) != "") & (F.col("surface") > 0))
+              .groupBy(city.alias("city_key"), address.alias("address_key"), "property_type", "source_id", "surface")
+              .agg(F.min("id").alias("offer_id"), F.count(F.lit(1)).alias("listings")))
+    log = F.log("surface")
+    own = F.floor(log / _SWEEP)
+    edges = F.array_distinct(F.array(own, F.floor((log - _STEP) / _SWEEP), F.floor((log + _STEP) / _SWEEP)))
+    rows = offers.withColumn("own", own).withColumn("bucket", F.explode(edges))
+    keys = ["city_key", "address_key", "property_type", "bucket"]
+    links = []
+    for ascending in (True, False):
+        order = [F.col(c).asc() if ascending else F.col(c).desc() for c in ("surface", "source_id")]
+        along = Window.partitionBy(*keys).orderBy(*order)
+        other = F.struct(F.col("offer_id").alias("id"), "surface", "listings")
+        # Where the source changes, the row before is the nearest of another source; the rows that follow with this source share it.
+        turn = F.when(~F.lag("source_id").over(along).eqNullSafe(F.col("source_id")), F.lag(other).over(along))
+        near = F.last(F.col("turn"), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+        found = rows.withColumn("turn", turn).withColumn("near", near).where("own = bucket AND near IS NOT NULL")
+        links.append(found.where(F.abs(F.col("surface") - F.col("near.surface")) / F.greatest("surface", "near.surface") <= 0.03))
+    both = links[0].unionByName(links[1])
+    first = F.col("offer_id") < F.col("near.id")
+    return both.select(F.least("offer_id", "near.id").alias("a"), F.greatest("offer_id", "near.id").alias("b"),
+                       F.when(first, F.col("listings")).otherwise(F.col("near.listings")).alias("a_listings"),
+                       F.when(first, F.col("near.listings")).otherwise(F.col("listings")).alias("b_listings")).distinct()
+
+
+def duplicate_groups(listings: DataFrame) -> DataFrame:
+    """Each listing that may stand for an asset of other sources: its offer and its group (the smallest offer connected with it)."""
+    groups = connected_components(duplicate_links(listings)).select(F.col("node").alias("offer_id"), F.col("root").alias("group_id"))
+    return duplicate_offers(listings).join(groups, "offer_id").select("id", "offer_id", "group_id")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, root) with root the smallest node of each component.
 

@@ -420,6 +420,26 @@ def _(a: Archive):
     return clusters.duplicate_candidates(a.listings)
 
 
+@query("duplicate_links", ["offers"], """SELECT * FROM (WITH met AS (SELECT x.offer_id AS x, x.listings AS x_listings, x.surface AS x_surface,
+    max((y.surface, y.source_id, y.offer_id, y.listings)) FILTER ((y.surface, y.source_id) < (x.surface, x.source_id)) AS low, min((y.surface, y.source_id, y.offer_id, y.listings)) FILTER ((y.surface, y.source_id) > (x.surface, x.source_id)) AS high
+  FROM offers x JOIN offers y ON x.city_key = y.city_key AND x.address_key = y.address_key AND x.property_type = y.property_type AND x.source_id <> y.source_id GROUP BY ALL),
+near AS (SELECT x, x_listings, x_surface, low AS n FROM met UNION ALL SELECT x, x_listings, x_surface, high FROM met)
+SELECT DISTINCT least(x, n[3]) AS a, greatest(x, n[3]) AS b, CASE WHEN x < n[3] THEN x_listings ELSE n[4] END AS a_listings, CASE WHEN x < n[3] THEN n[4] ELSE x_listings END AS b_listings
+FROM near WHERE n IS NOT NULL AND abs(x_surface - n[1]) / greatest(x_surface, n[1]) <= 0.03)""")
+def _(a: Archive):
+    return clusters.duplicate_links(a.listings)
+
+
+@query("duplicate_groups", ["offers", "listings"], """SELECT * FROM (WITH RECURSIVE link AS (SELECT x.offer_id AS a, y.offer_id AS b FROM offers x JOIN offers y ON x.city_key = y.city_key AND x.address_key = y.address_key AND x.property_type = y.property_type
+  AND x.source_id <> y.source_id AND abs(x.surface - y.surface) / greatest(x.surface, y.surface) <= 0.03),
+reach AS (SELECT DISTINCT a AS node, a AS other FROM link UNION SELECT r.node, l.b FROM reach r JOIN link l ON r.other = l.a),
+root AS (SELECT node, min(other) AS group_id FROM reach GROUP BY node)
+SELECT l.id, o.offer_id, root.group_id FROM listings l JOIN offers o ON lower(replace(l.city, ' ', '')) = o.city_key AND lower(replace(l.address, ' ', '')) = o.address_key
+  AND l.property_type = o.property_type AND l.source_id = o.source_id AND l.surface = o.surface JOIN root ON o.offer_id = root.node)""")
+def _(a: Archive):
+    return clusters.duplicate_groups(a.listings)
+
+
 @query("duplicate_offers", ["listings", "offers"], """SELECT l.id, o.offer_id, o.listings AS offer_listings FROM listings l JOIN offers o
   ON lower(replace(l.city, ' ', '')) = o.city_key AND lower(replace(l.address, ' ', '')) = o.address_key AND l.property_type = o.property_type AND l.source_id = o.source_id AND l.surface = o.surface""")
 def _(a: Archive):

@@ -170,14 +170,49 @@ def _top(column: str) -> str:
     return f"(SELECT advertiser, {column} AS v FROM {_AD_ROWS} WHERE {column} IS NOT NULL GROUP BY advertiser, {column} QUALIFY row_number() OVER (PARTITION BY advertiser ORDER BY count(*) DESC, {column}) = 1)"
 
 
-@query("broker_directory", ["listings"], f"""
-SELECT t.*, n.v AS top_name, p.v AS top_phone, m.v AS top_mail, z.zones FROM (
-  SELECT advertiser, count(*) AS count, count(*) FILTER ({route_kind(FACTS)} <> 'unknown') AS direct, {rnd("sum(CAST(price AS DECIMAL(18,2))) FILTER (currency = 'EUR')", 0)} AS value_eur,
-    max(price) FILTER (currency = 'EUR') AS max_price_eur, {ts('max(last_seen)')} AS last_seen FROM {_AD_ROWS} GROUP BY advertiser) t
-LEFT JOIN {_top('contact_name')} n ON t.advertiser = n.advertiser LEFT JOIN {_top('phone')} p ON t.advertiser = p.advertiser LEFT JOIN {_top('email')} m ON t.advertiser = m.advertiser
-LEFT JOIN (SELECT advertiser, string_agg(zone, '; ' ORDER BY n DESC, zone) AS zones FROM (SELECT advertiser, zone, count(*) AS n FROM {_AD_ROWS} GROUP BY ALL) GROUP BY advertiser) z ON t.advertiser = z.advertiser""")
-def _(a: Archive):
-    return brokers.broker_directory(a.listings, brokers.advertiser_components(a.listings))
+# Some listings name an organization; where neither phone nor e-mail is given, it alone says who advertises.
+_ORG = "CASE WHEN k % 24 = 0 OR k % 15 = 4 THEN concat('Studio ', k % 30) END"
+
+
+def _with_organization(a: Archive):
+    return a.listings.withColumn("organization", F.expr(_ORG))
+
+
+_ORG_KEYED = f"""(SELECT *, CASE WHEN len(direct_keys) > 0 THEN direct_keys WHEN coalesce(organization, contact_name) IS NOT NULL THEN [concat('name:', lower(coalesce(organization, contact_name)))] ELSE [] END AS keys FROM (
+  SELECT *, {_ORG} AS organization, list_filter([CASE WHEN telephone IS NOT NULL THEN concat('tel:', substring(telephone, 4)) END, CASE WHEN email IS NOT NULL THEN concat('mail:', email) END], lambda x: x IS NOT NULL) AS direct_keys
+  FROM listings WHERE availability NOT IN ({CLOSED})))"""
+_ORG_ROWS = f"""SELECT l.*, c.advertiser, s.source_name, {route_kind(FACTS)} <> 'unknown' AS is_direct, CASE WHEN currency = 'EUR' AND price <> 0 THEN price END AS euro FROM {_ORG_KEYED} l JOIN (
+  SELECT node AS key, min(other) AS advertiser FROM (WITH RECURSIVE e AS (SELECT DISTINCT keys[1] AS u, keys[len(keys)] AS v FROM {_ORG_KEYED} WHERE len(keys) > 0 UNION SELECT keys[len(keys)], keys[1] FROM {_ORG_KEYED} WHERE len(keys) > 0),
+    r(node, other) AS (SELECT DISTINCT u, u FROM e UNION SELECT r.node, e.v FROM r JOIN e ON r.other = e.u) SELECT * FROM r) GROUP BY node) c ON l.keys[1] = c.key LEFT JOIN sources s ON l.source_id = s.source_id"""
+
+
+def _directory_sql(where: str = "true", shown: str = "true") -> str:
+    listed = lambda c: f"(SELECT advertiser, list({c} ORDER BY n DESC, {c}) AS v FROM (SELECT advertiser, {c}, count(*) AS n FROM rows WHERE {c} IS NOT NULL GROUP BY ALL) GROUP BY advertiser)"
+    return f"""SELECT advertiser, name, organization, phone, email, other_names, cities, zones, sources, count, direct, value_eur, max_price_eur, last_seen FROM (
+  WITH rows AS (SELECT * FROM ({_ORG_ROWS}) WHERE {where})
+  SELECT t.*, n.v[1] AS name, o.v[1] AS organization, p.v[1] AS phone, m.v[1] AS email, coalesce(array_to_string(n.v[2:4], '; '), '') AS other_names, array_to_string(c.v, '; ') AS cities, array_to_string(z.v[1:6], '; ') AS zones,
+    array_to_string(s.v, '; ') AS sources FROM (SELECT advertiser, count(*) AS count, count(*) FILTER (is_direct) AS direct, {rnd('sum(CAST(euro AS DECIMAL(18,2)))', 0)} AS value_eur, max(euro) AS max_price_eur, {ts('max(last_seen)')} AS last_seen
+    FROM rows GROUP BY advertiser) t LEFT JOIN {listed('contact_name')} n USING (advertiser) LEFT JOIN {listed('organization')} o USING (advertiser) LEFT JOIN {listed('telephone')} p USING (advertiser)
+    LEFT JOIN {listed('email')} m USING (advertiser) LEFT JOIN {listed('city')} c USING (advertiser) LEFT JOIN {listed('zone')} z USING (advertiser) LEFT JOIN {listed('source_name')} s USING (advertiser)) WHERE {shown}"""
+
+
+@query("broker_directory", ["listings", "sources"], _directory_sql())
+def _(a: Archive):
+    rows = _with_organization(a)
+    return brokers.broker_directory(rows, brokers.advertiser_components(rows), a.sources)
+
+
+@query("broker_search", ["listings", "sources"], _directory_sql("lower(city) = 'asia' AND currency = 'EUR' AND price >= 50000 AND price <= 300000",
+       "direct > 0 AND contains(lower(concat_ws(' ', name, organization, phone, email, other_names, cities, zones)), 'studio 1')"))
+def _(a: Archive):
+    rows = _with_organization(a)
+    return brokers.broker_directory(rows, brokers.advertiser_components(rows), a.sources, city=" Asia", min_price=50_000, max_price=300_000, direct_only=True, q="Studio 1")
+
+
+@query("broker_page", ["listings", "sources"], f"""SELECT advertiser, direct, count, value_eur, total, total > 10 AS limited FROM (SELECT *, count(*) OVER () AS total FROM ({_directory_sql()})) ORDER BY direct DESC, count DESC, coalesce(value_eur, 0) DESC, advertiser LIMIT 10""")
+def _(a: Archive):
+    rows = _with_organization(a)
+    return brokers.broker_page(brokers.broker_directory(rows, brokers.advertiser_components(rows), a.sources), 10).select("advertiser", "direct", "count", "value_eur", "total", "limited")
 
 
 @query("broker_listings", ["listings"], f"""SELECT advertiser, position, id, price FROM (SELECT *, row_number() OVER (PARTITION BY advertiser ORDER BY coalesce(price, 0) DESC, id) AS position FROM {_AD_ROWS}) WHERE position <= 20""")

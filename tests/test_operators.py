@@ -66,6 +66,23 @@ def test_duplicates_of_any_surface(spark):
     assert ("i00", "i01") in got and got == want
 
 
+def test_links_connect_what_pairs_connect(spark):
+    rng = random.Random(8)
+    for sources in (2, 3, 12):
+        rows = frame(spark, [listing(f"i{n:03}", surface=round(rng.uniform(30, 120), rng.randrange(3)), source_id=f"s{rng.randrange(sources)}", address=f"Via {rng.randrange(3)}") for n in range(150)])
+        links, pairs = clusters.duplicate_links(rows), clusters.duplicate_candidates(rows)
+        assert links.count() <= 2 * 150 and links.select("a", "b").exceptAll(pairs.select("a", "b")).count() == 0
+        roots = lambda edges: sorted(map(tuple, clusters.connected_components(edges).collect()))
+        assert roots(links) == roots(pairs)
+
+
+def test_a_crowded_address_stays_linear(spark):
+    rows = spark.range(10_000).selectExpr("concat('i', lpad(id, 5, '0')) AS id", "concat('s', id % 50) AS source_id", "'office' AS property_type", "100 + id / 1000 AS surface", "'Milano' AS city", "'Via Test 1' AS address")
+    assert clusters.duplicate_links(rows).count() <= 20_000
+    groups = clusters.duplicate_groups(rows)
+    assert groups.count() == 10_000 and groups.select("group_id").distinct().count() == 1
+
+
 def test_components_of_chain_star_and_ring(spark):
     edges = [(f"n{i:02}", f"n{i + 1:02}") for i in range(30)] + [("z0", f"z{i}") for i in range(1, 40)] + [("r1", "r2"), ("r2", "r3"), ("r3", "r1")]
     got = {r["node"]: r["root"] for r in clusters.connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
