@@ -597,6 +597,40 @@ def _(a: Archive):
     return a.table("pages").select("page_id", V.url_part(c, "host").alias("host"), (~c.contains("#") & ~c.contains("utm_")).alias("clean"))
 
 
+def _three_layouts(a: Archive, rows, columns: list[str]) -> str:
+    """The rows as CSV files of three layouts in one folder: comma, semicolon with a byte-order mark, tab with the columns turned round and one more."""
+    base = f"{shared_folder(a.spark)}/csv-{uuid.uuid4().hex}"
+    write = lambda df, sep, name: df.write.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(f"{base}/{name}")
+    write(rows.where("part = 0").select(*columns), ",", "a")
+    sinks.sink_csv(rows.where("part = 1").select(*columns), f"{base}/b")
+    write(rows.where("part = 2").select(F.lit("altro").alias("note"), *reversed(columns)), "\t", "c")
+    return f"{base}/*"
+
+
+_CSV_SQL = f"""SELECT listing_key, url, title, city, zone, address, CASE WHEN k % 41 = 0 THEN 'castle' ELSE property_type END AS property_type, condition, price, surface, rooms, bathrooms, CASE WHEN k % 43 = 1 THEN 95.0 ELSE latitude END AS latitude, longitude, area_basis, currency,
+  transaction_type, CASE WHEN k % 10 = 3 THEN concat('Riga "uno";', chr(10), 'due, ', coalesce(description, 'niente')) ELSE coalesce(description, '') END AS description, availability, is_auction,
+  nullif(concat_ws('; ', CASE WHEN k % 41 = 0 THEN 'unknown property_type' END, CASE WHEN k % 43 = 1 THEN 'latitude out of range' END), '') AS error FROM listings"""
+
+
+@query("scan_listings_csv", ["listings"], _CSV_SQL)
+def _(a: Archive):
+    """The listings written as CSV files of three layouts and read back."""
+    k, comma = F.col("k"), lambda c, kind: F.translate(F.col(c).cast(kind).cast("string"), ".", ",").alias(c)
+    rows = (a.listings.withColumn("property_type", F.when(k % 41 == 0, "castle").otherwise(F.col("property_type"))).withColumn("latitude", F.when(k % 43 == 1, 95.0).otherwise(F.col("latitude")))
+            .withColumn("description", F.when(k % 10 == 3, F.concat(F.lit('Riga "uno";\ndue, '), F.coalesce("description", F.lit("niente")))).otherwise(F.col("description"))))
+    texts = [comma(c, "decimal(18,2)") if c in ("price", "surface", "rooms", "bathrooms") else F.col(c).cast("string").alias(c) for c in files.LISTING_COLUMNS]
+    return files.scan_listings_csv(a.spark, _three_layouts(a, rows.select((k % 3).alias("part"), *texts), files.LISTING_COLUMNS))
+
+
+@query("scan_benchmarks_csv", ["benchmarks"], """SELECT city, zone, property_type, condition, area_basis, currency, transaction_type, min_sqm, CASE WHEN length(condition) = 3 THEN 1.0 ELSE max_sqm END AS max_sqm, period, concat('Listino ', zone) AS source_label, 'https://listino.example/1' AS source_url,
+  CASE WHEN length(condition) = 3 THEN 'inverted range' END AS error FROM benchmarks""")
+def _(a: Archive):
+    comma = lambda c: F.translate(F.col(c).cast("decimal(18,4)").cast("string"), ".", ",").alias(c)
+    rows = a.benchmarks.withColumn("source_url", F.lit("https://listino.example/1")).withColumn("max_sqm", F.when(F.length("condition") == 3, 1.0).otherwise(F.col("max_sqm")))
+    texts = [comma(c) if c.endswith("_sqm") else F.col(c) for c in files.BENCHMARK_COLUMNS]
+    return files.scan_benchmarks_csv(a.spark, _three_layouts(a, rows.select(F.pmod(F.xxhash64("id"), F.lit(3)).alias("part"), *texts), files.BENCHMARK_COLUMNS))
+
+
 @query("scan_sitemap", [], """SELECT page_id, concat(lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)), '://', regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1), '/annunci/', page_id) AS link FROM pages""")
 def _(a: Archive):
     base = F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*", 0)

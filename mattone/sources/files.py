@@ -1,6 +1,7 @@
 """CSV imports, sitemaps, official zone documents and classification results."""
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.expr import labels
 from ..functions.values import canonical_url, clean_text, join_url, listing_key, parse_number, url_part
+from ..session import cut_lineage
 
 LISTING_COLUMNS = ["listing_key", "url", "title", "city", "zone", "address", "property_type", "condition", "price", "surface", "rooms",
                    "bathrooms", "latitude", "longitude", "area_basis", "currency", "transaction_type", "description", "availability", "is_auction"]
@@ -16,31 +18,58 @@ BENCHMARK_COLUMNS = ["city", "zone", "property_type", "condition", "area_basis",
                      "period", "source_label", "source_url"]
 
 
-def _header(spark: SparkSession, path: str) -> tuple[list[str], str]:
-    """Column names and separator from the first line."""
-    rows = spark.read.text(path).limit(1).collect()
-    line = rows[0][0].lstrip("\ufeff") if rows else ""
+_SEPARATORS = ",;\t"
+
+
+def _layout(line: str) -> tuple[str, list[str], str | None]:
+    """Separator, column names and, where the line is no header, the reason."""
+    line = line.lstrip("\ufeff")
     plain = re.sub(r'"[^"]*"', "", line)
-    sep = max(",;\t", key=plain.count)
-    names = [n.strip().strip('"').strip() for n in line.split(sep)]
+    sep = max(_SEPARATORS, key=plain.count)
+    names = [n.strip() for n in next(csv.reader([line], delimiter=sep), [])]
     if not line.strip() or any(not n for n in names):
-        raise ValueError("the CSV needs a first line with the field names")
+        return sep, names, "the CSV needs a first line with the field names"
     if len(set(names)) != len(names):
-        raise ValueError("the CSV has columns of the same name")
-    return names, sep
+        return sep, names, "the CSV has columns of the same name"
+    return sep, names, None
+
+
+def _headers(spark: SparkSession, path: str) -> DataFrame:
+    """file, sep, names and refusal of each file that is not empty, from its first line."""
+    place = F.monotonically_increasing_id()  # grows along the rows of a task, and a file's first block is read by one
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), place.alias("_n"))
+    first = cut_lineage(lines.where("_start = 0").groupBy("file").agg(F.min_by("value", "_n").alias("line")))
+    # Layouts are few, whatever the number of files.
+    layouts = [(r["line"], *_layout(r["line"])) for r in first.select("line").distinct().collect()]
+    known = spark.createDataFrame(layouts, "line string, sep string, names array<string>, refusal string")
+    return first.join(known, "line").drop("line")
 
 
 def _read(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
-    """Declared columns as text (others ignored), with a reason on rows that have too many values."""
-    names, sep = _header(spark, path)
-    schema = ", ".join(f"`{n}` string" for n in names) + ", _raw string"
-    # Quoted line breaks need whole-file records; many files, not one big one, give parallelism.
-    df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"')
-          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_raw").option("enforceSchema", True).csv(path))
-    fields = F.size(F.split(F.regexp_replace(F.regexp_replace("_raw", r"\r?\n$", ""), r'"(?:[^"]|"")*"', "q"), re.escape(sep)))
-    broken = F.when(F.col("_raw").isNotNull() & (fields > len(names)), F.lit("more values than columns"))
-    text = lambda n: F.when(F.col(f"`{n}`") != "", F.col(f"`{n}`")) if n in names else F.lit(None).cast("string")
-    return df.select(*[text(n).alias(n) for n in wanted], broken.alias("_broken"))
+    """Declared columns as text (others ignored), with a reason on rows that have too many values and one row per refused file.
+
+    Every file has a header of its own: columns may come in any order and the separator may differ from file to file.
+    """
+    headers = _headers(spark, path)
+    found = headers.where("refusal IS NULL").groupBy("sep").agg(F.max(F.size("names")).alias("n"), F.collect_list("file").alias("files")).collect()
+    refused = headers.where("refusal IS NOT NULL").select(*[F.lit(None).cast("string").alias(n) for n in wanted], F.col("refusal").alias("_broken"))
+    out = refused
+    for part in found:  # at most one read per separator
+        # One column more than any header, so that a value too many is seen.
+        columns = [f"_c{i}" for i in range(part["n"] + 1)]
+        # Quoted line breaks need whole-file records; many files, not one big one, give parallelism.
+        df = (spark.read.schema(", ".join(f"{c} string" for c in columns)).option("header", False).option("sep", part["sep"]).option("multiLine", True).option("escape", '"')
+              .option("mode", "PERMISSIVE").csv(part["files"]).select(F.array(*columns).alias("v"), F.col("_metadata.file_path").alias("file")))
+        rows = df.join(headers.select("file", "names"), "file")
+        clean = F.transform("v", lambda x: F.trim(F.regexp_replace(x, "^\ufeff", "")))
+        rows = rows.where(~F.slice(clean, F.lit(1), F.size("names")).eqNullSafe(F.col("names")))  # the header itself
+        rows = rows.where(F.exists("v", lambda x: x.isNotNull()))
+        extra = F.exists(F.slice("v", F.size("names") + 1, F.size("v")), lambda x: x.isNotNull())
+        # A name that the file lacks has place 0, which get() reads as place -1: null.
+        value = lambda n: F.get("v", F.array_position("names", n).cast("int") - 1)
+        text = lambda n: F.when(value(n) != "", value(n))
+        out = out.unionByName(rows.select(*[text(n).alias(n) for n in wanted], F.when(extra, F.lit("more values than columns")).alias("_broken")))
+    return out
 
 
 def _one_of(c: str, values: list[str]) -> Column:
