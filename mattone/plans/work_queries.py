@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions import values as V
 from ..operators import brokers, catalog, evidence, geo, history, market, merge, quality, queue, scenario, scoring, screening, signals
 from ..session import cut_lineage, shared_folder
-from ..sources import cards, files, mail, pages
+from ..sources import cards, files, mail, pages, places
 from ..streaming import streams
 from .adapter import AS_OF, EVENTS_AS_OF
 from .context import Archive
@@ -722,6 +722,28 @@ def _(a: Archive):
     return cards.card_location(found, names).select("url", "city")
 
 
+_CITIES = "[" + ", ".join(quote(c) for c in rules.CAPITALS) + "]"
+
+
+@query("card_places", [], f"""SELECT doc_id, CASE WHEN k % 6 IN (0, 2, 3) THEN city WHEN k % 6 = 1 THEN CASE WHEN k % 12 = 1 THEN city END END AS city,
+  CASE WHEN k % 6 = 0 THEN 'Tortona' ELSE '' END AS zone, CASE k % 6 WHEN 0 THEN concat('Via Savona ', k) WHEN 5 THEN 'Via Padova 3, Sconosciuta' END AS address
+  FROM (SELECT o_orderkey::VARCHAR AS doc_id, o_orderkey AS k, ({_CITIES})[o_orderkey % {len(rules.CAPITALS)} + 1] AS city FROM orders)""")
+def _(a: Archive):
+    """Cards of every listing with a place written in one of six ways, many cities, accents left out on some."""
+    k, n = F.col("k"), len(rules.CAPITALS)
+    names = F.array(*[F.lit(c) for c in rules.CAPITALS])
+    city, other = F.get(names, (k % n).cast("int")), F.get(names, ((k + 1) % n).cast("int"))
+    bare = F.when(k % 5 == 0, F.translate(city, "ì", "i")).otherwise(city)
+    way = lambda *texts: F.element_at(F.array(*texts), (k % 6 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    address = way(F.concat(F.lit("Via Savona "), k, F.lit(", Tortona, "), F.upper(bare)), none, none, none, none, F.lit("Via Padova 3, Sconosciuta"))
+    context = way(F.lit("Avviso"), F.when(k % 12 == 1, F.concat(F.lit("Case in vendita a "), bare)).otherwise(F.concat(F.lit("Case in corso "), bare)), F.concat(F.lit("Nuovi annunci: "), bare, F.lit(", via "), other),
+                  F.concat(F.lit("A "), bare, F.lit(" e "), F.lower(other)), F.concat(F.lit("A "), bare), F.lit("Case in vendita"))
+    text = way(F.lit("Trilocale"), F.concat(F.lit("Vicino a corso "), other), F.concat(F.lit("In piazza "), other, F.lit(" a "), bare), F.lit("Bilocale"), F.concat(F.lit("Comodo per "), other), F.lit("Trilocale a Nessundove"))
+    rows = a.listings.select(F.col("listing_key").alias("doc_id"), F.col("url"), none.alias("city"), address.alias("address"), context.alias("context"), text.alias("text"))
+    return cards.card_location(rows, places.known_places(a.spark, a.listings)).select("doc_id", "city", "zone", "address")
+
+
 # --- Versioned merges -----------------------------------------------------------------------------------------------
 
 def _current(a: Archive):
