@@ -38,7 +38,7 @@ def rule_reasons() -> Column:
         ("Prezzo sopra il budget", (c("price") >= c("min_price")) & (c("price") > c("max_price"))),
         ("Superficie assente", c("surface").isNull()),
         ("Superficie sotto la soglia", c("surface") < c("min_surface")),
-        ("Superficie sopra la soglia", c("surface") > c("max_surface")),
+        ("Superficie sopra la soglia", (c("max_surface") != 0) & (c("surface") > c("max_surface"))),  # 0 is no bound
         ("Tipologia fuori ricerca", (F.size("property_types") > 0) & ~F.array_contains("property_types", c("property_type"))),
         ("Aste escluse", ~c("include_auctions") & c("is_auction")),
         ("Vantaggio di prezzo non documentato sul benchmark", c("opportunity_only") & (c("discount").isNull() | (c("discount") <= 0))),
@@ -71,7 +71,60 @@ def screen(scored: DataFrame, searches: DataFrame, links: DataFrame, checks: Dat
     return out.select("agent_id", "id", (F.size("reasons") == 0).alias("fit"), "reasons", "score")
 
 
-def rescreen_agent(scored: DataFrame, searches: DataFrame, memberships: DataFrame, agent_id: str) -> DataFrame:
+#: Amounts and surfaces are filed in half-octave cells 0 to 63, and these in blocks of 1, 2, 4 … 64 cells.
+_LEVELS = 7
+_LAST = 63
+
+
+def _cell(value: Column) -> Column:
+    return F.least(F.greatest(F.floor(F.log2(F.greatest(value, F.lit(1.0))) * 2), F.lit(0)), F.lit(_LAST)).cast("int")
+
+
+def _blocks_of(value: Column) -> Column:
+    """The block of each level that a value lies in, as one number per level."""
+    return F.transform(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), lambda level: level * 64 + F.call_function("shiftright", _cell(value), level))
+
+
+def _cover(low: Column, high: Column) -> Column:
+    """The few disjoint blocks that make up the cells of an interval."""
+    first, last = _cell(low), F.when(high.isNull(), _LAST).otherwise(_cell(high))
+
+    def sides(level):
+        size = F.call_function("shiftleft", F.lit(1), level)
+        a, b = F.call_function("shiftright", first + size - 1, level), F.call_function("shiftright", last + 1, level) - 1
+        # A block at either end that the block above it would exceed.
+        left, right = F.when((a <= b) & (a % 2 == 1), level * 64 + a), F.when((a <= b) & (b % 2 == 0), level * 64 + b)
+        return F.array_distinct(F.array(left, right))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), sides)))
+
+
+def interval_links(listings: DataFrame, searches: DataFrame) -> DataFrame:
+    """(id, agent_id): open sales in euro and the active searches whose city, price and surface intervals hold them.
+
+    A predicate index: each search is filed under its city and the blocks that cover its intervals (at most a dozen each); a listing
+    fetches from the blocks it lies in, seven by seven. A pair meets at most once, and only if both intervals hold the listing's cells,
+    so the work follows the listings and the pairs that fit, not the product with all searches of a city.
+    """
+    top = F.when(F.coalesce("max_surface", F.lit(0.0)) != 0, F.col("max_surface"))
+    filed = searches.where("active").select(
+        "agent_id", F.lower("agent_city").alias("city"), "min_price", "max_price", "min_surface", top.alias("max_surface"),
+        F.explode(_cover(F.col("min_price"), F.col("max_price"))).alias("price_block"), F.col("min_surface").alias("_low"), top.alias("_high"))
+    filed = filed.withColumn("surface_block", F.explode(_cover(F.col("_low"), F.col("_high")))).drop("_low", "_high")
+    open_ = listings.where(~inactive() & (F.col("transaction_type") == "sale") & (F.col("currency") == "EUR") & F.col("price").isNotNull() & F.col("surface").isNotNull())
+    asked = (open_.select("id", F.lower("city").alias("city"), "price", "surface", F.explode(_blocks_of(F.col("price"))).alias("price_block"))
+             .withColumn("surface_block", F.explode(_blocks_of(F.col("surface")))))
+    met = asked.join(filed, ["city", "price_block", "surface_block"])
+    return met.where((F.col("price") >= F.col("min_price")) & (F.col("max_price").isNull() | (F.col("price") <= F.col("max_price"))) & (F.col("surface") >= F.col("min_surface"))
+                     & (F.col("max_surface").isNull() | (F.col("surface") <= F.col("max_surface")))).select("id", "agent_id")
+
+
+def matching(scored: DataFrame, searches: DataFrame, checks: DataFrame | None = None) -> DataFrame:
+    """The listings that fit each active search, all its rules verified on what the intervals leave."""
+    return screen(scored, searches, interval_links(scored, searches), checks).where("fit").select("agent_id", "id", "score")
+
+
+def rescreen_agent(scored: DataFrame, searches: DataFrame, memberships: DataFrame, agent_id: str, checks: DataFrame | None = None) -> DataFrame:
     """Recompute the links of one search after its criteria changed."""
     links = memberships.where(F.col("agent_id") == agent_id).select("id", "agent_id")
-    return screen(scored, searches.where(F.col("agent_id") == agent_id), links)
+    return screen(scored, searches.where(F.col("agent_id") == agent_id), links, checks)

@@ -243,6 +243,50 @@ def _(a: Archive):
     return a.memberships
 
 
+def _hashed(a: Archive):
+    return a.scored.withColumn("content_hash", F.md5("id"))
+
+
+def _checks(a: Archive):
+    """Results of three criteria for most listings, a fourth of them for an older version of the listing."""
+    k, j = F.substring("id", 2, 20).cast("bigint"), F.explode(F.array(*[F.lit(j) for j in range(3)])).alias("j")
+    way = (k + F.col("j")) % 4
+    return a.listings.select("id", j).select("id", T.prompt_key(F.concat(F.lit("Criterio  "), F.col("j"), F.lit("\n\n"))).alias("prompt_key"), F.when(way == 3, "old").otherwise(F.md5("id")).alias("content_hash"),
+                                             F.when(way == 1, "not_matched").when(way == 2, "to_verify").otherwise("matched").alias("status"), F.concat(F.lit("motivo "), F.col("j")).alias("reason"))
+
+
+@query("screen_criteria", ["screened"], """SELECT agent_id, id, said = '' AND fit AS fit, concat_ws('; ', nullif(said, ''), nullif(reasons, '')) AS reasons FROM (SELECT *, CASE WHEN n % 2 = 0 THEN '' WHEN w = 3 THEN 'Criteri personalizzati: verifica AI da eseguire'
+  WHEN w = 1 THEN concat('Criteri personalizzati non soddisfatti: motivo ', n % 3) WHEN w = 2 THEN concat('Criteri personalizzati da verificare: motivo ', n % 3) ELSE '' END AS said
+  FROM (SELECT *, CAST(substring(agent_id, 2) AS BIGINT) AS n, (CAST(substring(id, 2) AS BIGINT) + CAST(substring(agent_id, 2) AS BIGINT) % 3) % 4 AS w FROM screened))""")
+def _(a: Archive):
+    """Every second search with criteria of its own, checked for some listings."""
+    n = F.substring("agent_id", 2, 9).cast("bigint")
+    searches = a.saved_searches.withColumn("custom_prompt", F.when(n % 2 == 1, F.concat(F.lit("Criterio "), n % 3)).otherwise(""))
+    return screening.screen(_hashed(a), searches, a.links, _checks(a)).select("agent_id", "id", "fit", "reasons")
+
+
+def _many_searches(a: Archive):
+    """A saved search of every customer in the region."""
+    c, n, r = a.table("customer"), a.table("nation"), a.table("region")
+    k = F.col("c_custkey")
+    rows = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    low, small = (20_000 + (k * 977 % 200) * 1000).cast("double"), (40 + k % 100).cast("double")
+    return rows.select(F.concat(F.lit("C"), k).alias("agent_id"), F.lit("").alias("agent_name"), F.initcap("r_name").alias("agent_city"), (k % 10 != 9).alias("active"), low.alias("min_price"), (low * (1 + k % 5)).alias("max_price"),
+                       small.alias("min_surface"), F.when(k % 3 == 0, 0.0).when(k % 3 == 1, small + k % 150).alias("max_surface"), F.when(k % 2 == 0, F.array(F.lit("residential"), F.lit("office"))).alias("property_types"),
+                       F.lit(None).cast("array<string>").alias("strategies"), F.lit(False).alias("opportunity_only"), F.lit("any").alias("contact_policy"), F.when(k % 11 == 0, 5.0).alias("min_discount"), (k % 4 == 0).alias("include_auctions"),
+                       F.when(k % 13 == 0, "via 3").otherwise("").alias("location_query"), F.when(k % 7 == 0, F.concat(F.lit("Criterio "), k % 3)).otherwise("").alias("custom_prompt"))
+
+
+@query("matching_searches", ["scored"], f"""SELECT concat('C', c_custkey) AS agent_id, id, score FROM scored s JOIN (SELECT *, 20000.0 + (c_custkey * 977 % 200) * 1000 AS low, 40.0 + c_custkey % 100 AS small FROM customer
+    JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 10 <> 9) c ON lower(s.city) = lower(c.r_name)
+  WHERE availability NOT IN ({INACTIVE}) AND transaction_type = 'sale' AND currency = 'EUR' AND price >= low AND price <= low * (1 + c_custkey % 5) AND surface >= small AND (c_custkey % 3 <> 1 OR surface <= small + c_custkey % 150)
+    AND (c_custkey % 2 = 1 OR property_type IN ('residential', 'office')) AND (c_custkey % 4 = 0 OR NOT is_auction) AND (c_custkey % 11 <> 0 OR coalesce(discount, -1e9) >= 5) AND (c_custkey % 13 <> 0 OR coalesce(lower(address), '') = 'via 3')
+    AND (c_custkey % 7 <> 0 OR (CAST(substring(id, 2) AS BIGINT) + c_custkey % 3) % 4 = 0)""")
+def _(a: Archive):
+    """A search of every customer against all listings, through the predicate index."""
+    return screening.matching(_hashed(a), _many_searches(a), _checks(a))
+
+
 @query("rescreen_agent", ["screened"], "SELECT agent_id, id, fit, reasons, score FROM screened WHERE agent_id = 'A5'")
 def _(a: Archive):
     return screening.rescreen_agent(a.scored, a.saved_searches, a.links, "A5")
