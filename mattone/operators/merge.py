@@ -114,8 +114,9 @@ def merge_card(listings: DataFrame, cards: DataFrame) -> DataFrame:
     one found at least as reliably.
 
     Several cards of one listing apply in order of ``seen_at``: per field the last stated value,
-    for the title the last of the best rank.
+    for the title the last of the best rank. Implausible cards are left out.
     """
+    cards = cards.where(plausible_card())
     key = ["source_id", "listing_key"]
     stated = lambda c: F.col(c).isNotNull() if c in ("price", "surface", "rooms", "bathrooms") else known(c)
     order = F.struct("seen_at", "card_id")
@@ -146,10 +147,19 @@ def merge_card(listings: DataFrame, cards: DataFrame) -> DataFrame:
     return merged.withColumn("updated", F.col("_touched") & differs).drop("_touched", *["o_" + c for c in rules.CARD_FIELDS])
 
 
+def plausible_card() -> Column:
+    """Whether a card can be a listing: numbers and texts within the bounds of the listing model."""
+    within = lambda c, low, high: F.coalesce((F.col(c) >= low) & (F.col(c) <= high), F.lit(True))
+    short = lambda c, most: F.coalesce(F.length(c) <= most, F.lit(True))
+    return (F.coalesce((F.col("price") > 0) & (F.col("price") <= 1e9), F.lit(True)) & within("surface", 0.1, 1e7) & within("rooms", 0, 10_000) & within("bathrooms", 0, 10_000)
+            & F.coalesce(F.length("title").between(1, 500), F.lit(False)) & short("address", 500) & short("city", 100) & short("zone", 100))
+
+
 def card_summary(cards: DataFrame, merged: DataFrame) -> DataFrame:
-    """Counters of one card batch."""
-    c = cards.agg(F.count(F.lit(1)).alias("cards"), F.count(F.when(F.col("price").isNull(), 1)).alias("no_price"),
-                  F.count(F.when(F.col("price_drop") & F.col("price").isNotNull(), 1)).alias("price_drops"))
+    """Counters of one card batch; ``merged`` is the merge of its plausible cards."""
+    good = plausible_card()
+    c = cards.agg(F.count(F.lit(1)).alias("cards"), F.count(F.when(~good, 1)).alias("rejected"), F.count(F.when(good & F.col("price").isNull(), 1)).alias("no_price"),
+                  F.count(F.when(good & F.col("price_drop") & F.col("price").isNotNull(), 1)).alias("price_drops"))
     touched = merged.where("cards is not null")
     count = lambda cond: touched.where(cond).agg(F.count(F.lit(1))).scalar()
     return c.select("*", count("created").alias("created"), count("updated").alias("updated"),

@@ -106,6 +106,13 @@ def run_summary(runs: DataFrame, events: DataFrame) -> DataFrame:
     return joined.withColumn("status", status).withColumn("duration_s", seconds.cast("bigint"))
 
 
+def run_qualified(runs: DataFrame, events: DataFrame, memberships: DataFrame) -> DataFrame:
+    """run_id, qualified: listings that a run acquired and that fit its search."""
+    read = events.where("step = 'acquire'").select("run_id", F.col("property_id").alias("id")).distinct()
+    fit = memberships.where("fit").select("agent_id", "id").distinct()
+    return read.join(runs.select("run_id", "agent_id"), "run_id").join(fit, ["agent_id", "id"]).groupBy("run_id").agg(F.count(F.lit(1)).alias("qualified"))
+
+
 def daily_runs(summary: DataFrame, n: int | None = None) -> DataFrame:
     out = summary.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(
         F.count(F.lit(1)).alias("total"), count_if(F.col("status") == "completed").alias("completed"),

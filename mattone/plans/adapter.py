@@ -167,9 +167,9 @@ def sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def deal_work(spark: SparkSession, folder: str) -> DataFrame:
-    """Work rows for the orders of the first customers of each group."""
+    """Work rows for the orders that are not yet filled."""
     k = F.col("o_orderkey")
-    return (table(spark, folder, "orders").where(k % 3 != 0)
+    return (table(spark, folder, "orders").where("o_orderstatus <> 'F'")
             .select(F.concat(F.lit("L"), k).alias("property_id"),
                     F.when(k % 5 != 0, F.concat(F.lit("U"), k % 4)).alias("owner_id"),
                     F.when(k % 4 != 0, F.date_format(F.lit("2001-07-20").cast("date") + (k % 40).cast("int"), "yyyy-MM-dd")).alias("due_date"),

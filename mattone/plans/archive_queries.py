@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import rules, sinks
 from ..functions.expr import price_sqm, size_band
-from ..operators import brokers, catalog, clusters, evidence, geo, history, market, quality, queue, scenario, scoring, screening, signals
+from ..operators import brokers, catalog, clusters, evidence, geo, history, market, quality, queue, refresh, scenario, scoring, screening, signals
 from .adapter import AS_OF, EVENTS_AS_OF
 from .context import Archive
 from .oracle_parts import (BAND, CLOSED, COMPLETENESS, DISCOUNT, EVENTS_NOW, FACTS, INACTIVE, KEYS, MANDATE_SENTENCE, MISSING, NOW, SQM, TEXT, USABLE, cut, hit, known,
@@ -185,6 +185,26 @@ def _(a: Archive):
     return scoring.refresh_analysis(hashed, a.benchmarks, checks, AS_OF).select("id", "score", "priority_score", "kept_checks")
 
 
+def _refreshed(a: Archive):
+    """The archive after some listings changed their price and the benchmarks of one zone were published anew."""
+    hashed = lambda df: df.withColumn("content_hash", F.sha2(F.concat_ws("|", "title", F.col("price").cast("string")), 256))
+    before = a.listings.withColumn("price", F.when(F.col("transaction_type") == "rent", F.col("price") + 1000).otherwise(F.col("price")))
+    old = a.benchmarks.withColumn("min_sqm", F.when(F.col("zone") == "Z1", F.col("min_sqm") / 2).otherwise(F.col("min_sqm")))
+    previous = scoring.score_listings(hashed(before), old, AS_OF)
+    return previous, *refresh.refresh_changed(previous, hashed(a.listings), old, a.benchmarks, AS_OF)
+
+
+@query("refresh_changed", ["scored"], "SELECT id, score, priority_score, discount, benchmark_id FROM scored")
+def _(a: Archive):
+    return _refreshed(a)[1].select("id", "score", "priority_score", "discount", "benchmark_id")
+
+
+@query("refresh_memberships", ["screened"], "SELECT agent_id, id, fit, reasons, score FROM screened")
+def _(a: Archive):
+    previous, scored, ids = _refreshed(a)
+    return refresh.refresh_memberships(screening.screen(previous, a.saved_searches, a.links), scored, ids, a.saved_searches, a.links)
+
+
 # --- Search -----------------------------------------------------------------------------------------
 
 _CARD = "id, title, city, price, priority_score"

@@ -187,7 +187,7 @@ SELECT concat('S', n) AS source_id, concat('Fonte ', n) AS source_name, CASE WHE
 CTES["work"] = ([], """
 SELECT concat('L', o_orderkey) AS property_id, CASE WHEN o_orderkey % 5 <> 0 THEN concat('U', o_orderkey % 4) END AS owner_id,
   CASE WHEN o_orderkey % 4 <> 0 THEN strftime(DATE '2001-07-20' + CAST(o_orderkey % 40 AS INTEGER), '%Y-%m-%d') END AS due_date, o_orderkey % 3 AS version
-FROM orders WHERE o_orderkey % 3 <> 0""")
+FROM orders WHERE o_orderstatus <> 'F'""")
 CTES["team"] = (["work"], "SELECT DISTINCT owner_id AS user_id, concat('Persona ', owner_id) AS user_name FROM work WHERE owner_id IS NOT NULL")
 CTES["actions"] = ([], """
 SELECT event_id AS action_id, concat('L', user_id * 7 + event_id % 7) AS property_id,

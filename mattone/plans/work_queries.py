@@ -317,11 +317,11 @@ def _(a: Archive):
     return scoring.eligible_for_analysis(rows, a.saved_searches.withColumn("custom_prompt", prompt), done, "llm").drop("content_hash")
 
 
-@query("semantic_result_accept", ["listings"], """SELECT id AS property_id, CASE WHEN k % 5 = 0 THEN 'no_task' WHEN k % 7 = 0 THEN 'content_changed' ELSE 'accepted' END AS status FROM listings""")
+@query("semantic_result_accept", ["listings"], """SELECT id AS property_id, CASE WHEN condition = 'unknown' THEN 'no_task' WHEN k % 7 = 0 THEN 'content_changed' ELSE 'accepted' END AS status FROM listings""")
 def _(a: Archive):
     k = F.col("k")
     results = a.listings.select(F.lit("R1").alias("run_id"), F.col("id").alias("property_id"))
-    tasks = a.listings.where(k % 5 != 0).select(F.lit("R1").alias("run_id"), F.col("id").alias("property_id"), F.concat(F.lit("h"), k).alias("content_hash"))
+    tasks = a.listings.where("condition <> 'unknown'").select(F.lit("R1").alias("run_id"), F.col("id").alias("property_id"), F.concat(F.lit("h"), k).alias("content_hash"))
     current = a.listings.select("id", F.when(k % 7 == 0, "changed").otherwise(F.concat(F.lit("h"), k)).alias("content_hash"))
     return scoring.semantic_result_accept(results, tasks, current).select("property_id", "status")
 
@@ -427,16 +427,16 @@ def _(a: Archive):
 # --- Notifications, runs, usage ---------------------------------------------------------------------------
 
 def _reads(a: Archive):
-    return a.table("events").where("event_id % 3 = 0").select(F.col("event_id").alias("notification_id"), F.concat(F.lit("U"), F.col("user_id") % 4).alias("user_id"))
+    return a.table("events").where("event_type = 'view'").select(F.col("event_id").alias("notification_id"), F.concat(F.lit("U"), F.col("user_id") % 4).alias("user_id"))
 
 
-@query("unread_anti", [], "SELECT event_id AS notification_id FROM events WHERE NOT (event_id % 3 = 0 AND user_id % 4 = 1)")
+@query("unread_anti", [], "SELECT event_id AS notification_id FROM events WHERE NOT (event_type = 'view' AND user_id % 4 = 1)")
 def _(a: Archive):
     return quality.unread_anti(a.table("events").select(F.col("event_id").alias("notification_id")), _reads(a), "U1")
 
 
 @query("unread_totals", ["team"], """SELECT t.user_id, (SELECT count(*) FROM events) AS total, (SELECT count(*) FROM events) - coalesce(n, 0) AS unread FROM team t
-LEFT JOIN (SELECT concat('U', user_id % 4) AS user_id, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1) r ON t.user_id = r.user_id""")
+LEFT JOIN (SELECT concat('U', user_id % 4) AS user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) r ON t.user_id = r.user_id""")
 def _(a: Archive):
     return quality.unread_totals(a.table("events").select(F.col("event_id").alias("notification_id")), _reads(a), a.users)
 
@@ -448,9 +448,12 @@ FROM runs r LEFT JOIN (SELECT run_id, CAST(coalesce(sum(items) FILTER (step = 'd
   FROM run_events GROUP BY 1) e ON r.run_id = e.run_id"""
 
 
-@query("run_summary", ["runs", "run_events"], f"SELECT run_id, found, processed, new, changed, errors, sources_ok, status, CAST(floor(epoch(finished_at)) - floor(epoch(created_at)) AS BIGINT) AS duration_s FROM ({_RUNS})")
+@query("run_summary", ["runs", "run_events", "screened"], f"""SELECT run_id, found, processed, new, changed, errors, sources_ok, status, CAST(floor(epoch(finished_at)) - floor(epoch(created_at)) AS BIGINT) AS duration_s, coalesce(qualified, 0) AS qualified FROM ({_RUNS})
+  LEFT JOIN (SELECT r.run_id, count(*) AS qualified FROM (SELECT DISTINCT run_id, property_id FROM run_events WHERE step = 'acquire') e JOIN runs r ON e.run_id = r.run_id JOIN screened s ON s.agent_id = r.agent_id AND s.id = e.property_id WHERE s.fit GROUP BY 1) q USING (run_id)""")
 def _(a: Archive):
-    return a.run_summary.select("run_id", "found", "processed", "new", "changed", "errors", "sources_ok", "status", "duration_s")
+    fit = quality.run_qualified(a.runs, a.run_events, a.memberships)
+    return (a.run_summary.select("run_id", "found", "processed", "new", "changed", "errors", "sources_ok", "status", "duration_s").join(fit, "run_id", "left")
+            .withColumn("qualified", F.coalesce("qualified", F.lit(0).cast("bigint"))))
 
 
 @query("daily_runs", ["runs", "run_events"], f"""SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status IN ('failed', 'partial')) AS failed
@@ -631,7 +634,7 @@ def _(a: Archive):
 @query("page_candidates")
 def _(a: Archive):
     parsed = pages.parse_pages(a.table("pages"))
-    seen = pages.discover_links(parsed).where("page_id % 5 = 0").select(F.col("link").alias("url"), F.when(F.col("page_id") % 2 == 0, "sold").otherwise("listed").alias("availability"))
+    seen = pages.discover_links(parsed).where(F.col("link").rlike("[0-4]/?$")).select(F.col("link").alias("url"), F.when(F.col("page_id") % 2 == 0, "sold").otherwise("listed").alias("availability"))
     return pages.page_candidates(parsed, seen)
 
 
@@ -837,32 +840,34 @@ def _(a: Archive):
     return merge.page_snapshots(merge.merge_listings(_current(a), _batch(a), AS_OF), raw).select("source_id", "listing_key")
 
 
-@query("complete_from_detail", ["listings"], """SELECT listing_key, CASE WHEN k % 4 = 0 AND price IS NULL THEN 1000.0 + k ELSE price END AS price, CASE WHEN k % 4 = 0 AND address IS NULL THEN concat('Via Scheda ', k) ELSE address END AS address, k % 2 = 0 AS from_card, false AS incomplete FROM listings""")
+@query("complete_from_detail", ["listings"], """SELECT listing_key, CASE WHEN k % 4 = 0 AND availability = 'listed' AND price IS NULL THEN 1000.0 + k ELSE price END AS price, CASE WHEN k % 4 = 0 AND availability = 'listed' AND address IS NULL THEN concat('Via Scheda ', k) ELSE address END AS address, availability = 'listed' AS from_card, false AS incomplete FROM listings""")
 def _(a: Archive):
     k = F.col("k")
-    seen = a.listings.where("k % 2 = 0").withColumn("price", 1000.0 + k).withColumn("address", F.concat(F.lit("Via Scheda "), k)).withColumn("incomplete", k % 4 == 0)
+    seen = a.listings.where("availability = 'listed'").withColumn("price", 1000.0 + k).withColumn("address", F.concat(F.lit("Via Scheda "), k)).withColumn("incomplete", k % 4 == 0)
     return merge.complete_from_detail(seen, a.listings).select("listing_key", "price", "address", "from_card", "incomplete")
 
 
 def _card_batch(a: Archive):
     k, n = F.col("k"), F.col("n")
-    rows = a.listings.where("k % 2 = 0").withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+    rows = a.listings.where("availability = 'listed'").withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
     return rows.select("source_id", "listing_key", F.concat(F.lit("c"), k * 2 + n).alias("card_id"), (F.to_timestamp(F.lit(AS_OF)).cast("timestamp_ntz") + F.make_dt_interval(n)).alias("seen_at"),
                        F.concat(F.lit("Titolo "), n).alias("title"), F.when(n == 1, rules.TITLE_RANK[3]).otherwise(rules.TITLE_RANK[2]).alias("title_how"),
-                       F.when(~((n == 2) & (k % 6 == 0)), 5000.0 + k + n).alias("price"), F.lit("EUR").alias("currency"), F.when(n == 1, 77.0).alias("surface"), F.lit(None).cast("double").alias("rooms"),
+                       F.when((n == 1) & (k % 101 == 0), 2e9).when(~((n == 2) & (k % 6 == 0)), 5000.0 + k + n).alias("price"), F.lit("EUR").alias("currency"), F.when(n == 1, 77.0).alias("surface"), F.lit(None).cast("double").alias("rooms"),
                        F.lit(None).cast("double").alias("bathrooms"), F.concat(F.lit("Via Carta "), k).alias("address"), F.lit("").alias("zone"), F.lit("Milano").alias("city"),
                        F.lit("residential").alias("property_type"), F.lit("unknown").alias("transaction_type"), (k % 8 == 0).alias("price_drop"))
 
 
 def _card_base(a: Archive):
     k = F.col("k")
-    return a.listings.where("k % 10 <> 0").withColumn("incomplete", k % 3 == 0).withColumn("title_rank", F.lit(4))
+    return a.listings.where("NOT is_auction").withColumn("incomplete", k % 3 == 0).withColumn("title_rank", F.lit(4))
 
 
-_CARD_SQL = """SELECT listing_key, CASE WHEN k % 2 = 1 OR NOT part THEN title ELSE 'Titolo 1' END AS title, CASE WHEN k % 2 = 1 THEN price WHEN k % 6 = 0 THEN 5001.0 + k ELSE 5002.0 + k END AS price,
-  CASE WHEN k % 2 = 1 THEN surface WHEN part OR surface IS NULL THEN 77.0 ELSE surface END AS surface, CASE WHEN k % 2 = 1 THEN address WHEN part OR address IS NULL THEN concat('Via Carta ', k) ELSE address END AS address,
-  CASE WHEN k % 2 = 1 OR NOT part THEN city ELSE 'Milano' END AS city, CASE WHEN k % 2 = 1 THEN k % 3 = 0 ELSE part END AS incomplete, k % 10 = 0 AS created
-FROM (SELECT *, k % 10 = 0 OR k % 3 = 0 AS part FROM listings) WHERE k % 10 <> 0 OR k % 2 = 0"""
+# Of the two cards of an open listing the first is implausible for some; auctions are known from cards only.
+_CARD_SQL = """SELECT listing_key, CASE WHEN NOT sent OR NOT part OR (bad AND NOT is_auction) THEN title WHEN bad THEN 'Titolo 2' ELSE 'Titolo 1' END AS title,
+  CASE WHEN NOT sent THEN price WHEN k % 6 <> 0 THEN 5002.0 + k WHEN NOT bad THEN 5001.0 + k WHEN NOT is_auction THEN price END AS price,
+  CASE WHEN NOT sent THEN surface WHEN bad THEN CASE WHEN NOT is_auction THEN surface END WHEN part OR surface IS NULL THEN 77.0 ELSE surface END AS surface, CASE WHEN NOT sent THEN address WHEN part OR address IS NULL THEN concat('Via Carta ', k) ELSE address END AS address,
+  CASE WHEN NOT sent OR NOT part THEN city ELSE 'Milano' END AS city, CASE WHEN NOT sent THEN k % 3 = 0 ELSE part END AS incomplete, is_auction AS created
+FROM (SELECT *, is_auction OR k % 3 = 0 AS part, availability = 'listed' AS sent, k % 101 = 0 AS bad FROM listings) WHERE NOT is_auction OR sent"""
 
 
 @query("merge_card", ["listings"], _CARD_SQL)
@@ -870,8 +875,8 @@ def _(a: Archive):
     return merge.merge_card(_card_base(a), _card_batch(a)).select("listing_key", "title", "price", "surface", "address", "city", "incomplete", "created")
 
 
-@query("card_summary", ["listings"], """SELECT count(*) * 2 AS cards, count(*) FILTER (k % 6 = 0) AS no_price, count(*) FILTER (k % 8 = 0) * 2 - count(*) FILTER (k % 24 = 0) AS price_drops, count(*) FILTER (k % 10 = 0) AS created,
-  count(*) FILTER (k % 10 <> 0) AS updated, 0 AS unchanged FROM listings WHERE k % 2 = 0""")
+@query("card_summary", ["listings"], """SELECT count(*) * 2 AS cards, count(*) FILTER (k % 101 = 0) AS rejected, count(*) FILTER (k % 6 = 0) AS no_price, count(*) FILTER (k % 8 = 0) * 2 - count(*) FILTER (k % 24 = 0) - count(*) FILTER (k % 8 = 0 AND k % 101 = 0) AS price_drops,
+  count(*) FILTER (is_auction) AS created, count(*) FILTER (NOT is_auction) AS updated, 0 AS unchanged FROM listings WHERE availability = 'listed'""")
 def _(a: Archive):
     batch = _card_batch(a)
     return merge.card_summary(batch, merge.merge_card(_card_base(a), batch))

@@ -5,7 +5,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from mattone import rules
-from mattone.operators import clusters, density, geo, history, market, merge, scenario, scoring
+from mattone.operators import clusters, density, geo, history, market, merge, refresh, scenario, scoring
 from mattone.functions.quantiles import group_quantiles
 from conftest import NOW, frame, listing
 
@@ -139,6 +139,32 @@ def test_newest_row_in_another_condition_hides_no_asset(spark):
     assert got["me"] == 3
 
 
+def test_refresh_scores_only_what_a_change_reaches(spark):
+    columns = "id string, city string, zone string, property_type string, condition string, area_basis string, currency string, transaction_type string, min_sqm double, max_sqm double, period string"
+    series = lambda zone, low, period="2026-S1": (f"{zone}{period}", "Milano", zone, "office", "good", "commercial", "EUR", "sale", low, low + 500, period)
+    old = spark.createDataFrame([series("Z1", 2000.0), series("Z2", 2000.0), series("Z3", 1000.0, "2025-S2")], columns)
+    # Z2 gets new amounts, Z3 a newer period, Z4 its first benchmark; Z1 an older row that changes nothing.
+    new = spark.createDataFrame([series("Z1", 2000.0), series("Z1", 500.0, "2025-S1"), series("Z2", 2100.0), series("Z3", 1000.0, "2025-S2"), series("Z3", 1500.0), series("Z4", 900.0)], columns)
+    hashed = lambda rows: frame(spark, rows).withColumn("content_hash", F.md5(F.concat_ws("|", "title", F.col("price").cast("string"))))
+    before = hashed([listing("a", zone="Z1"), listing("b", zone="Z1"), listing("c", zone="Z2"), listing("d", zone="Z3"), listing("e", zone="Z4"), listing("gone", zone="Z1")])
+    now = hashed([listing("a", zone="Z1"), listing("b", 150000.0, zone="Z1"), listing("c", zone="Z2"), listing("d", zone="Z3"), listing("e", zone="Z4"), listing("f", zone="Z9")])
+    scored, ids = refresh.refresh_changed(scoring.score_listings(before, old, NOW), now, old, new, NOW)
+    assert sorted(r["id"] for r in ids.collect()) == ["b", "c", "d", "e", "f"]
+    key = lambda df: sorted((r["id"], r["score"], r["priority_score"], r["benchmark_id"], r["benchmark_note"]) for r in df.collect())
+    assert key(scored) == key(scoring.score_listings(now, new, NOW))
+
+
+def test_implausible_cards_are_counted_and_left_out(spark):
+    fields = "source_id string, listing_key string, card_id string, seen_at timestamp_ntz, title string, title_how string, price double, currency string, surface double, rooms double, bathrooms double, address string, zone string, city string, property_type string, transaction_type string, price_drop boolean"
+    card = lambda key, **o: tuple({**dict(source_id="s", listing_key=key, card_id=key, seen_at=NOW, title="Casa", title_how=rules.TITLE_RANK[0], price=1.0, currency="EUR", surface=None, rooms=None, bathrooms=None, address=None, zone="", city="", property_type="unknown", transaction_type="unknown", price_drop=True), **o}.values())
+    cards = spark.createDataFrame([card("a"), card("b", price=0.0), card("c", surface=0.01), card("d", title="x" * 501), card("e", price=None), card("f", title=None), card("g", rooms=1e5)], fields)
+    empty = cards.limit(0).withColumn("incomplete", F.lit(False)).withColumn("title_rank", F.lit(1))
+    merged = merge.merge_card(empty, cards)
+    assert sorted(r["listing_key"] for r in merged.collect()) == ["a", "e"]
+    (r,) = merge.card_summary(cards, merged).collect()
+    assert (r["cards"], r["rejected"], r["no_price"], r["price_drops"], r["created"]) == (7, 5, 1, 1, 2)
+
+
 def test_polygons(spark):
     square = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]]
     hole = [[0.4, 0.4], [0.6, 0.4], [0.6, 0.6], [0.4, 0.6]]
