@@ -3,7 +3,7 @@
 1. Size of a row: its words. Every source has a weight and a cap of ``max_repeats`` times its size; targets share all
    sizes by weight, what a cap cuts off is shared among the others until none is above (solved in closed form over the
    sources, sorted by cap per weight).
-2. All tokens are counted in blocks of equal size (a 2^23rd of the total, one token at least). Sources get whole blocks
+2. All tokens are counted in blocks of equal size (a 2^23rd of the total, but at most a 256th of the smallest target, one token at least). Sources get whole blocks
    by the highest quotients target / (2 k + 1); a source is dealt by a seeded hash into shards of bounded size, and the
    source's blocks go to its shards by the highest quotients size / (2 k + 1). Only quotients near the rounding point are
    listed: seats lie within ``n / (2 * seats)`` of the exact share, so the list is at most a few rows per claimant.
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .store import cut_lineage
 
 BLOCKS = 1 << 23
+#: Blocks of the smallest target, at least (if it has so many tokens), so that rounding to whole blocks is small for every source.
+LEAST_BLOCKS = 256
 SHARD_TOKENS = 1 << 20
 SHARD_BLOCKS = 64
 #: A prime above any number of blocks in a shard, hence coprime to it: b -> PRIME * b + c permutes the blocks.
@@ -78,7 +80,8 @@ def mix(docs: DataFrame, weights: list[int], seed: int = 7, max_repeats: int = 3
                         .withColumn("_row", F.monotonically_increasing_id()))
     sources = targets(sizes.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size")), weights, max_repeats)
     everything = Window.partitionBy()
-    block = F.greatest(F.lit(1), F.floor(F.sum("source_size").over(everything) / BLOCKS)).cast("bigint")
+    smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
+    block = F.greatest(F.lit(1), F.least(F.floor(F.sum("source_size").over(everything) / BLOCKS), F.floor(smallest / LEAST_BLOCKS))).cast("bigint")
     sources = (sources.withColumn("_block", block)
                .withColumn("_seats", F.round(F.sum("source_size").over(everything) / F.col("_block")).cast("bigint"))
                .withColumn("_all", F.lit(0)))

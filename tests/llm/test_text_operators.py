@@ -64,6 +64,21 @@ def test_mix(spark, odd):
     assert mixing.mix(odd.limit(0), [5, 2, 1]).count() == 0
 
 
+def test_small_sources_get_their_share_of_any_block_size(spark, monkeypatch):
+    data = [(i, prose(i, 40), None, "big", 0, None, True, 1) for i in range(500)] + [(1000, prose(1, 80), None, "tiny", 0, None, True, 1), (1001, prose(2, 250), None, "small", 0, None, True, 1), (1002, "one", None, "word", 0, None, True, 1)]
+    for blocks in (1, 10, 1000, 1 << 23):
+        monkeypatch.setattr(mixing, "BLOCKS", blocks)
+        got = mixing.mix(docs(spark, data), [5, 2, 1]).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+        assert all(abs(r.taken - r.target) <= max(1, 0.01 * r.target) for r in got), (blocks, got)
+
+
+def test_near_copies_of_one_id_go_by_their_text(spark):
+    a, b = prose(41, 60), prose(42, 60)
+    data = docs(spark, [(i, t, None, None, 0, None, True, 1) for i, t in ((3, a), (5, a), (5, b), (7, a + " end"), (None, a), (8, None), (9, ""))])
+    got = sorted(((r.doc_id, r.text) for r in jaccard_join.keep_one(data).collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (None, a), (8, None), (9, "")], key=str)
+
+
 def test_sainte_lague(spark):
     claims = [("a", 53.0), ("b", 24.0), ("c", 23.0), ("d", 0.0), ("e", 1e-3)]
     for seats in (0, 1, 7, 100, 12345):
