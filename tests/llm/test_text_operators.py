@@ -90,7 +90,7 @@ def test_sainte_lague(spark):
         assert won == want
 
 
-@pytest.mark.parametrize("small, pivots", [(32, 8), (3, 2)])
+@pytest.mark.parametrize("small, pivots", [(128, 8), (3, 2)])
 def test_jaccard_join(spark, odd, monkeypatch, small, pivots):
     monkeypatch.setattr(jaccard_join, "SMALL", small)
     monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
