@@ -49,15 +49,23 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                        (F.col("_best._row") == F.col("_row")).alias("kept"), F.col("_digest").alias("text_sha256"))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column of ``docs`` has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts."""
     digests = cut_lineage(docs.select(F.col(id_col).alias("_id"), digest_of(F.col(text_col)).alias("_digest")))
     heavy = frequent(digests)
-    rows = docs.withColumn("_digest", digest_of(F.col(text_col)))
-    winners = (digests.where(F.col("_digest").isin(heavy)).groupBy("_digest").agg(F.max("_id").alias("_best")))
+    digest, best, rank = (unused(docs, name) for name in ("_digest", "_best", "_rank"))
+    rows = docs.withColumn(digest, digest_of(F.col(text_col)))
+    winners = (digests.where(F.col("_digest").isin(heavy)).groupBy(F.col("_digest").alias(digest)).agg(F.max("_id").alias(best)))
     # Copies of frequent texts go in the scan; what is left of them are rows that repeat the winner's id as well.
-    hot = (rows.where(F.col("_digest").isin(heavy)).join(F.broadcast(winners), "_digest")
-           .where(F.col(id_col).eqNullSafe(F.col("_best"))).dropDuplicates(["_digest"]))
-    last = Window.partitionBy("_digest").orderBy(F.col(id_col).desc_nulls_last())
-    cold = rows.where(~F.col("_digest").isin(heavy)).withColumn("_rank", F.row_number().over(last)).where("_rank = 1")
+    hot = (rows.where(F.col(digest).isin(heavy)).join(F.broadcast(winners), digest)
+           .where(F.col(id_col).eqNullSafe(F.col(best))).dropDuplicates([digest]))
+    last = Window.partitionBy(digest).orderBy(F.col(id_col).desc_nulls_last())
+    cold = rows.where(~F.col(digest).isin(heavy)).withColumn(rank, F.row_number().over(last)).where(F.col(rank) == 1)
     return hot.select(*docs.columns).unionByName(cold.select(*docs.columns))

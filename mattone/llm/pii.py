@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -197,6 +199,18 @@ def disguised(text: str) -> bool:
     return bool(SPELLED_RUN.search(text) or SPELLED_IP.search(text) and spelled_ips(text) or mixed_digits(text))
 
 
+def untouched(taken: list[Span]):
+    """A test whether a span overlaps none of ``taken``: one sort, then a look among ends that only rise."""
+    taken = sorted(taken)
+    starts, furthest = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+
+    def free(span: Span) -> bool:
+        before = bisect_left(starts, span[1])  # spans that begin before this one ends
+        return not before or furthest[before - 1] <= span[0]
+
+    return free
+
+
 def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans that only show after rewriting."""
     out: dict[str, list[Span]] = {kind: [] for kind in KINDS}
@@ -208,7 +222,8 @@ def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     for step in (lambda p: signs(p.text), spelled_addresses, lambda p: spelled_ips(p.text)):
         if found := step(plain):
             plain.replace(found)
-    taken = sorted(s for spans in base.values() for s in spans)
+    taken = [s for spans in base.values() for s in spans]
+    free = untouched(taken)
     more = mixed_digits(plain.text)
     ways = [(spelled_digits(plain.text), plain)]
     if more:
@@ -223,10 +238,10 @@ def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
             for a, b in spans:
                 if any(way.new[a:b]) or way.end[b - 1] - way.start[a] != b - a:
                     span = way.start[a], way.end[b - 1]
-                    if not any(s < span[1] and span[0] < e for s, e in taken):
+                    if free(span):
                         shown.append(span)
                         out[kind].append(span)
-        taken += shown
+        free = untouched(taken := taken + shown)
     return {kind: sorted(spans) for kind, spans in out.items()}
 
 

@@ -71,7 +71,7 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFram
     Columns of ``pages`` with these names are replaced.
     """
     spark = pages.sparkSession
-    urls = pages.select(F.col(url_col).alias("_url")).where("_url IS NOT NULL").distinct()
+    urls = pages.select(pages[url_col].alias("_url")).where("_url IS NOT NULL").distinct()
     parsed = urls.withColumn("_host", host_of(F.col("_url"))).withColumn("_path", path_of(F.col("_url")))
     whole = F.concat("_host", "_path")
     tokens = (parsed.withColumn("_whole", whole)
@@ -85,7 +85,10 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFram
               .agg(F.min_by("_literal", F.struct(F.coalesce("_n", F.lit(0)), "_literal")).alias("_token")))
     candidates = tokens.join(F.broadcast(rarest), "_token").where(F.expr("_whole RLIKE pattern"))
     best = (candidates.groupBy("_url").agg(F.min_by(F.struct("name", "verdict", "listed"), F.struct(-F.col("rank"), F.col("name"))).alias("_best")))
-    judged = pages.join(best, pages[url_col] == best["_url"], "left")
-    out = {"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col)),
+    # The page's own columns travel in one struct, so that no name of theirs meets a name of this join.
+    rows = pages.select(pages[url_col].alias("_url"), F.struct("*").alias("_row"))
+    judged = rows.join(best.withColumnRenamed("_url", "_known"), F.col("_url") == F.col("_known"), "left")
+    out = {"host": host_of(F.col("_url")), "path": path_of(F.col("_url")),
            "rule": F.when(F.col("_best.listed"), F.col("_best.name")), "verdict": F.coalesce("_best.verdict", F.lit("allow"))}
-    return judged.withColumns(out).drop("_url", "_best")
+    own = [out.pop(c).alias(c) if c in out else F.col("_row").getField(c).alias(c) for c in pages.columns]
+    return judged.select(*own, *[column.alias(c) for c, column in out.items()])

@@ -147,7 +147,7 @@ def member_at(file, at: int, size: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the gzip member or plain record that begins at ``at``."""
     head = file.read_at(min(8, size - at), at)
     if head[:3] == b"\x1f\x8b\x08":
-        inflate, parts, place = zlib.decompressobj(31), [], at
+        inflate, parts, begin, place = zlib.decompressobj(31), [], b"", at
         while not inflate.eof:
             if place >= size:
                 raise Bad("member is cut off")
@@ -157,9 +157,10 @@ def member_at(file, at: int, size: int) -> tuple[dict[str, str], bytes, int]:
                 parts.append(inflate.decompress(chunk))
             except zlib.error as e:
                 raise Bad("gzip data is damaged") from e
-            if not b"".join(parts)[:7].startswith(b"WARC/1."[:min(7, sum(map(len, parts)))]):
-                raise Bad("no version line")
-            parts = [b"".join(parts)] if len(parts) > 64 else parts
+            if len(begin) < 7:
+                begin += parts[-1][:7 - len(begin)]
+                if not b"WARC/1.".startswith(begin):
+                    raise Bad("no version line")
         headers, block = parsed(b"".join(parts))
         return headers, block, place - len(inflate.unused_data)
     if head[:7] != b"WARC/1.":

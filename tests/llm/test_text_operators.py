@@ -1,5 +1,6 @@
 """Small cases of the operators for training text, against brute force where there is one."""
 import hashlib
+import hashlib
 import random
 import re
 import zlib
@@ -330,3 +331,32 @@ def test_kth_largest(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for k in (1, 777, 4000, 8000):
         assert quality.kth_largest(df, "v", k, enough=50) == sorted(values, reverse=True)[k - 1]
+
+
+def test_columns_named_like_helpers(spark):
+    """Columns of the input that a join of the operator might use itself come through unchanged."""
+    data = docs(spark, rows("a b", "a b", None, "c")).select("*", *[F.col("doc_id").alias(c) for c in ("_digest", "_best", "_rank", "_id")])
+    kept = exact_dedup.keep_one(data)
+    assert kept.columns == data.columns
+    assert sorted((r.doc_id, r._digest, r._best, r._rank, r._id) for r in kept.collect()) == [(i,) * 5 for i in (1, 2, 3)]
+    pages = spark.createDataFrame([(1, "http://a.net/x", "u", "b", "old"), (2, None, None, "b", "old")], "page_id int, url string, _url string, _best string, host string")
+    judged = url_rules.judge(pages, [url_rules.host_rule("net", "/", "block")])
+    assert judged.columns == [*pages.columns, "path", "rule", "verdict"]
+    assert sorted(tuple(r) for r in judged.collect()) == [(1, "http://a.net/x", "u", "b", "a.net", "/x", "net/", "block"), (2, None, None, "b", "", "", None, "allow")]
+
+
+def test_free_spans_as_by_pairs():
+    rng = random.Random(3)
+    for _ in range(200):
+        taken = [(a, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(8)))]
+        free = pii.untouched(taken)
+        for a in range(60):
+            span = a, a + rng.randrange(1, 6)
+            assert free(span) == (not any(s < span[1] and span[0] < e for s, e in taken))
+
+
+def test_long_member_is_read_in_pieces(spark, tmp_path):
+    payload = bytes(random.Random(4).randbytes(1 << 20)) * 24
+    manifest = warc.write_archives(warc.with_roles(spark.createDataFrame([(1, "http://a.example/", payload)], "id bigint, uri string, payload binary").coalesce(1)), str(tmp_path / "w")).collect()
+    read = warc.read_archives(spark.createDataFrame([(r.path,) for r in manifest], "path string"), 1).where("kind = 'record'")
+    assert [(r.n, r.h) for r in read.select(F.length("payload").alias("n"), F.sha2("payload", 256).alias("h")).collect()] == [(len(payload), hashlib.sha256(payload).hexdigest())]
