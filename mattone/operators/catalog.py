@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.expr import days, inactive, missing, stamp
+from ..functions.ranks import with_position
 
 SORTS = {
     "score": lambda: [F.desc("priority_score"), F.desc("last_seen"), F.asc("id")],
@@ -207,9 +208,9 @@ def work_listing(listings: DataFrame, work: DataFrame, team: DataFrame, as_of) -
 
 
 def pipeline_order(board: DataFrame) -> DataFrame:
-    """Open before closed, late first, then due date, priority, id."""
-    return board.orderBy(F.asc(~_stage_open()), F.desc("late"), F.asc(F.coalesce("due_date", F.lit("9999"))),
-                         F.desc(F.coalesce("priority_score", F.lit(-1))), F.asc("id"))
+    """The board with ``position``: open before closed, late first, then due date, priority, id."""
+    return with_position(board, [F.asc(~_stage_open()), F.desc("late"), F.asc(F.coalesce("due_date", F.lit("9999"))),
+                                 F.desc(F.coalesce("priority_score", F.lit(-1))), F.asc("id")])
 
 
 def next_best(listings: DataFrame, queued: DataFrame, n: int = 5) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.expr import half_up, inactive, labels, newest_per, stamp
+from ..functions.ranks import with_position, with_position_in
 from ..functions.values import valid_email, valid_phone
 from .catalog import pending_card
 from .clusters import with_root
@@ -17,9 +18,9 @@ def latest_contact(actions: DataFrame) -> DataFrame:
 
 
 def contact_history(actions: DataFrame, team: DataFrame) -> DataFrame:
-    """All calls with their author, newest first within each listing."""
-    return (actions.join(team.select("user_id", F.col("user_name").alias("author")), "user_id")
-            .orderBy("property_id", F.desc("created_at"), F.desc("action_id")))
+    """All calls with their author and ``position``: newest first within each listing."""
+    called = actions.join(team.select("user_id", F.col("user_name").alias("author")), "user_id")
+    return with_position_in(called, "property_id", [F.desc("created_at"), F.desc("action_id")])
 
 
 def related_contact(actions: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def _call_allowed(today):
 
 def today_queue(scored: DataFrame, memberships: DataFrame, actions: DataFrame, clusters: DataFrame, conflicts: DataFrame,
                 fresh: DataFrame, as_of) -> DataFrame:
-    """Listings to call or to verify today, one per asset, in working order."""
+    """Listings to call or to verify today, one per asset; ``position`` is their working order, calls first."""
     today = F.date_format(stamp(as_of), "yyyy-MM-dd")
     fits = memberships.where("fit").groupBy("id").agg(F.count(F.lit(1)).alias("matching_searches"))
     own = latest_contact(actions).select(F.col("property_id").alias("id"), "outcome", "next_contact")
@@ -66,10 +67,10 @@ def today_queue(scored: DataFrame, memberships: DataFrame, actions: DataFrame, c
             .where(F.col("callable") | ~pending_card()))
     arrival = [F.asc_nulls_last("next_contact"), F.desc("priority_score"), F.desc("last_seen"), F.asc("id")]
     one = newest_per(rows, ["root"], [F.desc("callable"), F.desc("direct"), *arrival])
-    return (one.select("id", "root", F.when(F.col("callable"), "call").otherwise("verify").alias("list"), "priority_score", "last_seen",
+    rows = (one.select("id", "root", F.when(F.col("callable"), "call").otherwise("verify").alias("list"), "priority_score", "last_seen",
                        F.coalesce("matching_searches", F.lit(0).cast("bigint")).alias("matching_searches"), "outcome", "next_contact",
-                       F.col("route").alias("route"), "freshness", F.coalesce("members", F.lit(1).cast("bigint")).alias("linked_count"), "checks")
-            .orderBy("list", F.asc_nulls_last("next_contact"), F.asc(F.col("route") == "unknown"), F.desc("priority_score"), F.asc("id")))
+                       F.col("route").alias("route"), "freshness", F.coalesce("members", F.lit(1).cast("bigint")).alias("linked_count"), "checks"))
+    return with_position(rows, [F.asc("list"), F.asc_nulls_last("next_contact"), F.asc(F.col("route") == "unknown"), F.desc("priority_score"), F.asc("id")])
 
 
 def portal_pending(listings: DataFrame, n: int | None = 5) -> DataFrame:

@@ -329,10 +329,10 @@ def _(a: Archive):
     return catalog.work_listing(a.listings, a.deal_work, a.users, AS_OF).select("id", "owner", "late", "due_date")
 
 
-@query("pipeline_order", ["scored", "work", "team"], f"""SELECT id, review_status, late FROM ({_BOARD})
-  ORDER BY {_OPEN_STAGE} DESC, late DESC, coalesce(due_date, '9999'), coalesce(priority_score, -1) DESC, id""")
+@query("pipeline_order", ["scored", "work", "team"], f"""SELECT id, review_status, late,
+  row_number() OVER (ORDER BY {_OPEN_STAGE} DESC, late DESC, coalesce(due_date, '9999'), coalesce(priority_score, -1) DESC, id) AS position FROM ({_BOARD})""")
 def _(a: Archive):
-    return catalog.pipeline_order(catalog.work_listing(a.scored, a.deal_work, a.users, AS_OF)).select("id", "review_status", "late")
+    return catalog.pipeline_order(catalog.work_listing(a.scored, a.deal_work, a.users, AS_OF)).select("id", "review_status", "late", "position")
 
 
 @query("overdue_list", ["listings", "work", "team"], f"""SELECT id, title, city, due_date, user_name AS owner FROM listings JOIN work ON id = property_id LEFT JOIN team ON owner_id = user_id

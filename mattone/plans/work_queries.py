@@ -340,9 +340,10 @@ def _(a: Archive):
     return a.last_calls
 
 
-@query("contact_history", ["actions", "team"], "SELECT property_id, action_id, outcome, user_name AS author FROM actions a JOIN team t ON a.user_id = t.user_id")
+@query("contact_history", ["actions", "team"], """SELECT property_id, action_id, outcome, user_name AS author,
+  row_number() OVER (PARTITION BY property_id ORDER BY created_at DESC, action_id DESC) AS position FROM actions a JOIN team t ON a.user_id = t.user_id""")
 def _(a: Archive):
-    return queue.contact_history(a.contact_actions, a.users).select("property_id", "action_id", "outcome", "author")
+    return queue.contact_history(a.contact_actions, a.users).select("property_id", "action_id", "outcome", "author", "position")
 
 
 @query("related_contact", ["clusters", "actions"], """SELECT c.id, c.root, l.called_id, l.action_id, l.outcome FROM clusters c JOIN (
@@ -371,7 +372,7 @@ _ALLOWED = f"(outcome IS NULL OR (outcome <> 'not_relevant' AND (outcome NOT IN
 
 
 @query("today_queue", ["scored", "screened", "clusters", "conflicts", "last_action", "actions", "sources"], f"""
-SELECT id, root, CASE WHEN callable THEN 'call' ELSE 'verify' END AS list, priority_score, {ts('last_seen')} AS last_seen, matching AS matching_searches, outcome, next_contact, route, freshness,
+SELECT *, row_number() OVER (ORDER BY list, next_contact NULLS LAST, route = 'unknown', priority_score DESC, id) AS position FROM (SELECT id, root, CASE WHEN callable THEN 'call' ELSE 'verify' END AS list, priority_score, {ts('last_seen')} AS last_seen, matching AS matching_searches, outcome, next_contact, route, freshness,
   coalesce(members, 1) AS linked_count, concat_ws('; ', nullif(conflicts, ''), CASE WHEN freshness = 'stale' THEN 'Disponibilità da ricontrollare' END, CASE WHEN NOT reachable THEN 'Recapito da trovare' END) AS checks
 FROM (SELECT *, reachable AND freshness <> 'stale' AND NOT coalesce(identity_conflict, false) AND NOT coalesce(availability_conflict, false) AS callable
   FROM (SELECT s.*, coalesce(c.root, s.id) AS root, coalesce(f.n, 0) AS matching, al.outcome, al.next_contact, k.members, k.identity_conflict, k.availability_conflict, k.conflicts, fr.status AS freshness,
@@ -385,7 +386,7 @@ FROM (SELECT *, reachable AND freshness <> 'stale' AND NOT coalesce(identity_con
       AND {_ALLOWED.replace('outcome', 'o1').replace('next_contact', 'n1')})
   WHERE {_ALLOWED})
 WHERE callable OR NOT card_incomplete
-QUALIFY row_number() OVER (PARTITION BY root ORDER BY callable DESC, route <> 'unknown' DESC, next_contact NULLS LAST, priority_score DESC, last_seen DESC, id) = 1""")
+QUALIFY row_number() OVER (PARTITION BY root ORDER BY callable DESC, route <> 'unknown' DESC, next_contact NULLS LAST, priority_score DESC, last_seen DESC, id) = 1)""")
 def _(a: Archive):
     return queue.today_queue(a.scored, a.memberships, a.contact_actions, a.clusters, a.conflicts, a.freshness, AS_OF)
 
