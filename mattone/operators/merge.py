@@ -26,41 +26,90 @@ def gone_page(availability: Column, http_status: Column) -> Column:
     return F.when(http_status.isin(404, 410), F.lit("review")).otherwise(availability)
 
 
-def merge_listings(current: DataFrame, batch: DataFrame, as_of) -> DataFrame:
-    """Full-outer merge on (source_id, listing_key) into the new current table.
+KEY = ["source_id", "listing_key"]
+
 
-    ``batch`` may state a key more than once; the last ``batch_order`` wins, then the last ``read_at``, then the
-    largest content, so that reruns agree. Added columns:
-    ``in_batch``, ``created``, ``changed`` and ``previous_price``/``previous_availability``.
-    Rows with an HTTP status of 404/410 only move the availability of a known listing.
+def _statements(batch: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Each different statement of a batch once, with what the batch itself said of its key up to there, and the
+    columns that order the statements of one key.
+
+    ``gone``: the page is missing. ``held``: the content of the last page read so far, null if there is none yet, with
+    ``held._prior``, the availability that a closed statement or a missing page of this batch had set before it.
     """
-    key = ["source_id", "listing_key"]
     order = [c for c in ("batch_order", "read_at") if c in batch.columns]
     if "http_status" not in batch.columns:
         batch = batch.withColumn("http_status", F.lit(200))
-    stated = [*CONTENT, "http_status"]
-    last = batch.groupBy(*key).agg(F.max(F.struct(*order, *stated)).alias("_m")).select(*key, *[F.col("_m." + c) for c in stated])
-    old = current.select(*key, *[F.col(c).alias("o_" + c) for c in (*CONTENT, "first_seen", "last_seen", "content_hash")])
-    new = last.select(*key, *[F.col(c).alias("n_" + c) for c in CONTENT], F.col("http_status"), F.lit(True).alias("_new"))
-    both = old.join(new, key, "full")
+    columns = [*order, *CONTENT, "http_status"]
+    in_order = Window.partitionBy(*KEY).orderBy(*columns)
+    before, so_far = in_order.rowsBetween(Window.unboundedPreceding, -1), in_order.rowsBetween(Window.unboundedPreceding, 0)
     gone = F.coalesce(F.col("http_status").isin(404, 410), F.lit(False))
-    # A missing page says nothing about a listing nobody knows.
-    both = both.where(~(gone & F.col("o_content_hash").isNull()))
-    read = F.coalesce(F.col("_new"), F.lit(False)) & ~gone
-    columns = {c: F.when(read, F.col("n_" + c)).otherwise(F.col("o_" + c)) for c in CONTENT}
-    columns["availability"] = (F.when(gone, "review").when(read, sticky_closed(F.col("o_availability"), F.col("n_availability")))
-                               .otherwise(F.col("o_availability")))
+    said = F.when(gone, F.lit("review")).when(closed(), F.col("availability"))
+    rows = batch.select(*KEY, *columns).distinct().withColumn("gone", gone).withColumn("_prior", F.last(said, ignorenulls=True).over(before))
+    return rows.withColumn("held", F.last(F.when(~F.col("gone"), F.struct(*CONTENT, "_prior")), ignorenulls=True).over(so_far)), columns
+
+
+def _resolved(both: DataFrame, *keep: str) -> DataFrame:
+    """Statements beside what the archive knew (``o_`` columns): content, availability and hash as they then stand.
+
+    A missing page moves the availability of a known listing and says nothing about a listing nobody knows.
+    """
+    read = F.col("held").isNotNull()
+    both = both.where(~(F.coalesce("gone", F.lit(False)) & ~read & F.col("o_content_hash").isNull()))
+    columns = {c: F.when(read, F.col("held")[c]).otherwise(F.col("o_" + c)) for c in CONTENT}
+    prior = F.coalesce(F.col("held._prior"), F.col("o_availability"))
+    columns["availability"] = F.when(read, sticky_closed(prior, F.col("held.availability"))).otherwise(F.col("o_availability"))
+    rows = both.select(*KEY, *keep, *[v.alias(c) for c, v in columns.items()], "o_first_seen", "o_last_seen", F.col("o_content_hash").alias("previous_hash"),
+                       F.col("o_price").alias("previous_price"), F.col("o_availability").alias("previous_availability"),
+                       F.coalesce("gone", F.lit(False)).alias("_gone"), read.alias("_read"))
+    hashed = rows.withColumn("content_hash", F.when(F.col("_read"), content_hash()).otherwise(F.col("previous_hash")))
+    return hashed.withColumn("availability", F.when(F.col("_gone"), "review").otherwise(F.col("availability")))
+
+
+def _known(current: DataFrame) -> DataFrame:
+    return current.select(*KEY, *[F.col(c).alias("o_" + c) for c in (*CONTENT, "first_seen", "last_seen", "content_hash")])
+
+
+def _changed() -> Column:
+    moved = F.col("_gone") & ~F.col("availability").eqNullSafe(F.col("previous_availability"))
+    return F.col("previous_hash").isNull() | (F.col("_read") & (F.col("content_hash") != F.col("previous_hash"))) | moved
+
+
+def merge_listings(current: DataFrame, batch: DataFrame, as_of) -> DataFrame:
+    """Full-outer merge on (source_id, listing_key) into the new current table.
+
+    ``batch`` may state a key more than once; statements go by ``batch_order``, then ``read_at``, then content, so that
+    reruns agree, and the last one stands, except that a closed listing is not reopened by a later statement of the same
+    batch either. Added columns: ``in_batch``, ``created``, ``changed`` and ``previous_price``/``previous_availability``.
+    Rows with an HTTP status of 404/410 only move the availability of a known listing. The statements of one key are
+    sorted in one task.
+    """
+    stated, order = _statements(batch)
+    newest = Window.partitionBy(*KEY).orderBy(*[F.desc(c) for c in order])
+    last = stated.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").select(*KEY, "gone", "held", F.lit(True).alias("_new"))
+    rows = _resolved(_known(current).join(last, KEY, "full"), "_new")
     now = stamp(as_of)
-    merged = both.select(*key, *[v.alias(c) for c, v in columns.items()],
-                         F.coalesce("o_first_seen", now).alias("first_seen"), F.when(read, now).otherwise(F.col("o_last_seen")).alias("last_seen"),
-                         F.col("o_content_hash").alias("previous_hash"), F.col("o_price").alias("previous_price"),
-                         F.col("o_availability").alias("previous_availability"), F.coalesce("_new", F.lit(False)).alias("in_batch"),
-                         read.alias("_read"))
-    hashed = merged.withColumn("content_hash", F.when(F.col("_read"), content_hash()).otherwise(F.col("previous_hash")))
-    created = F.col("previous_hash").isNull()
-    changed = created | (F.col("_read") & (F.col("content_hash") != F.col("previous_hash"))) | (
-        F.col("in_batch") & ~F.col("_read") & ~F.col("availability").eqNullSafe(F.col("previous_availability")))
-    return hashed.withColumn("created", created).withColumn("changed", changed).drop("_read")
+    return (rows.withColumn("first_seen", F.coalesce("o_first_seen", now)).withColumn("last_seen", F.when(F.col("_read"), now).otherwise(F.col("o_last_seen")))
+            .withColumn("in_batch", F.coalesce("_new", F.lit(False))).withColumn("created", F.col("previous_hash").isNull()).withColumn("changed", _changed())
+            .drop("_read", "_gone", "_new", "o_first_seen", "o_last_seen"))
+
+
+def version_observations(current: DataFrame, batch: DataFrame, as_of) -> DataFrame:
+    """Observation rows to append for a batch that may state a key more than once: one per statement that changed what
+    stood before it, in the archive or in the batch, with ``version`` (from 1) per key. ``observed_at`` is the
+    statement's ``read_at`` where the batch has it, else ``as_of``."""
+    stated, order = _statements(batch)
+    in_order = Window.partitionBy(*KEY).orderBy(*order)
+    placed = stated.withColumn("_place", F.row_number().over(in_order))
+    when = F.coalesce(F.col("read_at"), stamp(as_of)) if "read_at" in order else stamp(as_of)
+    rows = _resolved(placed.withColumn("_when", when).join(_known(current), KEY, "left"), "_place", "_when")
+    by_place = Window.partitionBy(*KEY).orderBy("_place")
+    rows = (rows.withColumn("_h", F.lag("content_hash").over(by_place)).withColumn("_a", F.lag("availability").over(by_place))
+            .withColumn("previous_availability", F.when(F.col("_h").isNull(), F.col("previous_availability")).otherwise(F.col("_a")))
+            .withColumn("previous_hash", F.coalesce("_h", "previous_hash")))
+    changed = rows.where(_changed()).withColumn("version", F.row_number().over(by_place).cast("bigint"))
+    ident = F.sha2(F.concat_ws("|", "source_id", "listing_key", "content_hash", F.lit(str(as_of)), "version"), 256)
+    return changed.select(ident.alias("observation_id"), *KEY, "version", F.col("_when").alias("observed_at"), "price", "availability", "currency", "transaction_type",
+                          "area_basis", "surface", "content_hash", F.struct(*[F.col(c) for c in rules.OBSERVED_FIELDS]).alias("fields"))
 
 
 def new_observations(merged: DataFrame, as_of) -> DataFrame:

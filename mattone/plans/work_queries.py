@@ -829,6 +829,27 @@ def _(a: Archive):
     return merge.new_observations(merge.merge_listings(_current(a), _batch(a), AS_OF), AS_OF).select("source_id", "listing_key", "price")
 
 
+_STATED_THRICE = f"""SELECT *, CASE WHEN coalesce(prior, a0) IN ({CLOSED}) AND a NOT IN ({CLOSED}) THEN coalesce(prior, a0) ELSE a END AS ra FROM (
+  SELECT *, last_value(CASE WHEN gone THEN 'review' WHEN a IN ({CLOSED}) THEN a END IGNORE NULLS) OVER (PARTITION BY source_id, listing_key ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM (
+    SELECT source_id, listing_key, price AS p0, availability AS a0, n, CASE WHEN n < 2 AND k % 4 = 0 THEN price - 500 ELSE price END AS p, CASE WHEN n = 1 AND k % 7 = 0 THEN 'sold' ELSE availability END AS a,
+      n = 1 AND k % 33 = 0 AS gone FROM listings, (SELECT unnest([0, 1, 2]) AS n)))"""
+
+
+@query("version_observations", ["listings"], f"""SELECT source_id, listing_key, row_number() OVER (PARTITION BY source_id, listing_key ORDER BY n) AS version, held.p AS price, av AS availability FROM (
+  SELECT *, coalesce(lag(held) OVER w, {{'p': p0, 'ra': a0}}) AS held_before, coalesce(lag(av) OVER w, a0) AS av_before FROM (
+    SELECT *, coalesce(last_value(CASE WHEN NOT gone THEN {{'p': p, 'ra': ra}} END IGNORE NULLS) OVER (PARTITION BY source_id, listing_key ORDER BY n), {{'p': p0, 'ra': a0}}) AS held, CASE WHEN gone THEN 'review' ELSE ra END AS av
+    FROM ({_STATED_THRICE})) WINDOW w AS (PARTITION BY source_id, listing_key ORDER BY n))
+  WHERE CASE WHEN gone THEN av IS DISTINCT FROM av_before ELSE held IS DISTINCT FROM held_before END""")
+def _(a: Archive):
+    """Every listing stated three times: at a lower price, then sold or missing, then as it was."""
+    k, n = F.col("k"), F.col("batch_order")
+    batch = (a.listings.withColumn("batch_order", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+             .withColumn("price", F.when((n < 2) & (k % 4 == 0), F.col("price") - 500).otherwise(F.col("price")))
+             .withColumn("availability", F.when((n == 1) & (k % 7 == 0), "sold").otherwise(F.col("availability"))).withColumn("http_status", F.when((n == 1) & (k % 33 == 0), 404).otherwise(200)))
+    current = a.listings.withColumn("content_hash", merge.content_hash())
+    return merge.version_observations(current, batch, AS_OF).select("source_id", "listing_key", "version", "price", "availability")
+
+
 @query("notifications", ["listings"], f"""SELECT kind, count(*) AS n FROM (SELECT m.*, unnest(list_filter([CASE WHEN m.created THEN 'new_property' END, CASE WHEN NOT m.created AND m.changed AND m.price IS DISTINCT FROM l.price THEN 'price_change' END,
   CASE WHEN NOT m.created AND m.availability <> l.availability AND m.availability IN ({CLOSED}, 'review') THEN 'availability_change' END], lambda x: x IS NOT NULL)) AS kind FROM ({_MERGE_SQL}) m LEFT JOIN listings l ON m.listing_key = l.listing_key WHERE in_batch) GROUP BY 1""")
 def _(a: Archive):
