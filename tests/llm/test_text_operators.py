@@ -119,6 +119,40 @@ def test_jaccard_join(spark, odd, monkeypatch, small, pivots):
     assert got == {i: (len(sets[i]), parent[i]) for i in sets}
 
 
+def test_jaccard_join_of_a_large_group(spark, monkeypatch):
+    """A group in which few pairs link: its pairs are compared where they lie and do not become rows."""
+    rng, base, texts = random.Random(9), prose(30, 130).split(), []
+    for _ in range(260):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            copy[rng.randrange(130)] = prose(rng.randrange(10 ** 6), 1)
+        texts.append(" ".join(copy))
+    asked, measured = [], jaccard_join.measured
+    monkeypatch.setattr(jaccard_join, "measured", lambda docs, pairs, *rest: asked.append(pairs.count()) or measured(docs, pairs, *rest))
+    got = {r.doc_id: r.component_id for r in jaccard_join.components(docs(spark, rows(*texts))).collect()}
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            k = len(sets[i] & sets[j])
+            if 100 * k >= 80 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert got == dict(enumerate(root)) and len(set(root)) > 20
+    assert sum(asked) < 12 * len(texts)
+
+
+def test_jaccard_join_by_pivots(spark, odd, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MIDDLE", 0)
+    test_jaccard_join(spark, odd, monkeypatch, 3, 2)
+
+
+def test_jaccard_join_keeps_one_of_alike_regions(spark):
+    data = [(r, p) for r, held in {1: (5, 6), 2: (6, 5), 3: (5, 7), 4: (5, 6, 7)}.items() for p in held]
+    left = jaccard_join.unlike_regions(spark.createDataFrame(data, "region bigint, point bigint"))
+    assert sorted(map(tuple, left.collect())) == [(1, 5), (1, 6), (3, 5), (3, 7), (4, 5), (4, 6), (4, 7)]
+
+
 def test_jaccard_join_odd_rows(odd):
     kept = jaccard_join.keep_one(odd)
     assert kept.columns == odd.columns
