@@ -14,6 +14,8 @@ from ..functions.values import (canonical_url, clean_text, currency_of, join_url
                                 parse_number, portal_listing, property_type_of, split_locality, url_part, valid_email)
 
 _LINK = "struct<href:string,text:string,context:string,hint:string,card:string>"
+#: Pages that a task holds taken apart at once.
+HELD = 256
 PARSED = (f"page_id bigint, url string, page_title string, h1 string, description string, nodes array<string>, "
           f"fields map<string,string>, links array<{_LINK}>, labels array<struct<label:string,value:string>>, next_href string")
 
@@ -42,7 +44,7 @@ def parse_pages(pages: DataFrame, fields: dict[str, str] | None = None, next_sel
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from urllib.parse import urlsplit
         from . import html_blocks as H
-        for batch in batches:
+        for batch in (whole.iloc[at:at + HELD] for whole in batches for at in range(0, len(whole), HELD)):
             rows = []
             for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
                 root = H.parse(html)

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..session import cut_lineage
 
 _ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ’", "aaaaaaceeeeiiiinooooouuuuyy'"
 # Words with inner dots ("v.le"), and marks, which no name runs across.
@@ -45,13 +46,17 @@ def places_named(texts: DataFrame, key: list[str], places: DataFrame) -> DataFra
     trie; only what a level matches and a longer name continues goes to the next one. The longest name counts, and words inside
     it begin no other.
     """
-    trie = place_trie(places)
+    # Written, so that its size is known and every level is a join with a small table; popular names would crowd one task otherwise.
+    trie = cut_lineage(place_trie(places))
     deepest = trie.agg(F.max("depth")).first()[0] or 0  # words of the longest name
     cut = texts.select(*key, tokens(F.col("text")).alias("w"))
-    at = cut.select(*key, "w", F.posexplode("w").alias("pos", "word"))
-    before = F.lower(F.get("w", F.col("pos") - 1))
-    begins = at.where(F.col("word").rlike(r"^\p{Lu}") & ~F.coalesce(before.isin(rules.STREET_WORDS), F.lit(False)))
-    open_ = begins.select(*key, "pos", F.transform(F.slice("w", F.col("pos") + 1, F.lit(max(deepest, 1))), fold).alias("next"))
+
+    def begin(word, pos):
+        before = F.lower(F.get("w", pos - 1))
+        begins = word.rlike(r"^\p{Lu}") & ~F.coalesce(before.isin(rules.STREET_WORDS), F.lit(False))
+        return F.when(begins, F.struct(pos.alias("pos"), F.transform(F.slice("w", pos + 1, F.lit(max(deepest, 1))), fold).alias("next")))
+
+    open_ = cut.select(*key, F.explode(F.filter(F.transform("w", begin), lambda x: x.isNotNull())).alias("b")).select(*key, "b.pos", "b.next")
     found = None
     for depth in range(1, deepest + 1):
         level = trie.where(F.col("depth") == depth).drop("depth")

@@ -45,3 +45,19 @@ def test_location_line_then_subject(spark):
     assert located(spark, context="Case a Torino", text="Comodo per Lodi") == (None, "", None)
     assert located(spark, context="Case a Torino e Lodi") == (None, "", None)
     assert located(spark, city="Bollate", address="Via Roma, Milano") == ("Bollate", "", "Via Roma, Milano")
+
+
+def test_cards_are_taken_apart_once(spark):
+    """What names a place is read from written cards: their blocks are not taken apart a second time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    kind = "doc_id string, url string, city string, address string, context string, text string"
+    rows = spark.createDataFrame([("a", "u1", None, None, "Case in vendita a Milano", "Trilocale"), ("b", "u2", None, "Via Po 1, Lodi", "x", "y")], kind).mapInPandas(count, kind)
+    found = cards.card_location(rows, spark.createDataFrame([("Milano",), ("Lodi",)], "city string"))
+    assert {r.doc_id: r.city for r in found.collect()} == {"a": "Milano", "b": "Lodi"}
+    assert seen.value == 2
