@@ -37,3 +37,24 @@ def test_many_narrow_searches_make_no_pairs_that_break_an_interval(spark):
     rows = spark.range(200).selectExpr("concat('l', id) AS id", "'milano' AS city", "1000D * (500 * id + 1) + 100 AS price", "40D + id % 40 AS surface", "'listed' AS availability", "'sale' AS transaction_type", "'EUR' AS currency")
     found = screening.interval_links(rows, searches)
     assert found.count() == sum(50 <= 40 + i % 40 <= 60 for i in range(200))
+
+
+def test_matching_equals_screened_links_and_decides_where_pairs_meet(spark, monkeypatch):
+    monkeypatch.setattr(screening, "PIECE", 4)
+    rng = random.Random(5)
+    rows = [listing(f"l{rng.randrange(70)}", rng.choice([None, 1e5, rng.uniform(8e4, 3e5)]), surface=rng.choice([None, 50.0, rng.uniform(40, 200)]), city=rng.choice(["Milano", "ROMA", None]), address=rng.choice(["Via 3", None]),
+                    availability=rng.choice(["listed", "listed", "sold"]), is_auction=rng.random() < 0.3, description=rng.choice(["", "Vendita diretta da proprietario, senza agenzie."])) for _ in range(90)]
+    scored = frame(spark, rows).selectExpr("*", "CASE WHEN hash(id) % 3 <> 0 THEN CAST(hash(id) % 9 AS double) END AS discount", "CAST(length(id) AS double) AS score", "IF(hash(id) % 2 = 0, '02123456', NULL) AS telephone",
+                                           "CAST(NULL AS string) AS email", "md5(id) AS content_hash", "IF(hash(id) % 4 = 0, NULL, array(struct(IF(hash(id) % 2 = 0, 'core', 'value_add') AS strategy, 'x' AS evidence))) AS strategies")
+    searches = spark.range(80).selectExpr("concat('a', id % 60) AS agent_id", "'' AS agent_name", "IF(id % 3 = 0, 'milano', 'Roma') AS agent_city", "id % 9 <> 0 AS active", "60000D + 1000 * (id % 50) AS min_price", "IF(id % 4 = 0, NULL, 250000D) AS max_price",
+                                          "30D + id % 40 AS min_surface", "CASE WHEN id % 3 = 0 THEN 0D WHEN id % 3 = 1 THEN 180D END AS max_surface", "IF(id % 2 = 0, array('office'), NULL) AS property_types", "IF(id % 5 = 0, array('core'), NULL) AS strategies",
+                                          "id % 7 = 0 AS opportunity_only", "IF(id % 6 = 0, 'require_direct', 'any') AS contact_policy", "IF(id % 8 = 0, 2D, NULL) AS min_discount", "id % 4 <> 1 AS include_auctions", "IF(id % 10 = 0, 'via 3', '') AS location_query",
+                                          "CASE WHEN id % 7 = 1 THEN 'Criterio A' WHEN id % 7 = 2 THEN NULL ELSE '' END AS custom_prompt")
+    checks = scored.where("hash(id) % 3 = 0").select("id", "content_hash", screening.T.prompt_key(F.lit("Criterio A")).alias("prompt_key"), F.when(F.col("id") > "l4", "matched").otherwise("to_verify").alias("status"), F.lit("").alias("reason"))
+    for given in (checks, None):
+        want = screening.screen(scored, searches, screening.interval_links(scored, searches), given).where("fit").select("agent_id", "id", "score")
+        got = screening.matching(scored, searches, given)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
+        # The last join is the one of listings and searches: no pair is shuffled for a rule.
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert "_piece" in plan[plan.index("Join"):].split("\n")[0]
