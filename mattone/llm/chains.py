@@ -5,6 +5,10 @@
 2. Seeds are joined on their hash. Every occurrence is matched with the seed's first one (smallest document, smallest place),
    not with all others: a passage in n documents costs n matches and not n squared. The first one comes from a grouping
    with map-side combine, the join back is one that Spark can split where a seed is very frequent.
+   The seeds of one passage may have their first ones in several documents, one in each. So what no chain held in the first
+   round is asked again by pairs: any two seeds that a document shares with others and holds at most ``MOST_GAP`` words
+   apart, at least one of them left over somewhere, are matched with the first document that holds both so. Whatever two
+   documents could chain is made of such pairs, so each of its seeds gets a chain, if perhaps with a third document.
 3. Per document and partner, matches are chained in order in both texts: score = K + max over earlier matches of
    (score - GAP * words skipped in both), the maximum taken from a Fenwick tree over the partner's places.
 4. Chains are aligned on the words themselves: equal stretches by comparison, differing ones by their longest common
@@ -72,10 +76,45 @@ def seeds(docs: DataFrame) -> DataFrame:
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """(doc_id, place, partner, at): each occurrence of a seed with the seed's first one in another document."""
+    """(seed, doc_id, place, partner, at): each occurrence of a seed with the seed's first one in another document."""
     first = (found.groupBy("seed").agg(F.min(F.struct("doc_id", "place")).alias("_first"), F.max("doc_id").alias("_last"))
              .where("_first.doc_id <> _last").select("seed", F.col("_first.doc_id").alias("partner"), F.col("_first.place").alias("at")))
-    return found.join(first, "seed").where("doc_id <> partner").select("doc_id", "place", "partner", "at")
+    return found.join(first, "seed").where("doc_id <> partner").select("seed", "doc_id", "place", "partner", "at")
+
+
+def pair_matches(matched: DataFrame, chain: DataFrame) -> DataFrame:
+    """(doc_id, place, partner, at) of the seeds of near pairs with the first other document that holds the pair.
+
+    Only pairs with a seed that some document holds outside of all its chains.
+    """
+    held = chain.select("doc_id", F.explode("xs").alias("place")).distinct()
+    left = matched.join(held, ["doc_id", "place"], "left_anti").select("seed", F.lit(True).alias("open")).distinct()
+    shared = matched.select("seed", "doc_id", "place").union(matched.select("seed", "partner", "at").distinct())
+    marked = shared.join(left, "seed", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    # A document's shared seeds are no more than its own seeds.
+    rows = marked.groupBy("doc_id").agg(F.collect_list(F.struct("place", "seed", "open")).alias("s"), F.max("open").alias("any")).where("any").select("doc_id", "s")
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                s = batch.column(1)[r].values
+                place, seed, is_open = (s.field(c).to_numpy(zero_copy_only=False) for c in ("place", "seed", "open"))
+                order = np.argsort(place, kind="stable")
+                place, seed, is_open = place[order], seed[order].view(np.uint64), is_open[order]
+                step, at = 1, np.arange(len(place))
+                while len(at := at[at + step < len(place)]) and len(at := at[place[at + step] - place[at] <= MOST_GAP]):
+                    one = at[is_open[at] | is_open[at + step]]
+                    if len(one):
+                        key = mix(mix(seed[one]) + seed[one + step])
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(one), batch.column(0)[r].as_py(), np.int64)), pa.array(place[one]), pa.array(place[one + step])],
+                                                         names=["seed", "doc_id", "place", "next"])
+                    step += 1
+
+    pairs = cut_lineage(rows.mapInArrow(pair, "seed bigint, doc_id bigint, place int, next int"))
+    first = (pairs.groupBy("seed").agg(F.min(F.struct("doc_id", "place", "next")).alias("_first"), F.max("doc_id").alias("_last"))
+             .where("_first.doc_id <> _last").select("seed", F.col("_first.doc_id").alias("partner"), F.col("_first.place").alias("at"), F.col("_first.next").alias("next_at")))
+    both = F.explode(F.array(F.struct("place", "at"), F.struct(F.col("next").alias("place"), F.col("next_at").alias("at")))).alias("m")
+    return pairs.join(first, "seed").where("doc_id <> partner").select("doc_id", "partner", both).select("doc_id", "m.place", "partner", "m.at").distinct()
 
 
 class Fenwick:
@@ -280,7 +319,9 @@ def pieces(docs: DataFrame, chain: DataFrame) -> DataFrame:
 
 def passages(docs: DataFrame) -> DataFrame:
     """doc_id, start_word, end_word, n_words, n_pieces, partner (smallest other document), duplicate (the partner comes first)."""
-    found = cut_lineage(pieces(docs, chains(matches(seeds(docs)))))
+    matched = cut_lineage(matches(seeds(docs)))
+    chain = cut_lineage(chains(matched))
+    found = cut_lineage(pieces(docs, chain.union(chains(pair_matches(matched, chain)))))
     sides = found.select("doc_id", "start", "stop", "partner").union(found.select("partner", "start_there", "stop_there", "doc_id"))
     # One row per distinct span: what a document of a very frequent passage holds is bounded by its own length.
     spans = sides.groupBy("doc_id", "start", "stop").agg(F.min("partner").alias("partner"))

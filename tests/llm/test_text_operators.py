@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
@@ -173,6 +174,18 @@ def test_passages(spark):
     assert chains.passages(docs(spark, [])).count() == 0
 
 
+def test_passage_whose_seeds_come_first_in_other_documents(spark):
+    shared = prose(90, 90)
+    _, place, _ = next(chains.minimizers(w) for w in chains.slices(pa.array([shared])))
+    # One document for each seed, which holds no more than that; as many seeds as documents.
+    alone = [" ".join(shared.split()[p:p + chains.K]) for p in place]
+    data = rows(*alone, prose(91, 60) + " " + shared + " " + prose(92, 40), shared + " " + prose(93, 50))
+    n = len(alone)
+    got = {r.doc_id: r for r in chains.passages(docs(spark, data)).collect()}
+    assert n > 8 and set(got) == {n, n + 1} and got[n].partner == n + 1
+    assert abs(got[n].start_word - 60) <= 12 and abs(got[n].end_word - 150) <= 12 and got[n + 1].start_word <= 12 and got[n + 1].n_words >= 66
+
+
 def test_passages_apart_in_one_chain(spark):
     blocks = [prose(70 + i, 50) for i in range(3)]
     page = lambda seed: f"{blocks[0]} {prose(seed, 30)} {blocks[1]} {prose(seed + 1, 30)} {blocks[2]}"
