@@ -290,7 +290,7 @@ def parts(px: np.ndarray, py: np.ndarray) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, chain: DataFrame) -> DataFrame:
-    """(doc_id, start, stop, partner, start_there, stop_there, equal) of the parts of chains that align well enough."""
+    """(doc_id, start, stop, partner, start_there, stop_there, equal, late) of the parts of chains that align well enough."""
     def bounds(c, lo, hi):
         first, last = F.get(c, F.lit(0)), F.element_at(c, -1)
         return {lo: F.greatest(F.lit(0), (F.floor(first / AROUND) - 1) * AROUND).cast("int"), hi: ((F.ceil((last + K) / AROUND) + 1) * AROUND).cast("int")}
@@ -301,7 +301,7 @@ def pieces(docs: DataFrame, chain: DataFrame) -> DataFrame:
     words = cut_lineage(segments(docs, asked))
     here = words.select("doc_id", F.col("lo").alias("xlo"), F.col("hi").alias("xhi"), F.col("words").alias("x"))
     there = words.select(F.col("doc_id").alias("partner"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"), F.col("words").alias("y"))
-    both = ranged.join(here, ["doc_id", "xlo", "xhi"]).join(there, ["partner", "ylo", "yhi"]).select("doc_id", "partner", "xs", "ys", "xlo", "ylo", "x", "y")
+    both = ranged.join(here, ["doc_id", "xlo", "xhi"]).join(there, ["partner", "ylo", "yhi"]).select("doc_id", "partner", "xs", "ys", "xlo", "ylo", "x", "y", F.col("late").cast("bigint"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,27 +310,30 @@ def pieces(docs: DataFrame, chain: DataFrame) -> DataFrame:
                 doc, partner, xs, ys, xlo, ylo = (batch.column(i)[r].as_py() for i in range(6))
                 x, y = (batch.column(i)[r].values.to_numpy() for i in (6, 7))
                 px, py = aligned([p - xlo for p in xs], [p - ylo for p in ys], x, y)
-                out += [(doc, int(px[i]) + xlo, int(px[j]) + xlo + 1, partner, int(py[i]) + ylo, int(py[j]) + ylo + 1, j - i + 1) for i, j in parts(px, py)]
+                out += [(doc, int(px[i]) + xlo, int(px[j]) + xlo + 1, partner, int(py[i]) + ylo, int(py[j]) + ylo + 1, j - i + 1, batch.column(8)[r].as_py()) for i, j in parts(px, py)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "start", "stop", "partner", "start_there", "stop_there", "equal"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "start", "stop", "partner", "start_there", "stop_there", "equal", "late"])
 
-    return both.mapInArrow(align, "doc_id bigint, start bigint, stop bigint, partner bigint, start_there bigint, stop_there bigint, equal bigint")
+    return both.mapInArrow(align, "doc_id bigint, start bigint, stop bigint, partner bigint, start_there bigint, stop_there bigint, equal bigint, late bigint")
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """doc_id, start_word, end_word, n_words, n_pieces, partner (smallest other document), duplicate (the partner comes first)."""
     matched = cut_lineage(matches(seeds(docs)))
     chain = cut_lineage(chains(matched))
-    found = cut_lineage(pieces(docs, chain.union(chains(pair_matches(matched, chain)))))
-    sides = found.select("doc_id", "start", "stop", "partner").union(found.select("partner", "start_there", "stop_there", "doc_id"))
+    found = cut_lineage(pieces(docs, chain.withColumn("late", F.lit(False)).union(chains(pair_matches(matched, chain)).withColumn("late", F.lit(True)))))
+    sides = found.select("doc_id", "start", "stop", "partner", "late").union(found.select("partner", "start_there", "stop_there", "doc_id", "late"))
     # One row per distinct span: what a document of a very frequent passage holds is bounded by its own length.
-    spans = sides.groupBy("doc_id", "start", "stop").agg(F.min("partner").alias("partner"))
+    spans = sides.groupBy("doc_id", "start", "stop").agg(F.min("partner").alias("partner"), F.min("late").alias("late"))
     so_far = Window.partitionBy("doc_id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     until = F.coalesce(F.max("stop").over(so_far), F.lit(-1_000_000))
-    marked = spans.withColumn("_until", until).withColumn("_new", (F.col("start") > F.col("_until") + TOUCH).cast("int"))
+    # A piece of a pair within one of the first round is no piece more.
+    first_round = F.max(F.when(F.col("late") == 0, F.col("stop"))).over(Window.partitionBy("doc_id").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = (F.col("late") == 0) | (F.col("stop") > F.coalesce(first_round, F.lit(-1)))
+    marked = spans.withColumn("_counted", counted.cast("bigint")).withColumn("_until", until).withColumn("_new", (F.col("start") > F.col("_until") + TOUCH).cast("int"))
     numbered = marked.withColumn("_island", F.sum("_new").over(Window.partitionBy("doc_id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)))
     covered = F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "_until")))
     return (numbered.groupBy("doc_id", "_island")
-            .agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), covered.alias("n_words"), F.count(F.lit(1)).alias("n_pieces"), F.min("partner").alias("partner"))
+            .agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), covered.alias("n_words"), F.sum("_counted").alias("n_pieces"), F.min("partner").alias("partner"))
             .where(F.col("n_words") >= LEAST)
             .select("doc_id", "start_word", "end_word", "n_words", "n_pieces", "partner", (F.col("partner") < F.col("doc_id")).alias("duplicate")))
