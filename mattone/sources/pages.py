@@ -163,8 +163,9 @@ def declared_dates_contacts(chosen: DataFrame) -> DataFrame:
 
 def portal_fields(parsed: DataFrame) -> DataFrame:
     """Label and value pairs of the known page layouts as one map per page; ranges refuse the page."""
-    host, path = url_part("url", "host"), url_part("url", "path")
-    known_page = portal_listing(host, path)
+    parsed = parsed.withColumns({"_host": url_part("url", "host"), "_path": url_part("url", "path")})
+    parsed = parsed.withColumn("_known", portal_listing(F.col("_host"), F.col("_path")))
+    host, known_page = F.col("_host"), F.col("_known")
     label = lambda name: F.try_element_at(F.filter("labels", lambda x: x["label"] == name), F.lit(1))["value"]
     feature = lambda pattern: F.try_element_at(F.filter("labels", lambda x: (x["label"] == "feature") & x["value"].rlike(pattern)), F.lit(1))["value"]
     places = F.transform(F.filter("labels", lambda x: x["label"] == "location"), lambda x: x["value"])
@@ -197,7 +198,8 @@ def portal_fields(parsed: DataFrame) -> DataFrame:
     for name in ("surface", "rooms", "bathrooms"):
         ranged = ranged | (imm & several(values[name]))
     found = F.when(known_page, F.map_from_entries(F.filter(entries, lambda e: e.isNotNull())))
-    return parsed.withColumn("portal", found).withColumn("refused", F.when(known_page & ranged, "several units or a range of values"))
+    return (parsed.withColumn("portal", found).withColumn("refused", F.when(known_page & ranged, "several units or a range of values"))
+            .drop("_host", "_path", "_known"))
 
 
 def scan_pages(pages: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
@@ -222,30 +224,32 @@ def scan_pages(pages: DataFrame, fields: dict[str, str] | None = None) -> DataFr
         "address": [portal("address"), css("address"), street],
         "city": [portal("city"), css("city"), F.col("place.addressLocality"), split_locality(css("locality"))["city"]],
         "zone": [portal("zone"), css("zone"), _additional("zone"), split_locality(css("locality"))["zone"]],
-        "property_type": [portal("property_type"), *[F.when(v != "unknown", v) for v in (
-            property_type_of(css("property_type")), property_type_of(_additional("property_type")),
-            lookup(rules.TYPE_MAP, F.try_element_at("types", F.lit(1))))]],
-        "condition": [F.when(v != "unknown", v) for v in (normalize_condition(portal("condition")), normalize_condition(css("condition")),
-                                                          normalize_condition(_additional("condition")))],
-        "area_basis": [portal("area_basis"), *[F.when(v != "unknown", v) for v in (lookup(rules.BASIS_MAP, css("area_basis")),
-                                                                                    lookup(rules.BASIS_MAP, _additional("area_basis")))]],
-        "transaction_type": [portal("transaction_type"), *[F.when(v != "unknown", v) for v in (
-            lookup(rules.TRANSACTION_MAP, css("transaction_type")), lookup(rules.TRANSACTION_MAP, _additional("transaction_type")),
-            F.when(business == "sell", F.lit("sale")).when(business == "leaseout", "rent"))]],
+        "property_type": [portal("property_type"), property_type_of(css("property_type")), property_type_of(_additional("property_type")),
+                          lookup(rules.TYPE_MAP, F.try_element_at("types", F.lit(1)))],
+        "condition": [normalize_condition(portal("condition")), normalize_condition(css("condition")), normalize_condition(_additional("condition"))],
+        "area_basis": [portal("area_basis"), lookup(rules.BASIS_MAP, css("area_basis")), lookup(rules.BASIS_MAP, _additional("area_basis"))],
+        "transaction_type": [portal("transaction_type"), lookup(rules.TRANSACTION_MAP, css("transaction_type")),
+                             lookup(rules.TRANSACTION_MAP, _additional("transaction_type")),
+                             F.when(business == "sell", F.lit("sale")).when(business == "leaseout", "rent")],
         "currency": [portal("currency"), currency_of(css("currency")), F.when(css("price").rlike("(?i)€|EUR"), "EUR"),
                      F.when(F.col("o.priceCurrency").rlike("^[A-Z]{3}$"), F.col("o.priceCurrency"))],
         "latitude": [F.col("geo.latitude")], "longitude": [F.col("geo.longitude")],
     }
     fallback = {"title": F.col("h1"), "description": F.col("description")}
     numbers = ("price", "surface", "rooms", "bathrooms")
-    out = rows
-    picked = {}
+    picked, given = {}, {}
     for field, values in options.items():
         values = [*values, fallback[field]] if field in fallback else values
-        if field in numbers:
-            values = [parse_number(v).cast("string") for v in values]
-        # Each value is one column before anything reads it.
-        out = out.withColumn("p_" + field, _some(*values))
+        given |= {f"v_{field}_{i}": parse_number(v) if field in numbers else v for i, v in enumerate(values)}
+    # Each value is one column before anything reads it.
+    out = rows.withColumns(given)
+    for field in options:
+        values = [F.col(name) for name in given if name.rpartition("_")[0] == "v_" + field]
+        if field in ("property_type", "condition", "area_basis", "transaction_type"):
+            values = [F.when(v != "unknown", v) for v in values]
+        picked[field] = F.coalesce(*values) if field in numbers else _some(*values)
+    out = out.withColumns({"p_" + field: value for field, value in picked.items()})
+    for field in picked:
         picked[field] = F.col("p_" + field)
         if field in ("title", "description", "address", "city", "zone"):
             picked[field] = clean_text(picked[field])
