@@ -25,10 +25,13 @@ def classify_texts(texts: DataFrame) -> DataFrame:
 
 
 def supported_numbers(claims: DataFrame, texts: DataFrame) -> DataFrame:
-    """Claims (claim_id, doc_id, value) with whether the figure is printed and on which area basis."""
-    joined = claims.join(texts.select("doc_id", "text"), "doc_id")
+    """Claims (claim_id, doc_id, value) with whether the figure is printed and on which area basis.
+
+    What holds of a text whatever the claim is found once per text, before it meets its claims.
+    """
+    joined = claims.join(texts.select("doc_id", "text", T.bases_named(F.col("text")).alias("_named")), "doc_id")
     return joined.select("claim_id", "doc_id", "value", T.number_supported(F.col("value"), F.col("text")).alias("printed"),
-                         F.array_join(T.basis_supported(F.col("value"), F.col("text")), ",").alias("bases"))
+                         F.array_join(T.basis_supported(F.col("value"), F.col("text"), F.col("_named")), ",").alias("bases"))
 
 
 def supported_conditions(claims: DataFrame, texts: DataFrame) -> DataFrame:
