@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.expr import closed, known, stamp
+from ..functions.expr import all_of, closed, known, stamp
+from ..session import over_tasks
 
 CONTENT = ["url", "title", "city", "zone", "address", "property_type", "condition", "price", "surface", "rooms", "bathrooms",
            "latitude", "longitude", "area_basis", "currency", "transaction_type", "description", "availability", "is_auction"]
@@ -44,7 +45,15 @@ def _statements(batch: DataFrame) -> tuple[DataFrame, list[str]]:
     before, so_far = in_order.rowsBetween(Window.unboundedPreceding, -1), in_order.rowsBetween(Window.unboundedPreceding, 0)
     gone = F.coalesce(F.col("http_status").isin(404, 410), F.lit(False))
     said = F.when(gone, F.lit("review")).when(closed(), F.col("availability"))
-    rows = batch.select(*KEY, *columns).distinct().withColumn("gone", gone).withColumn("_prior", F.last(said, ignorenulls=True).over(before))
+    # Equal statements of a key stand side by side in this order and go there: an aggregate would hold whole rows of the input in
+    # each task ahead of the shuffle. Adding zero makes -0.0 the 0.0 that it equals.
+    zero = {f.name: F.lit(0).cast(f.dataType) for f in batch.select(*columns).schema if f.dataType.typeName() in ("double", "float")}
+    # Text that packs well would else be put together to a few tasks that sort far more than they read.
+    rows = over_tasks(batch.select(*KEY, *[(F.col(c) + zero[c]).alias(c) if c in zero else F.col(c) for c in columns]), *KEY)
+    # Column by column: a struct of them would be sorted beside them.
+    again = all_of([F.row_number().over(in_order) > 1, *[F.lag(c).over(in_order).eqNullSafe(F.col(c)) for c in columns]])
+    rows = rows.withColumn("_again", again).where("NOT _again").drop("_again")
+    rows = rows.withColumn("gone", gone).withColumn("_prior", F.last(said, ignorenulls=True).over(before))
     return rows.withColumn("held", F.last(F.when(~F.col("gone"), F.struct(*CONTENT, "_prior")), ignorenulls=True).over(so_far)), columns
 
 

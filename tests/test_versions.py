@@ -56,3 +56,11 @@ def test_every_changed_version_is_one_observation(spark):
     merged = merge.merge_listings(current, rows, NOW).collect()
     assert {r.listing_key: (r.price, r.availability) for r in merged} == after
     assert merge.version_observations(current, rows.limit(0), NOW).count() == 0
+
+
+def test_repeated_statements_go_without_an_aggregate_of_whole_rows(spark):
+    old = frame(spark, [listing("a", 1.0)]).withColumn("content_hash", merge.content_hash())
+    rows = frame(spark, [listing("a", 0.0), listing("a", -0.0), listing("a", 0.0), listing("b", 2.0), listing("b", 2.0)])
+    found = merge.version_observations(old, rows, NOW)
+    assert sorted((r.listing_key, r.version, r.price) for r in found.collect()) == [("a", 1, 0.0), ("b", 1, 2.0)]
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
