@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.expr import closed, half_up
+from ..functions.expr import closed, half_up, let
 from ..functions.values import norm_email, norm_phone
 from ..session import cut_lineage
 from .clusters import connected_components
@@ -19,11 +19,16 @@ def contact_keys(listings: DataFrame) -> DataFrame:
         listings = listings.withColumn("organization", F.lit(None).cast("string"))
     rows = (listings.withColumn("phone", norm_phone("telephone")).withColumn("mail", norm_email("email"))
             .withColumn("name", squeeze("contact_name")).withColumn("organization", squeeze("organization")))
-    direct = F.filter(F.array(F.when(F.col("phone") != "", F.concat(F.lit("tel:"), "phone")),
-                              F.when(F.col("mail") != "", F.concat(F.lit("mail:"), "mail"))), lambda x: x.isNotNull())
-    said = F.when(F.col("organization") != "", F.col("organization")).otherwise(F.col("name"))
-    named = F.when(said != "", F.array(F.concat(F.lit("name:"), F.lower(said)))).otherwise(F.array().cast("array<string>"))
-    return rows.withColumn("keys", F.when(F.size(direct) > 0, direct).otherwise(named))
+
+    def keys(c):
+        direct = F.filter(F.array(F.when(c["phone"] != "", F.concat(F.lit("tel:"), c["phone"])),
+                                  F.when(c["mail"] != "", F.concat(F.lit("mail:"), c["mail"]))), lambda x: x.isNotNull())
+        said = F.when(c["organization"] != "", c["organization"]).otherwise(c["name"])
+        named = F.when(said != "", F.array(F.concat(F.lit("name:"), F.lower(said)))).otherwise(F.array().cast("array<string>"))
+        return let(direct, lambda d: F.when(F.size(d) > 0, d).otherwise(named))
+
+    # One element exploded: what is asked of the keys later cannot be pushed below, where it would compute them again.
+    return rows.withColumn("keys", F.explode(F.array(let(F.struct("phone", "mail", "organization", "name"), keys))))
 
 
 def advertiser_components(listings: DataFrame) -> DataFrame:

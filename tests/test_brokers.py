@@ -61,3 +61,11 @@ def test_filters_and_order(spark):
 def test_directory_of_nothing(spark):
     assert directory(spark, ROWS[5:7]).count() == 0
     assert brokers.broker_page(directory(spark, ROWS).where(F.lit(False))).count() == 0
+
+
+def test_keys_are_made_once_however_often_they_are_asked(spark):
+    df = advertised(spark, [("a", dict(telephone="+39 02 123456", email=" A@x.it ", contact_name="N")), ("b", {})])
+    rows = brokers.contact_keys(df).where(F.size("keys") > 0).withColumn("key", F.col("keys")[0])
+    joined = rows.join(spark.createDataFrame([("tel:02123456", 1)], "key string, n int"), "key").select("id", "keys", "n")
+    assert [tuple(r) for r in joined.collect()] == [("a", ["tel:02123456", "mail:a@x.it"], 1)]
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("mail:") == 1
