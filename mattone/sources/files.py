@@ -50,7 +50,8 @@ def _read(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
 
     Every file has a header of its own: columns may come in any order and the separator may differ from file to file.
     """
-    headers = _headers(spark, path)
+    place = lambda n: F.array_position("names", F.lit(n)).cast("int") - 1
+    headers = _headers(spark, path).withColumn("places", F.array(*[place(n) for n in wanted]))
     found = headers.where("refusal IS NULL").groupBy("sep").agg(F.max(F.size("names")).alias("n"), F.collect_list("file").alias("files")).collect()
     refused = headers.where("refusal IS NOT NULL").select(*[F.lit(None).cast("string").alias(n) for n in wanted], F.col("refusal").alias("_broken"))
     out = refused
@@ -59,14 +60,17 @@ def _read(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
         columns = [f"_c{i}" for i in range(part["n"] + 1)]
         # Quoted line breaks need whole-file records; many files, not one big one, give parallelism.
         df = (spark.read.schema(", ".join(f"{c} string" for c in columns)).option("header", False).option("sep", part["sep"]).option("multiLine", True).option("escape", '"')
-              .option("mode", "PERMISSIVE").csv(part["files"]).select(F.array(*columns).alias("v"), F.col("_metadata.file_path").alias("file")))
-        rows = df.join(headers.select("file", "names"), "file")
-        clean = F.transform("v", lambda x: F.trim(F.regexp_replace(x, "^\ufeff", "")))
-        rows = rows.where(~F.slice(clean, F.lit(1), F.size("names")).eqNullSafe(F.col("names")))  # the header itself
-        rows = rows.where(F.exists("v", lambda x: x.isNotNull()))
+              .option("mode", "PERMISSIVE").csv(part["files"]).where(F.coalesce(*columns).isNotNull())
+              .select(F.array(*columns).alias("v"), F.col("_metadata.file_path").alias("file")))
+        # One short row per file of those listed above: dealt by file, the records of many files would meet in a few tasks.
+        rows = df.join(F.broadcast(headers.select("file", "names", "places")), "file")
+        clean = lambda x: F.trim(F.regexp_replace(x, "^\ufeff", ""))
+        # The header itself; most other rows differ from it in their first value.
+        begins = clean(F.get("v", F.lit(0))).eqNullSafe(F.get("names", F.lit(0)))
+        rows = rows.where(~(begins & F.slice(F.transform("v", clean), F.lit(1), F.size("names")).eqNullSafe(F.col("names"))))
         extra = F.exists(F.slice("v", F.size("names") + 1, F.size("v")), lambda x: x.isNotNull())
-        # A name that the file lacks has place 0, which get() reads as place -1: null.
-        value = lambda n: F.get("v", F.array_position("names", n).cast("int") - 1)
+        # A name that the file lacks has place -1, which get() reads as null.
+        value = lambda n: F.get("v", F.get("places", F.lit(wanted.index(n))))
         text = lambda n: F.when(value(n) != "", value(n))
         out = out.unionByName(rows.select(*[text(n).alias(n) for n in wanted], F.when(extra, F.lit("more values than columns")).alias("_broken")))
     return out
