@@ -204,3 +204,10 @@ def test_merge_keeps_first_seen_and_closed_state(spark):
     again = merge.merge_listings(merge.merge_listings(old, batch, NOW), batch, NOW)
     assert again.where("changed").count() == 0
     assert {r["kind"] for r in merge.notifications(merge.merge_listings(old, batch, NOW), "r").collect()} == {"new_property", "price_change"}
+
+
+def test_offers_are_put_together_once_for_both_sides_of_their_pairs(spark):
+    rows = frame(spark, [listing("a", surface=100.0), listing("b", surface=101.0, source_id="s2"), listing("c", surface=100.0)])
+    pairs = clusters.duplicate_candidates(rows)
+    assert [tuple(r) for r in pairs.collect()] == [("a", "b", 2, 1, 2)]
+    assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
