@@ -58,3 +58,20 @@ def test_matching_equals_screened_links_and_decides_where_pairs_meet(spark, monk
         # The last join is the one of listings and searches: no pair is shuffled for a rule.
         plan = got._jdf.queryExecution().sparkPlan().toString()
         assert "_piece" in plan[plan.index("Join"):].split("\n")[0]
+
+
+def test_a_place_is_found_without_a_pattern_per_pair(spark):
+    texts = ["Via 3", "via  3, interno", "Via 33", "Corso Via-3", "via_3", "la_via 3", "Via  Dante Alighieri 3", "via dante_alighieri", "Città Alta", "citta alta", "", None, "È via", "via"]
+    queries = ["via 3", "VIA", "", None, "...", "- via 3 -", "dante alighieri", "via_3", "città", "3", "via dante"]
+    rows = [listing(f"l{i}", zone=a, address=b, title="Casa") for i, (a, b) in enumerate([(t, None) for t in texts] + [(None, t) for t in texts] + [("via", "3"), ("x_y", "Via 3")])]
+    scored = frame(spark, rows).selectExpr("*", "5D AS discount", "1D AS score", "'02123456' AS telephone", "CAST(NULL AS string) AS email", "md5(id) AS content_hash", "CAST(NULL AS array<struct<strategy: string, evidence: string>>) AS strategies")
+    searches = spark.createDataFrame([(f"a{i}", q) for i, q in enumerate(queries)], "agent_id string, location_query string").selectExpr(
+        "*", "'' AS agent_name", "'Milano' AS agent_city", "true AS active", "0D AS min_price", "CAST(NULL AS double) AS max_price", "0D AS min_surface", "CAST(NULL AS double) AS max_surface", "CAST(NULL AS array<string>) AS property_types",
+        "CAST(NULL AS array<string>) AS strategies", "false AS opportunity_only", "'any' AS contact_policy", "CAST(NULL AS double) AS min_discount", "true AS include_auctions", "'' AS custom_prompt")
+    want = screening.screen(scored, searches, screening.interval_links(scored, searches)).where("fit").select("agent_id", "id", "score")
+    got = screening.matching(scored, searches)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.where("agent_id IN ('a0', 'a1', 'a7')").count() > 8
+    # Texts are put in lower case and taken apart once per listing or search, never per pair.
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    pair = plan[plan.index("Join"):].split("\n")[0]
+    assert "_piece" in pair and "lower(" not in pair and "regexp_extract" not in pair
