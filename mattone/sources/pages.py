@@ -49,7 +49,7 @@ def parse_pages(pages: DataFrame, fields: dict[str, str] | None = None, next_sel
             for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
                 root = H.parse(html)
                 first = lambda s: next(iter(H.select(root, s)), None)
-                host = urlsplit(url).hostname or ""
+                host = (urlsplit(url).hostname or "") if any(known in (url or "").lower() for known in PORTAL_FIELDS) else ""
                 values = {}
                 for name, selector in {**PORTAL_FIELDS.get(host, {}), **fields}.items():
                     node = first(selector)
@@ -61,9 +61,8 @@ def parse_pages(pages: DataFrame, fields: dict[str, str] | None = None, next_sel
                 labels += [{"label": "feature", "value": li.text()} for li in H.select(root, ".details-property_features li")]
                 labels += [{"label": "location", "value": n.text()} for n in H.select(root, 'button [class*="LocationInfo_location__"]')]
                 nxt = first(next_selector) if next_selector else None
-                rows.append({"page_id": page_id, "url": url, "page_title": title.text() if title else None, "h1": h1.text() if h1 else None,
-                             "description": meta.attrs.get("content") if meta else None, "nodes": H.json_nodes(root), "fields": values,
-                             "links": H.page_links(root, url), "labels": labels, "next_href": nxt.attrs.get("href") if nxt else None})
+                rows.append((page_id, url, title.text() if title else None, h1.text() if h1 else None, meta.attrs.get("content") if meta else None, H.json_nodes(root), values,
+                             H.page_links(root, url), labels, nxt.attrs.get("href") if nxt else None))
             yield pd.DataFrame(rows, columns=["page_id", "url", "page_title", "h1", "description", "nodes", "fields", "links", "labels", "next_href"])
 
     return pages.select("page_id", "url", "html").mapInPandas(read, PARSED)
@@ -77,17 +76,22 @@ def _some(*options: Column) -> Column:
     return F.coalesce(*[F.when(o != "", o) for o in options])
 
 
+_NODE = ("name string, description string, floorSize string, address string, geo string, price string, numberOfRooms string, "
+         "numberOfBathroomsTotal string, additionalProperty string, datePosted string, datePublished string, `@type` string, "
+         "seller string, offeredBy string, broker string, offers string, url string, `@id` string, mainEntityOfPage string")
+
+
 def _type_names(node: Column) -> Column:
-    """Types of a node, a single one or a list, in lower case."""
-    raw = _json(node, "$['@type']")
+    """Types of an opened node, a single one or a list, in lower case."""
+    raw = node["@type"]
     listed = F.from_json(raw, "array<string>")
     return F.transform(F.when(raw.startswith("["), listed).otherwise(F.array(raw)), lambda t: F.lower(t))
 
 
-def _first_of(node: Column, path: str) -> Column:
-    """The object under a path, or the first object of the list there."""
-    raw = _json(node, path)
-    return F.when(raw.startswith("["), _json(node, path + "[0]")).otherwise(raw)
+def _first_offer(node: Column) -> Column:
+    """The offer of an opened node, or the first of a list of them."""
+    raw = node["offers"]
+    return F.when(raw.startswith("["), _json(raw, "$[0]")).otherwise(raw)
 
 
 def page_identity(url: Column) -> Column:
@@ -95,43 +99,40 @@ def page_identity(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^?#]*[^?#/])", 1))
 
 
-def same_page(node: Column, path: str) -> Column:
-    """Whether the address under ``path`` of a node is this page, absolute or from the root."""
-    ref = _json(node, path)
+def same_page(ref: Column) -> Column:
+    """Whether an address is this page, absolute or from the root."""
     return F.when(ref.startswith("/"), F.col("page").endswith(F.lower(F.regexp_extract(ref, r"^([^?#]*[^?#/])", 1)))).otherwise(page_identity(ref) == F.col("page"))
 
 
 def choose_node(parsed: DataFrame) -> DataFrame:
     """The structured-data object that describes the listing: the one with most of six fields.
 
-    Objects that name another page are skipped; ``offer`` may sit on a wrapper.
+    Every object is read once, into ``opened``. Objects that name another page are skipped; ``offer`` may sit on a wrapper.
     """
-    own = F.filter("nodes", lambda n: _json(n, "$.url").isNull() | (same_page(n, "$.url")))
+    out = parsed.withColumn("page", page_identity(F.col("url"))).withColumn("opened", F.transform("nodes", lambda n: F.from_json(n, _NODE)))
+    out = out.withColumn("own", F.filter("opened", lambda n: n["url"].isNull() | same_page(n["url"])))
     accepted = [*rules.TYPE_MAP, "realestatelisting", "product", "accommodation", "place"]
     weighed = F.transform(F.filter("own", lambda n: F.arrays_overlap(_type_names(n), F.array(*[F.lit(t) for t in accepted]))),
-                          lambda n, i: F.struct(sum((_json(n, f"$.{k}").isNotNull().cast("int") for k in
+                          lambda n, i: F.struct(sum((n[k].isNotNull().cast("int") for k in
                                                      ("offers", "floorSize", "address", "description", "price", "numberOfRooms")), F.lit(0)).alias("w"),
                                                 (-i).alias("i"), n.alias("n")))
-    wrapper = F.try_element_at(F.filter("own", lambda n: _json(n, "$['@type']") == "RealEstateListing"), F.lit(1))
-    out = parsed.withColumn("page", page_identity(F.col("url"))).withColumn("own", own).withColumn("node", F.array_max(weighed)["n"]).withColumn("wrapper", wrapper)
-    return out.withColumn("offer", F.coalesce(_first_of(F.col("node"), "$.offers"), _first_of(F.col("wrapper"), "$.offers"))).drop("own")
+    wrapper = F.try_element_at(F.filter("own", lambda n: n["@type"] == "RealEstateListing"), F.lit(1))
+    out = out.withColumn("n", F.array_max(weighed)["n"]).withColumn("w", wrapper)
+    return out.withColumn("offer", F.coalesce(_first_offer(F.col("n")), _first_offer(F.col("w")))).drop("own")
 
 
-_NODE = ("name string, description string, floorSize string, address string, geo string, price string, numberOfRooms string, "
-         "numberOfBathroomsTotal string, additionalProperty string, datePosted string, datePublished string, `@type` string, "
-         "seller string, offeredBy string, broker string")
 _OFFER = "price string, priceCurrency string, businessFunction string, availability string, seller string, offeredBy string, broker string"
 _PERSON = "name string, telephone string, email string, worksFor struct<name:string>"
 
 
 def open_nodes(chosen: DataFrame) -> DataFrame:
-    """The chosen objects as columns: n, o (offer), w (wrapper) and their nested parts, each read once."""
-    out = (chosen.withColumn("n", F.from_json("node", _NODE)).withColumn("o", F.from_json("offer", _OFFER)).withColumn("w", F.from_json("wrapper", _NODE)))
+    """Beside the chosen objects n and w (wrapper) the offer o and their nested parts, each read once."""
+    out = chosen.withColumn("o", F.from_json("offer", _OFFER))
     raw = F.col("n.additionalProperty")
     extras = F.from_json(F.when(raw.startswith("{"), F.concat(F.lit("["), raw, F.lit("]"))).otherwise(raw), "array<struct<name:string,value:string>>")
     return (out.withColumn("floor", F.from_json("n.floorSize", "value string, unitCode string")).withColumn("place", F.from_json("n.address", "streetAddress string, addressLocality string"))
             .withColumn("geo", F.from_json("n.geo", "latitude string, longitude string")).withColumn("extras", extras)
-            .withColumn("types", F.when(F.col("node").isNotNull(), _type_names(F.col("node")))))
+            .withColumn("types", F.when(F.col("n").isNotNull(), _type_names(F.col("n")))))
 
 
 def _additional(name: str) -> Column:
@@ -142,9 +143,9 @@ def _additional(name: str) -> Column:
 
 def declared_dates_contacts(chosen: DataFrame) -> DataFrame:
     """Publication date a page states for itself and the advertiser its structured data names."""
-    articles = F.filter("nodes", lambda x: F.arrays_overlap(_type_names(x), F.array(*[F.lit(t) for t in ("webpage", "itempage", "article", "blogposting")]))
-                        & (same_page(x, "$.url") | same_page(x, "$['@id']") | same_page(x, "$.mainEntityOfPage")))
-    dates = F.array("n.datePosted", "n.datePublished", "w.datePosted", "w.datePublished", _json(F.try_element_at(articles, F.lit(1)), "$.datePublished"))
+    articles = F.filter("opened", lambda x: F.arrays_overlap(_type_names(x), F.array(*[F.lit(t) for t in ("webpage", "itempage", "article", "blogposting")]))
+                        & (same_page(x["url"]) | same_page(x["@id"]) | same_page(x["mainEntityOfPage"])))
+    dates = F.array("n.datePosted", "n.datePublished", "w.datePosted", "w.datePublished", F.try_element_at(articles, F.lit(1))["datePublished"])
 
     def person(x):
         p = F.from_json(x["json"], _PERSON)
